@@ -37,11 +37,11 @@ def digest(canon: Column) -> Column:
 def split_buckets(df: DataFrame, digest_col: str, canon_col: str) -> DataFrame:
     """Digests whose bucket holds more than one canonical form, found by comparing the bytes themselves.
 
-    The least and the greatest form of a bucket are aggregated on the map side first, so a hot bucket sends one
-    row from each task; they are equal if and only if all forms in the bucket are.
+    Grouping by digest and form compares the bytes of forms with equal digests, and does so on the map side
+    first: a hot bucket sends one row from each task.
     """
-    lo, hi = F.min(canon_col).alias("__ll_lo"), F.max(canon_col).alias("__ll_hi")
-    return df.groupBy(digest_col).agg(lo, hi).where("__ll_lo <> __ll_hi").select(digest_col)
+    forms = df.groupBy(digest_col, canon_col).agg(F.lit(1).alias("__ll_one"))
+    return forms.groupBy(digest_col).agg(F.count("*").alias("__ll_n")).where("__ll_n > 1").select(digest_col)
 
 
 def with_next(docs: DataFrame, key: str, tie: str, carry: list[str]) -> DataFrame:
