@@ -63,7 +63,7 @@ def paths(messages: DataFrame) -> DataFrame:
     out = nodes.join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
     for k, link in enumerate(links):
         higher = out.join(link, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + 2**k).alias("up"))
-        out = out.unionByName(higher)
+        out = cut(out.unionByName(higher))
     return out
 
 
