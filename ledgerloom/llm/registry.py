@@ -1,10 +1,14 @@
 """The subpackage's queries, and SQL for those that SQL can express."""
 
-from ledgerloom.llm import chat, fingerprints
+from ledgerloom.llm import chat, fingerprints, language, mixing, packing, simhash
 
 QUERIES = {
     "op2_chat_formatting": chat.op2_chat_formatting,
+    "op5_packing": packing.op5_packing,
+    "op6_language_id": language.op6_language_id,
     "op8_document_fingerprints": fingerprints.op8_document_fingerprints,
+    "op9_mixing_sources": mixing.op9_mixing_sources,
+    "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
 ORACLE_SQL = {
