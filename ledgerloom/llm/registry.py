@@ -1,9 +1,11 @@
 """The subpackage's queries, and SQL for those that SQL can express."""
 
-from ledgerloom.llm import chat, fingerprints, language, mixing, packing, simhash
+from ledgerloom.llm import chat, fingerprints, language, mixing, packing, quality, simhash, topk
 
 QUERIES = {
+    "op1_exact_top_k": topk.op1_exact_top_k,
     "op2_chat_formatting": chat.op2_chat_formatting,
+    "op3_quality_classifier": quality.op3_quality_classifier,
     "op5_packing": packing.op5_packing,
     "op6_language_id": language.op6_language_id,
     "op8_document_fingerprints": fingerprints.op8_document_fingerprints,
@@ -12,5 +14,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_exact_top_k": topk.OP1_SQL,
     "op2_chat_formatting": chat.OP2_SQL,
 }
