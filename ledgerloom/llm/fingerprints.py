@@ -106,17 +106,18 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     led = led.withColumns({"d": digest(F.col("__ll_ct")), "de": digest(F.col("__ll_ce")), "dn": digest(F.col("__ll_cn"))})
     same = lambda x, y, a, b: F.when(F.col(x) != F.col(y), 0.0).otherwise((F.col(a) == F.col(b)).cast("double"))
     narrow = led.select(
-        "doc_id", "n_chars", F.sha2("__ll_e", 256).alias("edited_sha256"), "d", "de",
-        F.sha2("__ll_ct", 256).alias("st"), F.sha2("__ll_ce", 256).alias("se"),
+        "doc_id", "n_chars", F.unhex(F.sha2("__ll_e", 256)).alias("edited_sha256"), F.unhex("d").alias("d"), F.unhex("de").alias("de"),
+        F.unhex(F.sha2("__ll_ct", 256)).alias("st"), F.unhex(F.sha2("__ll_ce", 256)).alias("se"),
         same("d", "de", "__ll_ct", "__ll_ce").alias("near_edited"), same("d", "dn", "__ll_ct", "__ll_cn").alias("near_next"),
     )
     forms = docs.select(canonical(F.col(text_col)).alias("__ll_c")).select(digest(F.col("__ll_c")).alias("d"), "__ll_c")
-    split = split_buckets(forms, "d", "__ll_c")
+    split = split_buckets(forms, "d", "__ll_c").select(F.unhex("d").alias("d"))
     out = narrow.join(split.select(F.col("d"), F.lit(True).alias("x")), "d", "left")
     out = out.join(split.select(F.col("d").alias("de"), F.lit(True).alias("xe")), "de", "left")
-    whole = lambda d, x, s: F.when(F.col(x), F.concat(d, F.lit("-"), s)).otherwise(F.col(d))
+    text = lambda c: F.lower(F.hex(c))
+    whole = lambda d, x, s: F.when(F.col(x), F.concat(text(d), F.lit("-"), text(s))).otherwise(text(d))
     return out.select(
-        "doc_id", "n_chars", "edited_sha256", whole("d", "x", "st").alias("fingerprint"),
+        "doc_id", "n_chars", text("edited_sha256").alias("edited_sha256"), whole("d", "x", "st").alias("fingerprint"),
         whole("de", "xe", "se").alias("edited_fingerprint"), "near_edited", "near_next",
     )
 

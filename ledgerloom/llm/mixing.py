@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import cut, table
@@ -130,11 +130,15 @@ def decide(units: DataFrame, seed: int, block: int = BLOCK) -> DataFrame:
     return out
 
 
+def row_hash(id_col: str, text_col: str, source_col: str) -> Column:
+    return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")), F.col(source_col))
+
+
 def mix(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(doc_id, source, h, size, source_size, target, copies, m): one row for each unit of m equal rows."""
     spark: SparkSession = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"), F.xxhash64(F.col(id_col), text, F.col(source_col)).alias("h"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"), row_hash(id_col, text_col, source_col).alias("h"))
     units = cut(rows.groupBy("doc_id", "source", "size", "h").agg(F.count("*").alias("m")))
     sums = units.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("n")).collect()  # a row for each source
     size = {r["source"]: r["n"] for r in sums}
@@ -150,6 +154,15 @@ def mix(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", "source", "h", "size", "source_size", "target", (F.floor("r") + F.col("pi").cast("long")).alias("copies"), "m")
 
 
+def repeat_mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it."""
+    units = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).where("copies > 0")
+    units = units.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__ll_id"), F.col("h").alias("__ll_h"), F.col("copies").alias("__ll_copies"))
+    keyed = docs.withColumns({"__ll_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "__ll_h": row_hash(id_col, text_col, source_col)})
+    taken = keyed.join(units, ["__ll_id", "__ll_h"])
+    return taken.withColumn("__ll_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__ll_copies")))).select(*docs.columns)
+
+
 def op9_mixing_sources(spark, sf_dir):
     units = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     rows = units.withColumn("__ll_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))

@@ -236,5 +236,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, limit: int = 3) -> DataFrame:
+    """``docs`` with one row of each component: the smallest id, null ids last; of rows equal in id and text, one stays."""
+    h = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__ll_text"))
+    rows = cut(with_fingerprint(own, "__ll_text", "fp", shingle).select("doc_id", F.xxhash64(F.coalesce("__ll_text", F.lit(""))).alias("h"), "fp"))
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("kept")))
+    labels = components(cut(links(distinct, limit)))
+    rooted = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("kept", F.coalesce("root", "fp").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("kept").alias("kept"))
+    kept = kept.select(F.coalesce("kept.doc_id", F.lit(-(2**63))).alias("__ll_id"), F.col("kept.h").alias("__ll_h"))
+    keyed = docs.withColumns({"__ll_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "__ll_h": h})
+    return keyed.join(kept, ["__ll_id", "__ll_h"], "left_semi").dropDuplicates(["__ll_id", "__ll_h"]).select(*docs.columns)
+
+
 def op10_simhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
