@@ -35,22 +35,44 @@ def measured_fits(overlap: Column, low: Column, high: Column) -> Column:
     return overlap / (high - low)
 
 
-def single_fits(gaps: DataFrame, items: DataFrame, tolerance: int, scope: list[str] | None = None) -> DataFrame:
+def single_fits(gaps: DataFrame, items: DataFrame, tolerance: int, scope: list[str] | None = None, width: int = 1 << 20) -> DataFrame:
     """(gap_id, kind, n, expected): for each gap and kind, the pool's size and the chance fits of one item.
 
     gaps: gap_id, settlement_id, delta. An item m fits a target t if it lies within the tolerance, so over targets
-    drawn from half to one and a half times the gap it counts with its share of them. Prefix counts over the sorted
-    pool would give the same; here every gap meets the items of its scope once, as the pools differ by settlement.
+    drawn from half to one and a half times the gap it counts with its share of them. That mean is a difference of
+    four sums g(u) of u - m over the items below u, which are read off running counts and sums over the sorted pool:
+    within buckets of ``width`` by a window, before them from the buckets' totals. No gap meets an item, except
+    those of its own settlement, which are taken out.
     """
     scope = scope or []
+    keys = [*scope, "kind"]
     t = F.abs("delta")
     low = F.greatest(F.lit(1), F.floor(t / 2))
-    g = gaps.select("gap_id", "settlement_id", "delta", *scope, low.alias("lo"), F.greatest(low + 1, F.floor(t * 3 / 2)).alias("hi"))
-    pairs = g.join(items, scope) if scope else g.join(items)
-    pairs = pairs.where(~F.col("settlement_id").eqNullSafe(F.col("item_settlement")))
-    m = F.abs("magnitude")
-    inside = F.greatest(F.lit(0), F.least(F.col("hi") - 1, m + tolerance) - F.greatest(F.col("lo"), m - tolerance) + 1)
-    return pairs.groupBy("gap_id", "kind").agg(F.count("*").alias("n"), measured_fits(F.sum(inside), F.first(F.col("lo")), F.first(F.col("hi"))).alias("expected"))
+    g = gaps.select("gap_id", "settlement_id", *scope, low.alias("lo"), F.greatest(low + 1, F.floor(t * 3 / 2)).alias("hi"))
+    ends = [F.col("hi") + tolerance, F.col("hi") - 1 - tolerance, F.col("lo") + tolerance, F.col("lo") - 1 - tolerance]
+    points = F.explode(F.array(*[F.struct(F.lit(sign).alias("sign"), u.cast("long").alias("u")) for sign, u in zip((1, -1, -1, 1), ends, strict=True)]).cast("array<struct<sign:int,u:bigint>>"))
+    kinds = F.explode(F.array(*[F.lit(k) for k in LEVEL_OF])).alias("kind")
+    asked = g.select("gap_id", *scope, kinds, points.alias("p"))
+    bucket = lambda x: F.floor(x / F.lit(width)).alias("b")
+    m = F.abs("magnitude").cast("long")
+    pool = items.where("magnitude is not null").select(*keys, bucket(m), m.alias("v"), F.lit(None).cast(gaps.schema["gap_id"].dataType).alias("gap_id"), F.lit(0).alias("sign"), F.lit(1).cast("long").alias("one"))
+    marks = asked.select(*keys, bucket(F.col("p.u")), F.col("p.u").alias("v"), "gap_id", "p.sign", F.lit(0).cast("long").alias("one"))
+    w = W.partitionBy(*keys, "b").orderBy("v", F.desc("one")).rowsBetween(W.unboundedPreceding, 0)
+    both = pool.unionByName(marks).withColumns({"cn": F.sum("one").over(w), "cs": F.sum(F.col("one") * F.col("v")).over(w)})
+    totals = pool.groupBy(*keys, "b").agg(F.count("*").alias("tn"), F.sum("v").alias("ts"))
+    all_b = both.where("sign <> 0").select(*keys, "b").distinct().join(totals, [*keys, "b"], "full").fillna(0, ["tn", "ts"])
+    before = W.partitionBy(*keys).orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    prior = all_b.select(*keys, "b", F.coalesce(F.sum("tn").over(before), F.lit(0)).alias("pn"), F.coalesce(F.sum("ts").over(before), F.lit(0)).alias("ps"))
+    seen = both.where("sign <> 0").join(prior, [*keys, "b"])
+    ramp = F.col("sign") * (F.col("v") * (F.col("cn") + F.col("pn")) - F.col("cs") - F.col("ps"))
+    inside = seen.groupBy("gap_id", *keys).agg(F.sum(ramp).alias("inside"))
+    size = items.where("magnitude is not null").groupBy(*keys).agg(F.count("*").alias("size"))
+    on = [F.col("g.settlement_id") == F.col("i.item_settlement"), *[F.col(f"g.{c}") == F.col(f"i.{c}") for c in scope]]
+    overlap = F.greatest(F.lit(0), F.least(F.col("hi") - 1, m + tolerance) - F.greatest(F.col("lo"), m - tolerance) + 1)
+    mine = g.alias("g").join(items.alias("i"), on).groupBy("g.gap_id", "i.kind").agg(F.count("magnitude").alias("own_n"), F.sum(overlap).alias("own"))
+    rows = inside.join(size, keys).join(g.select("gap_id", "lo", "hi"), "gap_id").join(mine, ["gap_id", "kind"], "left").fillna(0, ["own_n", "own"])
+    rows = rows.withColumn("n", F.col("size") - F.col("own_n")).where("n > 0")
+    return rows.select("gap_id", "kind", "n", measured_fits(F.col("inside") - F.col("own"), F.col("lo"), F.col("hi")).alias("expected"))
 
 
 def single_candidates(gaps: DataFrame, items: DataFrame, tolerance: int, scope: list[str] | None = None) -> DataFrame:
@@ -88,51 +110,68 @@ def pair_candidates(gaps: DataFrame, items: DataFrame, tolerance: int, scope: li
     return out.distinct()
 
 
-def pair_fits(gaps: DataFrame, items: DataFrame, tolerance: int) -> DataFrame:
-    """(gap_id, n, expected): chance fits of a pair, from the sorted pool of each gap in one grouped task."""
-    t = F.abs("delta")
-    pool = gaps.select("gap_id", "settlement_id", t.alias("target")).join(items.select("magnitude", "item_settlement"))
-    pool = pool.where(~F.col("settlement_id").eqNullSafe(F.col("item_settlement"))).select("gap_id", "target", "magnitude")
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, target = np.sort(np.abs(pdf["magnitude"].to_numpy(np.int64))), int(pdf["target"].iloc[0])
-        lo = max(1, target // 2)
-        hi = max(lo + 1, target * 3 // 2)
-        below = lambda x: int(np.maximum(np.searchsorted(m, x - m, side="left") - np.arange(len(m)) - 1, 0).sum())
-        inside = below(hi) - below(lo)
-        n = len(m) * (len(m) - 1) // 2
-        return pd.DataFrame({"gap_id": [pdf["gap_id"].iloc[0]], "n": [n], "expected": [inside * (2 * tolerance + 1) / (hi - lo)]})
-
-    kind = gaps.schema["gap_id"].dataType.simpleString()
-    return pool.groupBy("gap_id").applyInPandas(count, f"gap_id {kind}, n long, expected double")
+def pair_fits(gaps: DataFrame, items: DataFrame, tolerance: int, bins: int = 4096) -> DataFrame:
+    """gaps with expected, the chance fits of a pair of items.
 
-
-def attribute(gaps: DataFrame, items: DataFrame, tolerance: int = C.NET_TOLERANCE) -> DataFrame:
+    The pool's magnitudes are counted in ``bins`` equal bins, which alone go to the driver; the bins folded with
+    themselves give the pair sums, and a gap reads their density between half and one and a half times its size.
+    """
+    m = F.abs("magnitude")
+    top = items.agg(F.max(m)).first()[0]
+    if not top:
+        return gaps.withColumn("expected", F.lit(0.0))
+    step = top / bins
+    counts = items.groupBy(F.least(F.floor(m / step), F.lit(bins - 1)).alias("b")).agg(F.count("*").alias("n")).collect()  # at most bins rows
+    h = np.zeros(bins)
+    for r in counts:
+        if r["b"] is not None:
+            h[r["b"]] = r["n"]
+    sums = np.convolve(h, h)
+    sums[::2] -= h
+    reached = np.concatenate([[0.0], np.cumsum(np.maximum(sums, 0) / 2)])
+
+    @F.pandas_udf("double")
+    def expected(delta: pd.Series) -> pd.Series:
+        target = np.abs(delta.to_numpy(np.float64))
+        lo = np.maximum(1, target // 2)
+        hi = np.maximum(lo + 1, target * 3 // 2)
+        below = lambda x: np.interp(x / step, np.arange(len(reached)), reached)
+        return pd.Series((below(hi) - below(lo)) * (2 * tolerance + 1) / (hi - lo))
+
+    return gaps.withColumn("expected", expected(F.col("delta").cast("double")))
+
+
+def attribute(gaps: DataFrame, items: DataFrame, tolerance: int = C.NET_TOLERANCE, chance_pairs: float = 50.0) -> DataFrame:
     """(gap_id, level, outcome, item_id, n_candidates, expected, band, confidence) for each gap (gap_id, settlement_id, delta).
 
     The first level with a candidate decides: one is the cause unless chance explains it as well, several are
-    ambiguous. Pairs are looked for only where no single item fits.
+    ambiguous. Pairs are looked for only where no single item fits, and only where fewer than ``chance_pairs``
+    pairs would fit by chance: beyond that the search could end in nothing but an ambiguity, which is what is said,
+    with n_candidates null.
     """
     open_ = gaps.where(F.abs("delta") > tolerance)
     singles = single_candidates(open_, items, tolerance)
     first = singles.groupBy("gap_id", "level", "kind").agg(F.count("*").alias("n_candidates"), F.min("item_id").alias("item_id"))
-    first = first.withColumn("rank", F.row_number().over(W.partitionBy("gap_id").orderBy("level"))).where("rank = 1").drop("rank")
-    fits = single_fits(open_, items, tolerance)
-    one = first.join(fits.select("gap_id", "kind", "expected"), ["gap_id", "kind"]).withColumn("base", F.lit(C.CONFIDENCE["single"]))
-    rest = open_.join(first.select("gap_id"), "gap_id", "left_anti")
-    pairs = pair_candidates(rest, items, tolerance).groupBy("gap_id").agg(F.count("*").alias("n_candidates"), F.min(F.concat_ws("+", "item_a", "item_b")).alias("item_id"))
-    two = pairs.join(pair_fits(rest.join(pairs.select("gap_id"), "gap_id", "left_semi"), items, tolerance).select("gap_id", "expected"), "gap_id")
+    first = first.withColumn("rank", F.row_number().over(W.partitionBy("gap_id").orderBy("level"))).where("rank = 1").drop("rank").cache()
+    fits = single_fits(open_.join(first.select("gap_id"), "gap_id", "left_semi"), items, tolerance)
+    one = first.join(fits.select("gap_id", "kind", "expected"), ["gap_id", "kind"], "left").withColumn("base", F.lit(C.CONFIDENCE["single"]))
+    rest = pair_fits(open_.join(first.select("gap_id"), "gap_id", "left_anti").select("gap_id", "settlement_id", "delta"), items, tolerance).cache()
+    few = rest.where(F.col("expected") < chance_pairs)
+    pairs = pair_candidates(few.drop("expected"), items, tolerance).groupBy("gap_id").agg(F.count("*").alias("n_candidates"), F.min(F.concat_ws("+", "item_a", "item_b")).alias("item_id"))
+    many = rest.where(F.col("expected") >= chance_pairs).select("gap_id", F.lit(None).cast("long").alias("n_candidates"), F.lit(None).cast("string").alias("item_id"), "expected")
+    two = pairs.join(few.select("gap_id", "expected"), "gap_id").select(*many.columns).unionByName(many)
     two = two.withColumns({"level": F.lit("L4"), "kind": F.lit("pair"), "base": F.lit(C.CONFIDENCE["pair"])})
     found = one.unionByName(two.select(*one.columns))
     rows = gaps.select("gap_id", "settlement_id", "delta").join(found, "gap_id", "left").withColumn("band", band(F.col("expected")))
-    small, none = F.abs("delta") <= tolerance, F.col("n_candidates").isNull()
+    small, none = F.abs("delta") <= tolerance, F.col("level").isNull()
     outcome = (
-        F.when(small, "ROUNDING_DRIFT_ACCEPTED").when(none, "AMOUNT_VARIANCE_UNEXPLAINED").when(F.col("n_candidates") > 1, "AMBIGUOUS_MULTI_CANDIDATE")
+        F.when(small, "ROUNDING_DRIFT_ACCEPTED").when(none, "AMOUNT_VARIANCE_UNEXPLAINED").when(F.col("n_candidates").isNull() | (F.col("n_candidates") > 1), "AMBIGUOUS_MULTI_CANDIDATE")
         .when(F.col("band") == "REFUSE", "AMOUNT_VARIANCE_UNEXPLAINED").otherwise("ATTRIBUTED")
     )
     rows = rows.withColumn("outcome", outcome)
     conf = F.when(small, C.CONFIDENCE["rounding"]).when(F.col("outcome") == "ATTRIBUTED", F.col("base")).otherwise(0.0)
-    return rows.select("gap_id", "settlement_id", "delta", F.when(small, "L0").when(none, "L5").otherwise(F.col("level")).alias("level"), "outcome", F.when(F.col("outcome") == "ATTRIBUTED", F.col("item_id")).alias("item_id"), F.coalesce("n_candidates", F.lit(0)).cast("long").alias("n_candidates"), "expected", F.when(~none, F.col("band")).alias("band"), conf.alias("confidence"))
+    count = F.when(small | none, 0).otherwise(F.col("n_candidates")).cast("long")
+    return rows.select("gap_id", "settlement_id", "delta", F.when(small, "L0").when(none, "L5").otherwise(F.col("level")).alias("level"), "outcome", F.when(F.col("outcome") == "ATTRIBUTED", F.col("item_id")).alias("item_id"), count.alias("n_candidates"), "expected", F.when(~none, F.col("band")).alias("band"), conf.alias("confidence"))
 
 
 def infer_membership(pools: DataFrame, withholding_bps: int, tolerance: int = C.NET_TOLERANCE, cap: int = 500_000, keep: int = 8) -> DataFrame:

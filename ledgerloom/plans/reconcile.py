@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
 from datetime import timedelta
 
@@ -33,11 +32,8 @@ class Reconciliation:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder: each tier is read by several later ones, and their plans stay short."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}")
-    return df.checkpoint()
+    """Kept in memory and on disk: each tier's narrow result is read by several later ones. A lost part is computed anew."""
+    return df.cache()
 
 
 def reconcile(ledgers: Ledgers, rates: C.Rates | None = None, as_of: Column | None = None, tiers: tuple[int, ...] = (1, 2, 3, 5), strict: bool = True) -> Reconciliation:
@@ -102,7 +98,7 @@ def reconcile(ledgers: Ledgers, rates: C.Rates | None = None, as_of: Column | No
         days = open_b.where("expected_net_paise > 0").join(utr_pairs, "settlement_id", "left_anti").select("settlement_id", "expected_net_paise", F.explode(F.sequence("event_date", "hi")).alias("event_date"))
         seen = days.join(free_c.select("event_date", "bank_row_id", "credit_paise"), "event_date")
         gaps = keep(seen.select(F.concat_ws("/", "settlement_id", "bank_row_id").alias("gap_id"), "settlement_id", "bank_row_id", (F.col("expected_net_paise") - F.col("credit_paise")).alias("delta")))
-        sure = A.attribute(gaps, items).where("outcome = 'ATTRIBUTED' and band = 'STRONG'")
+        sure = A.attribute(gaps, items, chance_pairs=C.STRONG_MAX).where("outcome = 'ATTRIBUTED' and band = 'STRONG'")
         identified = keep(gaps.join(sure.select("gap_id", "level"), "gap_id"))
         limit = as_of if as_of is not None else F.lit(ledgers.bank.agg(F.max("event_date")).first()[0])
         verdicts = keep(M.net_settlements(open_b, free_c.unionByName(free.where("credit_paise = 0 and debit_paise = 0")), utr_pairs, zero_pairs, identified, limit))

@@ -361,18 +361,19 @@ def set_equality_linkage(spark, sf_dir):
     return a.select("l_orderkey", scoring.same_items(F.col("y"), F.col("x")).alias("same"))
 
 
-@query("""WITH r AS (SELECT user_id, count(*) AS m FROM events GROUP BY 1) SELECT min(m)::BIGINT AS lo, max(m)::BIGINT AS hi, avg(m) AS mean, stddev_pop(m) AS sd, (SELECT min(user_id) FROM r WHERE m = (SELECT min(m) FROM r)) AS worst FROM r""", star=False)
+@query("""WITH r AS (SELECT user_id, count(*) AS m FROM events GROUP BY 1) SELECT min(m)::BIGINT AS lo, max(m)::BIGINT AS hi, round(avg(m), 6) AS mean, round(stddev_pop(m), 6) AS sd, (SELECT min(user_id) FROM r WHERE m = (SELECT min(m) FROM r)) AS worst FROM r""", star=False)
 def population_stats(spark, sf_dir):
     r = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("m"))
     # ties to the smaller run
-    s = scoring.run_statistics(r, "m", "user_id").drop("worst")
+    s = scoring.run_statistics(r, "m", "user_id").drop("worst").withColumns({c: F.round(c, 6) for c in ("mean", "sd")})
     worst = r.orderBy("m", "user_id").limit(1).select(F.col("user_id").alias("worst"))
     return s.join(F.broadcast(worst))
 
 
-@query("SELECT event_type, avg(value) AS mean, stddev_samp(value) AS sd, count(*)::BIGINT AS n FROM events GROUP BY 1", star=False)
+@query("SELECT event_type, round(avg(round(value * 100)::BIGINT), 4) AS mean, round(stddev_samp(round(value * 100)::BIGINT), 4) AS sd, count(*)::BIGINT AS n FROM events GROUP BY 1", star=False)
 def sensitivity_stats(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.count("*").alias("n"))
+    p = money.from_float(F.col("value"))
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg(p), 4).alias("mean"), F.round(F.stddev_samp(p), 4).alias("sd"), F.count("*").alias("n"))
 
 
 @query("""SELECT k AS band, sum(v)::BIGINT AS total FROM (SELECT unnest(json_keys(props::JSON)) AS k, props FROM events), LATERAL (SELECT (props::JSON ->> k)::BIGINT AS v) GROUP BY 1""", star=False)
@@ -478,3 +479,9 @@ def membership_subset(spark, sf_dir):
     p = l.payments.where("settlement_id is not null").select("settlement_id", "payment_id", "amount_paise", "fee_paise", "tax_paise")
     s = l.settlements.where("refund_paise = 0 and chargeback_paise = 0").select("settlement_id", F.col("net_paise").alias("credit_paise"))
     return attribution.infer_membership(p.join(s, "settlement_id").withColumnRenamed("settlement_id", "bank_row_id"), Rates().withholding_bps).select("bank_row_id", "outcome", "n_solutions")
+
+
+@query()
+def reconcile_star(spark, sf_dir):
+    """All tiers over the star ledgers: every order's decision."""
+    return reconcile(star_ledgers(spark, sf_dir)).decisions
