@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import config as C
 from ledgerloom.operators.batches import net_contribution
+from ledgerloom.sources.checkpoints import cut
 
 LEVEL_OF = {"payment": "L1", "refund": "L2", "chargeback": "L3"}
 
@@ -152,10 +153,10 @@ def attribute(gaps: DataFrame, items: DataFrame, tolerance: int = C.NET_TOLERANC
     open_ = gaps.where(F.abs("delta") > tolerance)
     singles = single_candidates(open_, items, tolerance)
     first = singles.groupBy("gap_id", "level", "kind").agg(F.count("*").alias("n_candidates"), F.min("item_id").alias("item_id"))
-    first = first.withColumn("rank", F.row_number().over(W.partitionBy("gap_id").orderBy("level"))).where("rank = 1").drop("rank").cache()
+    first = cut(first.withColumn("rank", F.row_number().over(W.partitionBy("gap_id").orderBy("level"))).where("rank = 1").drop("rank"))
     fits = single_fits(open_.join(first.select("gap_id"), "gap_id", "left_semi"), items, tolerance)
     one = first.join(fits.select("gap_id", "kind", "expected"), ["gap_id", "kind"], "left").withColumn("base", F.lit(C.CONFIDENCE["single"]))
-    rest = pair_fits(open_.join(first.select("gap_id"), "gap_id", "left_anti").select("gap_id", "settlement_id", "delta"), items, tolerance).cache()
+    rest = cut(pair_fits(open_.join(first.select("gap_id"), "gap_id", "left_anti").select("gap_id", "settlement_id", "delta"), items, tolerance))
     few = rest.where(F.col("expected") < chance_pairs)
     pairs = pair_candidates(few.drop("expected"), items, tolerance).groupBy("gap_id").agg(F.count("*").alias("n_candidates"), F.min(F.concat_ws("+", "item_a", "item_b")).alias("item_id"))
     many = rest.where(F.col("expected") >= chance_pairs).select("gap_id", F.lit(None).cast("long").alias("n_candidates"), F.lit(None).cast("string").alias("item_id"), "expected")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +14,7 @@ from ledgerloom.operators import attribution as A
 from ledgerloom.operators import batches as B
 from ledgerloom.operators import exceptions as X
 from ledgerloom.operators import matching as M
+from ledgerloom.sources.checkpoints import cut
 from ledgerloom.sources.ledgers import Ledgers
 
 
@@ -31,14 +32,11 @@ class Reconciliation:
     dispositions: DataFrame
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Kept in memory and on disk: each tier's narrow result is read by several later ones. A lost part is computed anew."""
-    return df.cache()
-
-
 def reconcile(ledgers: Ledgers, rates: C.Rates | None = None, as_of: Column | None = None, tiers: tuple[int, ...] = (1, 2, 3, 5), strict: bool = True) -> Reconciliation:
+    """Every tier's narrow result is cut to files: several later ones read it, and none repeats what made it."""
     rates = rates or C.Rates()
     spark = ledgers.orders.sparkSession
+    ledgers = Ledgers(*[cut(getattr(ledgers, f.name)) for f in fields(Ledgers)])
     span = ledgers.settlements.agg(F.min("event_date").alias("a"), F.max("event_date").alias("b")).unionByName(ledgers.bank.agg(F.min("event_date").alias("a"), F.max("event_date").alias("b"))).agg(F.min("a"), F.max("b")).first()
     first, last = span[0], span[1]
     if first is None:
@@ -46,7 +44,7 @@ def reconcile(ledgers: Ledgers, rates: C.Rates | None = None, as_of: Column | No
     cal = business_calendar(spark, first - timedelta(days=10), last + timedelta(days=60), rates.holidays)
     credits = ledgers.bank.where("entry_type = 'bank_credit'")
     due = lambda df, n: add_business_days(df, cal, "event_date", n, "hi")
-    gates = keep(M.order_gates(ledgers.orders, ledgers.payments, ledgers.chargebacks))
+    gates = cut(M.order_gates(ledgers.orders, ledgers.payments, ledgers.chargebacks))
 
     def order_side(tier: int, rows: DataFrame, settled: DataFrame, missing: str) -> DataFrame:
         """Orders of a tier with their settlement's verdict (settlement_id, bank_row_id, reason, confidence) and the tier's own reason."""
@@ -62,9 +60,9 @@ def reconcile(ledgers: Ledgers, rates: C.Rates | None = None, as_of: Column | No
         return [o, s]
 
     # tier 1
-    exact = keep(M.exact_settlements(due(ledgers.settlements, C.EXACT_WINDOW), credits).withColumn("confidence", F.lit(1.0)))
+    exact = cut(M.exact_settlements(due(ledgers.settlements, C.EXACT_WINDOW), credits).withColumn("confidence", F.lit(1.0)))
     t1 = order_side(1, gates, exact, "SETTLEMENT_ID_NOT_FOUND")
-    t1 = keep(t1.withColumn("reason", F.when(F.col("gate").isNull() & F.col("settlement_id").isNull(), "PAYMENT_HAS_NO_SETTLEMENT_ID").otherwise(F.col("reason"))))
+    t1 = cut(t1.withColumn("reason", F.when(F.col("gate").isNull() & F.col("settlement_id").isNull(), "PAYMENT_HAS_NO_SETTLEMENT_ID").otherwise(F.col("reason"))))
     caused = F.when(F.col("gate").isNull() & F.col("upstream").isNotNull(), F.col("settlement_id")).cast("string")
     parts = [decisions(t1)]
     told = [*declines(1, t1, exact, caused), M.credit_declines(credits, exact, ledgers.settlements).select(F.lit(1).alias("tier"), F.col("bank_row_id").alias("entity_id"), F.lit("bank").alias("kind"), "reason", F.lit(None).cast("string").alias("caused_by"))]
@@ -76,44 +74,44 @@ def reconcile(ledgers: Ledgers, rates: C.Rates | None = None, as_of: Column | No
     left_c = credits.join(tied, "bank_row_id", "left_anti")
     if 2 in tiers:
         s2 = due(left_s.join(counts, "settlement_id", "left").fillna(0, ["n_payments"]), C.TOLERANT_WINDOW)
-        tol = keep(M.tolerant_settlements(left_s, keep(M.tolerant_pairs(s2, left_c))))
-        t2 = keep(order_side(2, open_orders, tol, "NO_TOLERANT_CANDIDATE"))
+        tol = cut(M.tolerant_settlements(left_s, cut(M.tolerant_pairs(s2, left_c))))
+        t2 = cut(order_side(2, open_orders, tol, "NO_TOLERANT_CANDIDATE"))
         parts.append(decisions(t2))
         told += declines(2, t2, tol, F.when(F.col("gate").isNull(), F.col("settlement_id")).cast("string"))
-        tied = keep(tied.unionByName(tol.where("bank_row_id is not null").select("settlement_id", "bank_row_id", F.lit(2).alias("tier"))))
+        tied = cut(tied.unionByName(tol.where("bank_row_id is not null").select("settlement_id", "bank_row_id", F.lit(2).alias("tier"))))
     verdicts = spark.createDataFrame([], "settlement_id string, expected_net_paise long, outcome string, bank_row_id string, variance_paise long, confidence double, identified_by string")
     gaps_schema = "gap_id string, settlement_id string, delta long, level string, outcome string, item_id string, n_candidates long, expected double, band string, confidence double"
     attributed = spark.createDataFrame([], gaps_schema)
     if 3 in tiers:
-        built = keep(B.build_batches(ledgers.settlements, ledgers.payments, ledgers.refunds, ledgers.chargebacks, rates))
+        built = cut(B.build_batches(ledgers.settlements, ledgers.payments, ledgers.refunds, ledgers.chargebacks, rates))
         if strict:
             B.assert_self_check(built)
         open_b = due(built.join(tied, "settlement_id", "left_anti"), C.NET_WINDOW)
         free = ledgers.bank.join(tied, "bank_row_id", "left_anti")
-        free_c = keep(free.where("entry_type = 'bank_credit'"))
-        items = keep(A.item_pool(ledgers.payments, ledgers.refunds, ledgers.chargebacks, rates.withholding_bps))
-        utr_pairs = keep(M.unique_by_utr(open_b, free_c))
+        free_c = cut(free.where("entry_type = 'bank_credit'"))
+        items = cut(A.item_pool(ledgers.payments, ledgers.refunds, ledgers.chargebacks, rates.withholding_bps))
+        utr_pairs = cut(M.unique_by_utr(open_b, free_c))
         zero_pairs = M.zero_payouts(open_b.where("expected_net_paise = 0"), free)
         # every open batch without a reference of its own, with each credit of its window
         days = open_b.where("expected_net_paise > 0").join(utr_pairs, "settlement_id", "left_anti").select("settlement_id", "expected_net_paise", F.explode(F.sequence("event_date", "hi")).alias("event_date"))
         seen = days.join(free_c.select("event_date", "bank_row_id", "credit_paise"), "event_date")
-        gaps = keep(seen.select(F.concat_ws("/", "settlement_id", "bank_row_id").alias("gap_id"), "settlement_id", "bank_row_id", (F.col("expected_net_paise") - F.col("credit_paise")).alias("delta")))
+        gaps = cut(seen.select(F.concat_ws("/", "settlement_id", "bank_row_id").alias("gap_id"), "settlement_id", "bank_row_id", (F.col("expected_net_paise") - F.col("credit_paise")).alias("delta")))
         sure = A.attribute(gaps, items, chance_pairs=C.STRONG_MAX).where("outcome = 'ATTRIBUTED' and band = 'STRONG'")
-        identified = keep(gaps.join(sure.select("gap_id", "level"), "gap_id"))
+        identified = cut(gaps.join(sure.select("gap_id", "level"), "gap_id"))
         limit = as_of if as_of is not None else F.lit(ledgers.bank.agg(F.max("event_date")).first()[0])
-        verdicts = keep(M.net_settlements(open_b, free_c.unionByName(free.where("credit_paise = 0 and debit_paise = 0")), utr_pairs, zero_pairs, identified, limit))
+        verdicts = cut(M.net_settlements(open_b, free_c.unionByName(free.where("credit_paise = 0 and debit_paise = 0")), utr_pairs, zero_pairs, identified, limit))
         settled = verdicts.select("settlement_id", F.when(F.col("outcome") == "MATCHED", F.col("bank_row_id")).alias("bank_row_id"), F.col("outcome").alias("reason"), "confidence")
         done = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        t3 = keep(open_orders.join(done.select("order_id"), "order_id", "left_anti").join(settled.select("settlement_id", "bank_row_id", F.col("reason").alias("upstream"), "confidence"), "settlement_id", "left"))
+        t3 = cut(open_orders.join(done.select("order_id"), "order_id", "left_anti").join(settled.select("settlement_id", "bank_row_id", F.col("reason").alias("upstream"), "confidence"), "settlement_id", "left"))
         t3m = t3.where("gate is null and bank_row_id is not null").withColumn("tier", F.lit(3))
         parts.append(t3m.select("order_id", F.lit("MATCHED").alias("outcome"), "payment_id", "settlement_id", "bank_row_id", "tier", "confidence", F.lit(None).cast("string").alias("reason")))
-        tied = keep(tied.unionByName(verdicts.where("outcome = 'MATCHED' and bank_row_id is not null").select("settlement_id", "bank_row_id", F.lit(3).alias("tier"))))
+        tied = cut(tied.unionByName(verdicts.where("outcome = 'MATCHED' and bank_row_id is not null").select("settlement_id", "bank_row_id", F.lit(3).alias("tier"))))
         # what explains the payouts that are tied or carry a reference, yet differ
         still = ledgers.settlements.join(tied, "settlement_id", "left_anti")
         explain = tied.select("settlement_id", "bank_row_id").unionByName(M.unique_by_utr(still, credits.join(tied, "bank_row_id", "left_anti")))
         both = explain.join(built.select("settlement_id", "expected_net_paise"), "settlement_id").join(ledgers.bank.select("bank_row_id", "credit_paise"), "bank_row_id")
         delta = both.select(F.concat_ws("/", "settlement_id", "bank_row_id").alias("gap_id"), "settlement_id", (F.col("expected_net_paise") - F.col("credit_paise")).alias("delta")).where("delta <> 0")
-        attributed = keep(A.attribute(keep(delta), items))
+        attributed = cut(A.attribute(cut(delta), items))
         cause = attributed.where("level = 'L3' and outcome = 'ATTRIBUTED'").select("settlement_id").unionByName(identified.where("level = 'L3'").join(verdicts.where("identified_by = 'attribution'").select("settlement_id", "bank_row_id"), ["settlement_id", "bank_row_id"], "left_semi").select("settlement_id")).distinct()
         t3x = t3.where("gate is null and bank_row_id is null and upstream is not null").join(cause.withColumn("refined", F.lit(True)), "settlement_id", "left")
         code = F.when((F.col("upstream") == "AMOUNT_VARIANCE_UNEXPLAINED") & F.col("refined"), "CHARGEBACK_UNPOSTED").otherwise(F.col("upstream"))
@@ -123,15 +121,15 @@ def reconcile(ledgers: Ledgers, rates: C.Rates | None = None, as_of: Column | No
     everything = told[0]
     for x in told[1:]:
         everything = everything.unionByName(x)
-    everything = keep(everything)
+    everything = cut(everything)
     decided = parts[0]
     for x in parts[1:]:
         decided = decided.unionByName(x)
-    decided = keep(decided)
+    decided = cut(decided)
     grouped = spark.createDataFrame([], "group_key string, code string, reasons array<string>, chain_count long, total_paise long, order_ids array<string>")
     if 5 in tiers:
         undecided = ledgers.orders.join(decided.select("order_id"), "order_id", "left_anti").select("order_id", "amount_paise")
-        items5 = keep(X.typed(undecided, X.merge_declines(everything.where("kind = 'orders'"))))
+        items5 = cut(X.typed(undecided, X.merge_declines(everything.where("kind = 'orders'"))))
         grouped = X.groups(items5)
         null = lambda c: F.lit(None).cast(decided.schema[c].dataType).alias(c)
         decided = decided.unionByName(items5.select("order_id", F.col("code").alias("outcome"), null("payment_id"), null("settlement_id"), null("bank_row_id"), F.lit(5).alias("tier"), F.lit(0.0).alias("confidence"), "reason"))
