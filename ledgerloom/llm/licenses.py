@@ -72,8 +72,8 @@ RULES = (
 )
 #: Every known sentence has one of these (fixed values).
 NEEDED = r"(?i)licen[sc]e|permission|redistribut|provided|liable|gnu|rights reserved|spdx|copyright|cc0|\(c\)"
-#: A sentence ends at a line feed, or at a mark that white space follows.
-ENDS = re.compile(r"[^\n]*?(?:[.!?;:](?=\s|$)|(?=\n)|$)")
+#: A sentence ends at a line feed, or at a mark that white space follows; an SPDX tag's colon ends none.
+ENDS = re.compile(r"[^\n]*?(?:[.!?;](?=\s|$)|(?<!SPDX-License-Identifier):(?=\s|$)|(?=\n)|$)")
 RESULT = "licenses array<string>, spans array<struct<start:long,end:long,license:string>>, sentences array<string>"
 
 

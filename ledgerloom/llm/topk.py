@@ -57,12 +57,14 @@ def fit_pivots(vectors: DataFrame, dim: int, pivots: int, sample: int) -> tuple[
     """Pivots by a few rounds of k-means over the ``sample`` rows with the smallest id hashes, and a ring's width."""
     rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()
     x = matrix(rows["v"], dim)
+    if not len(x):
+        return x, 1.0
     p = np.unique(x, axis=0)[:: max(1, len(np.unique(x, axis=0)) // pivots)][:pivots]
     for _ in range(5):
         near = distances(x, p).argmin(1)
         p = np.stack([x[near == k].mean(0) if (near == k).any() else p[k] for k in range(len(p))])
     far = distances(x, p).min(1)
-    return p, float(max(far.max() / RINGS, 1e-9)) if len(far) else 1.0
+    return p, float(max(far.max() / RINGS, 1e-9))
 
 
 def distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
