@@ -13,20 +13,20 @@ gives no piece.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import cut, salted_rank, table
 
-#: The tokenizer's split into words, as its file states it (fixed value).
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The tokenizer's split into words, as its file states it, over the code points below (fixed value).
+SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\s]|_)+")
 #: Texts within these code points are split here and their words looked up; normalisation leaves such texts as they are but for case.
-PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-įı-ɏ]*")
+PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u024f]*")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -39,26 +39,35 @@ def default_tokenizer() -> str:
 class Encoder:
     """Token ids of whole texts as little-endian 32-bit bytes; words already met are looked up, in bounded memory."""
 
-    def __init__(self, path: str, words: int = 300_000):
+    def __init__(self, path: str, words: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, words
+        ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[ends] = True
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def learn(self, words: list[str]) -> None:
+        """The ids of new words, encoded in one go: each word's last token, and no other, is marked as a word's end."""
+        ids = self.whole(" ".join(words))
+        data, start = ids.tobytes(), 0
+        for word, end in zip(words, (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), strict=True):
+            self.known[word] = data[start:end]
+            start = end
 
     def __call__(self, text: str) -> bytes:
         if "<|" in text or not PLAIN.fullmatch(text):  # special tokens, other normalisation
-            return self.whole(text)
+            return self.whole(text).tobytes()
         words = SPLIT.findall(text.lower())
         try:
             return b"".join(map(self.known.__getitem__, words))
         except KeyError:
             if len(self.known) > self.most:
                 self.known.clear()
-            new = list({*words}.difference(self.known))
-            for word, ids in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(ids.ids, dtype="<u4").tobytes()
+            self.learn(list({*words}.difference(self.known)))
             return b"".join(map(self.known.__getitem__, words))
 
 
