@@ -82,15 +82,19 @@ def bounds(q: np.ndarray, pivots: np.ndarray, d: pd.DataFrame) -> np.ndarray:
     return np.minimum(by_gap, by_length) * (1 + 1e-9) + 1.0
 
 
-def scored(opened: DataFrame, blocks: DataFrame, queries: DataFrame, dim: int, k: int) -> DataFrame:
+def scored(opened: DataFrame, blocks: DataFrame, queries: DataFrame, counts: DataFrame, dim: int, k: int) -> DataFrame:
     """(query_id, vec_id, score): the k best of each query in each block of the annuli it opens.
 
-    ``opened``: query_id, annulus. Queries of an annulus go in blocks, too; a pair of blocks is one unit of work.
+    ``opened``: query_id, annulus; ``counts``: annulus, blocks. Queries of an annulus go in blocks, too; a pair of blocks
+    is one unit of work. Pairs meet by (annulus, block), so a hot annulus is as many keys as it has blocks.
     """
-    part = F.pmod(F.xxhash64("query_id"), F.greatest(F.ceil(F.count("*").over(W.partitionBy("annulus")) / QUERIES), F.lit(1)))
-    asked = opened.join(queries, "query_id").withColumn("part", part)
+    asking = opened.groupBy("annulus").agg(F.count("*").alias("asking"))  # at most PIVOTS * RINGS rows
+    part = F.pmod(F.xxhash64("query_id"), F.greatest(F.ceil(F.col("asking") / QUERIES), F.lit(1)))
+    asked = opened.join(F.broadcast(asking), "annulus").join(queries, "query_id").withColumn("part", part)
     asked = asked.groupBy("annulus", "part").agg(F.collect_list(F.struct("query_id", "q")).alias("asked"))
-    pairs = asked.join(blocks, "annulus").repartition(4 * shuffle_partitions(opened.sparkSession), "annulus", "part", "block")
+    asked = asked.join(F.broadcast(counts), "annulus").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    tasks = 4 * shuffle_partitions(opened.sparkSession)
+    pairs = asked.repartition(tasks, "annulus", "block").join(blocks.repartition(tasks, "annulus", "block"), ["annulus", "block"])
 
     def run(batches):
         for pdf in batches:
@@ -158,12 +162,12 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     stats = keyed.groupBy("annulus").agg(F.min("distance").alias("near"), F.max("distance").alias("far"), F.max("norm2").alias("norm2"), F.sum(F.size("ids")).alias("n"))
     directory = stats.orderBy("annulus").toPandas()  # at most PIVOTS * RINGS rows
     directory["pivot"] = directory["annulus"] // RINGS
-    counts = spark.createDataFrame([(int(a), int(n)) for a, n in zip(directory["annulus"], directory["n"], strict=True)], "annulus int, n long")
-    block = F.pmod(F.xxhash64("v"), F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(1)))
-    blocks = keyed.join(F.broadcast(counts), "annulus").withColumn("block", block)
+    sizes = directory["n"].to_numpy(np.int64)
+    counts = spark.createDataFrame([(int(a), max(1, -(-int(n) // BLOCK))) for a, n in zip(directory["annulus"], sizes, strict=True)], "annulus int, blocks long")
+    blocks = keyed.join(F.broadcast(counts), "annulus").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")))
     blocks = blocks.groupBy("annulus", "block").agg(F.collect_list(F.struct("v", "ids")).alias("held"))
     queries = vectors.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    names, sizes = directory["annulus"].to_numpy(np.int64), directory["n"].to_numpy(np.int64)
+    names = directory["annulus"].to_numpy(np.int64)
 
     def opens(q: pd.Series, reach: np.ndarray | None) -> list[list[int]]:
         """Annuli by falling bound. reach None: those that hold k others for sure; else the rest, up to the first below reach."""
@@ -188,10 +192,10 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
         return pd.Series(opens(q, reach.fillna(-np.inf).to_numpy(np.float64)))
 
     seed = queries.select("query_id", F.explode(opens_first("q")).alias("annulus"))
-    found = cut(best(scored(seed, blocks, queries, dim, k), k).select("query_id", "vec_id", "score"))
+    found = cut(best(scored(seed, blocks, queries, counts, dim, k), k).select("query_id", "vec_id", "score"))
     edge = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("reach"))
     rest = queries.join(edge, "query_id", "left").select("query_id", F.explode(opens_rest("q", "reach")).alias("annulus"))
-    out = best(found.unionByName(scored(rest, blocks, queries, dim, k)), k)
+    out = best(found.unionByName(scored(rest, blocks, queries, counts, dim, k)), k)
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
