@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,10 @@ from ledgerloom.functions import money, text
 from ledgerloom.operators import attribution, batches, exceptions, matching, scoring
 from ledgerloom.plans import views
 from ledgerloom.plans.reconcile import reconcile
+from ledgerloom.sources.checkpoints import shared_root
+from ledgerloom.sources.generator import generate
 from ledgerloom.sources.star import STAR_SQL, star_ledgers, table
+from ledgerloom.streaming.exact import as_stream, drain, exact_stream
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -485,3 +489,19 @@ def membership_subset(spark, sf_dir):
 def reconcile_star(spark, sf_dir):
     """All tiers over the star ledgers: every order's decision."""
     return reconcile(star_ledgers(spark, sf_dir)).decisions
+
+
+@query(f"""SELECT s.settlement_id, c.bank_row_id FROM settlements_ s {HI.format(n=3)} JOIN credits_ c ON c.utr = s.utr AND c.credit_paise = s.net_paise AND c.event_date BETWEEN s.event_date AND b.day""")
+def stream_exact_pairs(spark, sf_dir):
+    """The exact tier's pairs from streams of settlements and credits, drained."""
+    l, folder = star_ledgers(spark, sf_dir), f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
+    s = as_stream(l.settlements.select("settlement_id", "utr", "net_paise", "event_date"), folder)
+    c = as_stream(credits_of(l).select("bank_row_id", "utr", "credit_paise", "event_date"), folder)
+    return drain(exact_stream(s, c, days(spark)), folder).where("bank_row_id is not null").select("settlement_id", "bank_row_id")
+
+
+@query()
+def generated_outcomes(spark, sf_dir):
+    """Expected outcomes of synthetic ledgers of as many orders as the table has."""
+    made = generate(spark, table(spark, sf_dir, "orders").count())
+    return made.truth.groupBy("expected").agg(F.count("*").alias("orders"))

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as reliable checkpoint files in the folder that spark.checkpoint.dir names: later plans start there.
+def shared_root(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names; a local one only where that is unset, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root
+
 
-    Only where that setting is empty, as in tests, is a local folder made.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.sparkContext.setCheckpointDir(root)
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as reliable checkpoint files in that folder: later plans start there."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)
