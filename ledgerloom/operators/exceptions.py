@@ -57,3 +57,15 @@ def cash_position(rows: DataFrame) -> DataFrame:
     paise = F.when(F.col("bucket") == "confirmed", F.col("net_paise")).otherwise(F.col("at_stake_paise"))
     own = rows.groupBy("bucket").agg(F.count("*").alias("payouts"), F.sum(paise).alias("paise"))
     return all_.join(own, "bucket", "left").fillna(0, ["payouts", "paise"])
+
+
+def decline_rollup(declines: DataFrame) -> DataFrame:
+    """(kind, reason, n, root_causes) of declines by kind, by reason, by both and in all; null where summed over."""
+    d = declines.select("kind", "reason", F.col("caused_by").isNull().alias("root"))
+    return d.groupingSets([["kind", "reason"], ["kind"], ["reason"], []], "kind", "reason").agg(F.count("*").alias("n"), F.count_if("root").alias("root_causes"))
+
+
+def first_codes(chains: DataFrame) -> DataFrame:
+    """(settlement_id, chains, first_code) from (settlement_id, code, ord): the code of the earliest chain that has one."""
+    rows = chains.where("settlement_id is not null").groupBy("settlement_id")
+    return rows.agg(F.count("*").alias("chains"), F.min_by("code", F.when(F.col("code").isNotNull(), F.col("ord"))).alias("first_code"))

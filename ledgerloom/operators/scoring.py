@@ -51,3 +51,29 @@ def checks(df: DataFrame, section: str, conditions: dict[str, Column]) -> DataFr
     one = df.agg(*[F.count_if(~F.coalesce(c, F.lit(False))).alias(k) for k, c in conditions.items()])
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("check"), F.col(k).alias("failures")) for k in conditions]))
     return one.select(F.lit(section).alias("section"), rows.alias("r")).select("section", "r.check", (F.col("r.failures") == 0).alias("passed"), "r.failures")
+
+
+def counts_of(df: DataFrame, column: str, values: tuple[str, ...], out: str = "n") -> DataFrame:
+    """(column, n): one row for each of ``values``, with zero for those that ``df`` doesn't have."""
+    all_ = df.sparkSession.createDataFrame([(v,) for v in values], f"{column} string")
+    own = df.groupBy(column).agg(F.count("*").alias(out))
+    return all_.join(own, column, "left").fillna(0, [out])
+
+
+def tolerance_curve(pairs: DataFrame, key: str, delta: str, tolerances: tuple[int, ...]) -> DataFrame:
+    """(tolerance, candidates, keys, ambiguous): what each tolerance would admit, and how many keys have more than one.
+
+    Each pair counts at its own least tolerance; a key's running counts over the tolerances, one row for each (key,
+    tolerance), take the place of a join of the pairs with every tolerance.
+    """
+    steps = F.array(*map(F.lit, sorted(tolerances)))
+    least = F.array_min(F.filter(steps, lambda t: t >= F.abs(F.col(delta))))
+    own = pairs.select(key, least.alias("t")).where("t is not null").groupBy(key, "t").agg(F.count("*").alias("n"))
+    running = own.withColumn("upto", F.sum("n").over(W.partitionBy(key).orderBy("t").rowsBetween(W.unboundedPreceding, 0)))
+    first = F.col("upto") == F.col("n")
+    turned = (F.col("upto") > 1) & (F.col("upto") - F.col("n") <= 1)
+    per = running.groupBy("t").agg(F.sum("n").alias("c"), F.count_if(first).alias("k"), F.count_if(turned).alias("a"))
+    all_ = pairs.sparkSession.createDataFrame([(t,) for t in tolerances], "tolerance long")
+    rows = all_.join(per, F.col("tolerance") == F.col("t"), "left").fillna(0, ["c", "k", "a"])
+    w = W.orderBy("tolerance").rowsBetween(W.unboundedPreceding, 0)  # a row for each tolerance
+    return rows.select("tolerance", F.sum("c").over(w).alias("candidates"), F.sum("k").over(w).alias("keys"), F.sum("a").over(w).alias("ambiguous"))

@@ -505,3 +505,53 @@ def generated_outcomes(spark, sf_dir):
     """Expected outcomes of synthetic ledgers of as many orders as the table has."""
     made = generate(spark, table(spark, sf_dir, "orders").count())
     return made.truth.groupBy("expected").agg(F.count("*").alias("orders"))
+
+
+@query(f"""{GATES_SQL} {EXACT_SQL}, d_ AS (SELECT 'orders' AS kind, gate AS reason, NULL AS caused_by FROM gates_ WHERE gate IS NOT NULL
+  UNION ALL SELECT 'orders', e.reason, g.settlement_id FROM gates_ g JOIN exact_ e USING (settlement_id) WHERE g.gate IS NULL AND e.reason IS NOT NULL
+  UNION ALL SELECT 'settlements', reason, NULL FROM exact_ WHERE reason IS NOT NULL)
+  SELECT kind, reason, count(*)::BIGINT AS n, count(*) FILTER (caused_by IS NULL)::BIGINT AS root_causes FROM d_ GROUP BY GROUPING SETS ((kind, reason), (kind), (reason), ())""")
+def decline_rollup(spark, sf_dir):
+    l = star_ledgers(spark, sf_dir)
+    gates = matching.order_gates(l.orders, l.payments, l.chargebacks).select("settlement_id", "gate")
+    exact = matching.exact_settlements(due(spark, l.settlements, 3), credits_of(l)).where("reason is not null").select("settlement_id", "reason")
+    none = F.lit(None).cast("string").alias("caused_by")
+    parts = [
+        gates.where("gate is not null").select(F.lit("orders").alias("kind"), F.col("gate").alias("reason"), none),
+        gates.where("gate is null").join(exact, "settlement_id").select(F.lit("orders").alias("kind"), "reason", F.col("settlement_id").alias("caused_by")),
+        exact.select(F.lit("settlements").alias("kind"), "reason", none),
+    ]
+    return exceptions.decline_rollup(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
+@query(f"""{GATES_SQL} SELECT g.settlement_id, count(*)::BIGINT AS chains, arg_min(gate, o.ord) FILTER (gate IS NOT NULL) AS first_code
+  FROM gates_ g JOIN orders_ o USING (order_id) WHERE g.settlement_id IS NOT NULL GROUP BY 1""")
+def first_codes(spark, sf_dir):
+    l = star_ledgers(spark, sf_dir)
+    return exceptions.first_codes(matching.order_gates(l.orders, l.payments, l.chargebacks).select("settlement_id", F.col("gate").alias("code"), "ord"))
+
+
+@query(f"{TOLERANT_SQL} SELECT rule, confidence, count(*)::BIGINT AS n FROM tol_ GROUP BY ALL")
+def confidence_histogram(spark, sf_dir):
+    return star_tolerant(spark, sf_dir)[1].groupBy("rule", "confidence").agg(F.count("*").alias("n"))
+
+
+@query(f"""{EXACT_SQL}, v_ AS (SELECT unnest(['NO_BANK_CREDIT_WITH_UTR', 'AMOUNT_MISMATCH', 'OUTSIDE_POSTING_WINDOW', 'AMBIGUOUS_MULTI_CANDIDATE', 'BANK_ROW_ALREADY_CLAIMED']) AS reason)
+  SELECT v_.reason, count(e.settlement_id)::BIGINT AS n FROM v_ LEFT JOIN exact_ e ON e.reason = v_.reason GROUP BY 1""")
+def reason_coverage(spark, sf_dir):
+    """Every reason of the exact tier, also those that never came up."""
+    reasons = ("NO_BANK_CREDIT_WITH_UTR", "AMOUNT_MISMATCH", "OUTSIDE_POSTING_WINDOW", "AMBIGUOUS_MULTI_CANDIDATE", "BANK_ROW_ALREADY_CLAIMED")
+    return scoring.counts_of(exact_match_staircase(spark, sf_dir), "reason", reasons)
+
+
+TOLERANCES = (0, 1, 2, 100, 5000, 10_000, 14_000)
+
+
+@query(f"""SELECT tolerance::BIGINT AS tolerance, coalesce(sum(n), 0)::BIGINT AS candidates, count(settlement_id)::BIGINT AS keys, count(*) FILTER (n > 1)::BIGINT AS ambiguous
+  FROM (SELECT unnest({list(TOLERANCES)}) AS tolerance) LEFT JOIN (
+    SELECT t, s.settlement_id, count(*) AS n FROM settlements_ s JOIN credits_ c ON c.utr = s.utr, (SELECT unnest({list(TOLERANCES)}) AS t)
+    WHERE abs(c.credit_paise - s.net_paise) <= t GROUP BY ALL) ON t = tolerance GROUP BY 1""")
+def tolerance_curve(spark, sf_dir):
+    l = star_ledgers(spark, sf_dir)
+    pairs = l.settlements.select("settlement_id", "utr", "net_paise").join(credits_of(l).select("utr", "credit_paise"), "utr")
+    return scoring.tolerance_curve(pairs.withColumn("delta", F.col("credit_paise") - F.col("net_paise")), "settlement_id", "delta", TOLERANCES)
