@@ -1,18 +1,25 @@
 r"""Licence recognition by sentence rules.
 
-A text is cut into sentences with their places; each is normalised (lower case, what isn't a letter, digit, dot or
-hyphen folded to one blank, years and holders of copyright lines taken out) and mapped to the identifier of a known
-licence sentence. The sequence of identifiers is then matched, from the left, against ordered rules: the first rule
-whose sequence stands there names the licence and takes the sentences. A sentence between two known ones may be
-unknown, which ends a sequence.
-
-The table of sentences and the rules are parameters. Null and empty texts have no licence. Texts without any of the
-words that every known sentence has are not looked at sentence by sentence. Repeated rows each keep their row.
+A text is cut into paragraphs at lines without a letter or digit and before list items, and those into sentences at
+full stops. A known sentence may begin and end at a line, a colon or a semicolon too, and may go over several of
+them: from each such place, the shortest part that is a known sentence counts, and one whose pattern leaves its end
+open goes on to the end of the sentence (a copyright line to that of its line). Parts are normalised (lower case,
+what isn't a letter, digit, dot or hyphen folded to one blank, brackets and list numbers taken out, but for the
+copyright mark) and mapped to the identifier of a known licence sentence. The sequence of identifiers is then matched,
+from the left, against ordered rules: the first rule whose sequence stands there names the licence and takes the
+sentences. A part between two known ones may be unknown, which ends a sequence.
+
+The table of sentences and the rules are parameters. Null and empty texts have no licence. Texts and sentences without
+any of the words that every known sentence has, which are read off the table, are not looked at more closely. The
+deciding words of a known sentence are looked for over at most REACH lines and clauses. Repeated rows each keep their row.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from re import _parser
+from re._constants import BRANCH, LITERAL, MAX_REPEAT, SUBPATTERN
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,6 +40,7 @@ SENTENCES = (
     ("gpl3-release", r"(this (software|work|program|file|code) is |.*)?(licensed|released|distributed) under the (terms of the )?gnu general public license version 3( only)?"),
     ("gpl-free", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation.*"),
     ("gpl-hope", r"this program is distributed in the hope that it will be useful but without any warranty.*"),
+    ("gpl-more", r"see the gnu general public license for more details"),
     ("gpl-copy", r"you should have received a copy of the gnu general public license.*"),
     ("gpl2-release", r".*(licensed|released|distributed) under the (terms of the )?gnu general public license version 2( only)?"),
     ("lgpl-release", r".*(licensed|released|distributed) under the (terms of the )?gnu lesser general public license.*"),
@@ -57,6 +65,7 @@ RULES = (
     ("BSD-2-Clause", ("bsd-redistribute", "bsd-source", "bsd-binary")),
     ("Apache-2.0", ("apache2-release", "apache2-comply", "apache2-copy")),
     ("Apache-2.0", ("apache2-release",)),
+    ("GPL-any", ("gpl-free", "gpl-hope", "gpl-more", "gpl-copy")),
     ("GPL-any", ("gpl-free", "gpl-hope", "gpl-copy")),
     ("GPL-any", ("gpl-free",)),
     ("GPL-3.0-only", ("gpl3-release",)),
@@ -70,15 +79,20 @@ RULES = (
     ("SPDX", ("spdx",)),
     ("all-rights-reserved", ("all-rights",)),
 )
-#: Every known sentence has one of these (fixed values).
-NEEDED = r"(?i)licen[sc]e|permission|redistribut|provided|liable|gnu|rights reserved|spdx|copyright|cc0|\(c\)"
-#: A sentence ends at a line feed, or at a mark that white space follows; an SPDX tag's colon ends none.
-ENDS = re.compile(r"[^\n]*?(?:[.!?;](?=\s|$)|(?<!SPDX-License-Identifier):(?=\s|$)|(?=\n)|$)")
+#: Where a paragraph ends: lines without a letter or digit, and the feed before a list item.
+PARAGRAPH = re.compile(r"\n(?:[^\w\n]*\n)+|\n(?=[^\w\n]*\d{1,2}[.)]\s)|\n(?=[ \t]*[*-][ \t]+redistributions )", re.IGNORECASE)
+#: Where a part may end within one, and which of these end the sentence; a list number's dot is none.
+BREAK = re.compile(r"[.!?;:]+(?=\s|$)|\n")
+NUMBER = re.compile(r"\W*\d{1,2}\.")
+#: Lines and clauses over which a known sentence may go before it is decided.
+REACH = 64
 RESULT = "licenses array<string>, spans array<struct<start:long,end:long,license:string>>, sentences array<string>"
 
 
 def normalise(sentence: str) -> str:
-    s = re.sub(r"[^a-z0-9.()-]+", " ", sentence.lower()).strip(" .-")
+    s = re.sub(r"\((?!c\))|(?<!\(c)\)", " ", sentence.lower())
+    s = re.sub(r"[^a-z0-9.()-]+", " ", s).strip(" .-")
+    s = re.sub(r"^\d{1,2}\.? (?=[a-z])", "", s)
     return re.sub(r"\s+", " ", s)
 
 
@@ -86,33 +100,98 @@ def compiled(sentences) -> list[tuple[str, re.Pattern]]:
     return [(name, re.compile(pattern)) for name, pattern in sentences]
 
 
-def sentences_of(text: str) -> list[tuple[int, int]]:
-    """Places of the text's sentences; blanks around them are left out."""
-    out, at = [], 0
-    while at < len(text):
-        end = ENDS.match(text, at).end()
-        end = max(end, at + 1)
-        part = text[at:end]
-        if part.strip():
-            out.append((at + len(part) - len(part.lstrip()), at + len(part.rstrip())))
-        at = end
-    return out
+def required(parsed) -> list[str] | None:
+    """Words of which every match of a parsed pattern has one; None if there are none."""
+    options, run = [], ""
+    for op, value in [*parsed, (None, None)]:
+        if op is LITERAL:
+            run += chr(value)
+            continue
+        options += [[w] for w in re.findall(r"[a-z0-9()]+", run)]
+        run = ""
+        if op is SUBPATTERN:
+            options.append(required(value[-1]))
+        elif op is BRANCH:
+            each = [required(x) for x in value[1]]
+            options.append(None if None in each else [w for x in each for w in x])
+        elif op is MAX_REPEAT and value[0]:
+            options.append(required(value[2]))
+    return max((x for x in options if x), key=lambda x: min(map(len, x)), default=None)
+
+
+def needed_of(sentences) -> str:
+    """A pattern that every text with one of the sentences has a match of."""
+    words = [required(_parser.parse(pattern)) for _, pattern in sentences]
+    return "" if None in words else "(?i)" + "|".join(sorted({re.sub(r"([()])", r"\\\1", w) for x in words for w in x}))
+
+
+NEEDED = needed_of(SENTENCES)
+
+
+def sentences_of(text: str) -> Iterator[tuple[int, int, list[int]]]:
+    """(start, end, breaks) of the text's sentences; breaks are the places where a part may end, the end the last."""
+    at = 0
+    for stop in [*(m.span() for m in PARAGRAPH.finditer(text)), (len(text), len(text))]:
+        start, breaks = at, []
+        for m in BREAK.finditer(text, at, stop[0]):
+            if NUMBER.fullmatch(text, breaks[-1] if breaks else start, m.end()):
+                continue
+            breaks.append(m.end())
+            if m.group()[-1] in ".!?":
+                yield start, m.end(), breaks
+                start, breaks = m.end(), []
+        if text[start : stop[0]].strip():
+            yield start, stop[0], [*breaks, stop[0]] if not breaks or breaks[-1] < stop[0] else breaks
+        at = stop[1]
+
+
+def known_part(text: str, starts: list[int], ends: list[int], k: int, known) -> tuple[int, int, re.Match, str] | None:
+    """(first, last, match, identifier) of the known sentence that begins at part k, in parts."""
+    for j in range(k, min(len(ends), k + REACH)):
+        norm = normalise(text[starts[k] : ends[j]])
+        for name, p in known:
+            m = p.fullmatch(norm)
+            if not m:
+                continue
+            if p.pattern.endswith(".*"):
+                return k, j if name == "copyright" else len(ends) - 1, m, name
+            # what leads up to it stays out; what may follow it goes in
+            while k < j and p.fullmatch(normalise(text[starts[k + 1] : ends[j]])):
+                k += 1
+            last = j
+            if not re.match(r"\(*\.\*|\(.*?\|\.\*\)", p.pattern):
+                last = max((x for x in range(j, min(len(ends), j + 3)) if p.fullmatch(normalise(text[starts[k] : ends[x]]))), default=j)
+            return k, last, m, name
+    return None
 
 
 def recognise(text: str, known: list[tuple[str, re.Pattern]], rules, needed: re.Pattern) -> tuple[list[str], list[dict], list[str]]:
     """(licences, spans, identifiers) of one text."""
     found: list[tuple[int, int, str | None, str]] = []
-    for start, end in sentences_of(text):
-        sentence = text[start:end]
-        if not needed.search(sentence):
-            name, spdx = None, ""
-        else:
-            norm = normalise(sentence)
-            hit = next(((n, m) for n, p in known if (m := p.fullmatch(norm))), None)
-            name = hit[0] if hit else None
-            spdx = (hit[1].groupdict().get("name") or "") if hit else ""
-        if name or (found and found[-1][2]):
-            found.append((start, end, name, spdx))
+
+    def unknown() -> None:
+        if found and found[-1][2]:
+            found.append((0, 0, None, ""))
+
+    for start, end, ends in sentences_of(text):
+        if not needed.search(text, start, end):
+            unknown()
+            continue
+        starts = [start, *ends[:-1]]
+        k = 0
+        while k < len(ends):
+            hit = known_part(text, starts, ends, k, known)
+            if not hit:
+                if re.search(r"\w", text[starts[k] : ends[k]]):
+                    unknown()
+                k += 1
+                continue
+            first, last, m, name = hit
+            if re.search(r"\w", text[starts[k] : starts[first]]):
+                unknown()
+            part = text[starts[first] : ends[last]]
+            found.append((ends[last] - len(part.lstrip()), starts[first] + len(part.rstrip()), name, m.groupdict().get("name") or ""))
+            k = last + 1
     names = [f[2] for f in found]
     spans, k = [], 0
     while k < len(names):
@@ -126,8 +205,9 @@ def recognise(text: str, known: list[tuple[str, re.Pattern]], rules, needed: re.
     return sorted({s["license"] for s in spans}), spans, [n for n in names if n]
 
 
-def with_licenses(docs: DataFrame, text_col: str = "text", sentences=SENTENCES, rules=RULES, needed: str = NEEDED) -> DataFrame:
+def with_licenses(docs: DataFrame, text_col: str = "text", sentences=SENTENCES, rules=RULES, needed: str | None = None) -> DataFrame:
     """``docs`` with licenses (sorted), spans (start, end in code points, licence) and the identifiers met."""
+    needed = needed_of(sentences) if needed is None else needed
 
     @F.pandas_udf(RESULT)
     def scan(texts: pd.Series) -> pd.DataFrame:
@@ -145,5 +225,5 @@ def op7_license_scan(spark, sf_dir):
     first = F.element_at(F.col("spans"), 1)
     return docs.select(
         "doc_id", F.array_join("licenses", ",").alias("licenses"), F.size("spans").cast("long").alias("n_spans"),
-        F.when(F.size("spans") > 0, first["start"]).alias("first_start"), F.when(F.size("spans") > 0, first["end"]).alias("first_end"), F.array_join("sentences", ",").alias("sentences"),
+        F.when(F.size("spans") > 0, first["start"]).alias("first_start"), F.when(F.size("spans") > 0, first["end"]).alias("first_end"), F.array_join("sentences", ",").alias("sentences"), "spans",
     )
