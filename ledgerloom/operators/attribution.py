@@ -111,6 +111,29 @@ def pair_candidates(gaps: DataFrame, items: DataFrame, tolerance: int, scope: li
     return out.distinct()
 
 
+def pair_counts(gaps: DataFrame, items: DataFrame, tolerance: int) -> DataFrame:
+    """(gap_id, n_candidates): how many pairs ``pair_candidates`` finds for each gap with any, without making them.
+
+    Items are counted by magnitude first, less those of the gap's own settlement; a gap then meets each magnitude once,
+    and that at most the 2 * tolerance + 1 magnitudes that fit it.
+    """
+    width = 2 * tolerance + 1
+    pool = items.where("magnitude is not null").dropDuplicates(["item_id", "magnitude", "item_settlement"])
+    g = gaps.select("gap_id", "settlement_id", F.abs("delta").alias("target"))
+    total = cut(pool.groupBy("magnitude").agg(F.count("*").alias("n")))
+    own = cut(g.join(pool, F.col("settlement_id").eqNullSafe(F.col("item_settlement"))).groupBy("gap_id", "magnitude").agg(F.count("*").alias("o")))
+    left = lambda m: own.select("gap_id", F.col("magnitude").alias(m), "o")
+    half = g.join(total.select(F.col("magnitude").alias("ma"), F.col("n").alias("na"))).where(F.col("ma") * 2 <= F.col("target") + tolerance)
+    half = half.join(left("ma"), ["gap_id", "ma"], "left").withColumn("na", F.col("na") - F.coalesce("o", F.lit(0))).where("na > 0").drop("o")
+    probe = half.withColumn("__k", F.explode(F.array(*[F.floor((F.col("target") - F.col("ma")) / width) + k for k in (-1, 0, 1)])))
+    b = total.select(F.col("magnitude").alias("mb"), F.col("n").alias("nb"), F.floor(F.col("magnitude") / width).alias("__k"))
+    hits = probe.join(b, "__k").where((F.abs(F.col("target") - F.col("ma") - F.col("mb")) <= tolerance) & (F.col("ma") <= F.col("mb")))
+    hits = hits.join(left("mb"), ["gap_id", "mb"], "left").withColumn("nb", F.col("nb") - F.coalesce("o", F.lit(0)))
+    same = F.expr("na * (na - 1) div 2")
+    n = F.sum(F.when(F.col("ma") == F.col("mb"), same).otherwise(F.col("na") * F.col("nb")))
+    return hits.groupBy("gap_id").agg(n.cast("long").alias("n_candidates")).where("n_candidates > 0")
+
+
 def pair_fits(gaps: DataFrame, items: DataFrame, tolerance: int, bins: int = 4096) -> DataFrame:
     """gaps with expected, the chance fits of a pair of items.
 
@@ -142,13 +165,13 @@ def pair_fits(gaps: DataFrame, items: DataFrame, tolerance: int, bins: int = 409
     return gaps.withColumn("expected", expected(F.col("delta").cast("double")))
 
 
-def attribute(gaps: DataFrame, items: DataFrame, tolerance: int = C.NET_TOLERANCE, chance_pairs: float = 50.0) -> DataFrame:
+def attribute(gaps: DataFrame, items: DataFrame, tolerance: int = C.NET_TOLERANCE, chance_pairs: float | None = None) -> DataFrame:
     """(gap_id, level, outcome, item_id, n_candidates, expected, band, confidence) for each gap (gap_id, settlement_id, delta).
 
     The first level with a candidate decides: one is the cause unless chance explains it as well, several are
-    ambiguous. Pairs are looked for only where no single item fits, and only where fewer than ``chance_pairs``
-    pairs would fit by chance: beyond that the search could end in nothing but an ambiguity, which is what is said,
-    with n_candidates null.
+    ambiguous. Pairs are looked for only where no single item fits: they are counted exactly for every gap, and made
+    only where the count is one. With ``chance_pairs``, for callers that use nothing but causes that chance doesn't
+    explain, gaps for which as many pairs are expected by chance are not looked at and have n_candidates null.
     """
     open_ = gaps.where(F.abs("delta") > tolerance)
     singles = single_candidates(open_, items, tolerance)
@@ -157,10 +180,13 @@ def attribute(gaps: DataFrame, items: DataFrame, tolerance: int = C.NET_TOLERANC
     fits = single_fits(open_.join(first.select("gap_id"), "gap_id", "left_semi"), items, tolerance)
     one = first.join(fits.select("gap_id", "kind", "expected"), ["gap_id", "kind"], "left").withColumn("base", F.lit(C.CONFIDENCE["single"]))
     rest = cut(pair_fits(open_.join(first.select("gap_id"), "gap_id", "left_anti").select("gap_id", "settlement_id", "delta"), items, tolerance))
-    few = rest.where(F.col("expected") < chance_pairs)
-    pairs = pair_candidates(few.drop("expected"), items, tolerance).groupBy("gap_id").agg(F.count("*").alias("n_candidates"), F.min(F.concat_ws("+", "item_a", "item_b")).alias("item_id"))
-    many = rest.where(F.col("expected") >= chance_pairs).select("gap_id", F.lit(None).cast("long").alias("n_candidates"), F.lit(None).cast("string").alias("item_id"), "expected")
-    two = pairs.join(few.select("gap_id", "expected"), "gap_id").select(*many.columns).unionByName(many)
+    few = rest if chance_pairs is None else rest.where(F.col("expected") < chance_pairs)
+    counts = cut(pair_counts(few, items, tolerance))
+    only = pair_candidates(few.drop("expected").join(counts.where("n_candidates = 1"), "gap_id", "left_semi"), items, tolerance)
+    only = only.groupBy("gap_id").agg(F.min(F.concat_ws("+", "item_a", "item_b")).alias("item_id"))
+    two = counts.join(few.select("gap_id", "expected"), "gap_id").join(only, "gap_id", "left").select("gap_id", "n_candidates", "item_id", "expected")
+    if chance_pairs is not None:
+        two = two.unionByName(rest.where(F.col("expected") >= chance_pairs).select("gap_id", F.lit(None).cast("long").alias("n_candidates"), F.lit(None).cast("string").alias("item_id"), "expected"))
     two = two.withColumns({"level": F.lit("L4"), "kind": F.lit("pair"), "base": F.lit(C.CONFIDENCE["pair"])})
     found = one.unionByName(two.select(*one.columns))
     rows = gaps.select("gap_id", "settlement_id", "delta").join(found, "gap_id", "left").withColumn("band", band(F.col("expected")))
