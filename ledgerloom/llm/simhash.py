@@ -7,15 +7,21 @@ both masks hold, so pairs of groups beyond the limit are pruned as a whole. For
 down the two groups' own hierarchies in the same way, level by level, with the bits factored out at each node.
 
 What a task finds leaves it as a spanning forest, not as pairs, so that a group of many near copies gives one row
-for each fingerprint; connected components are then computed by label propagation with shortcuts.
+for each fingerprint; within a tree, each node has at most SPREAD others below it, so that no node is a hot key.
+Connected components are then computed by label propagation with shortcuts.
 
-Null and empty texts, and texts without words, have fingerprint zero. Texts with fewer words than a shingle have one
+Each fingerprint is sent to as many pairs of groups as its own group is near: with g bits shared by a group of random
+fingerprints about 1 + g + g^2 / 2 + g^3 / 6 of 2^g, and all groups while g is small.
+
+Null and empty texts, and texts without words, have fingerprint zero. Texts are read whole, however long, shingles in
+blocks. Columns of ``docs`` other than the id and the text are ignored, whatever their names. Texts with fewer words than a shingle have one
 shingle of all their words. Rows with null ids get the component of their fingerprint; a component with null ids
 only is null. Repeated rows each keep their row.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -24,12 +30,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut, shuffle_partitions, table
+from ledgerloom.llm.common import cut, salted_rank, shuffle_partitions, table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 #: Children of a node, and the most node pairs that a task looks at at once.
 FAN, FRONTIER = 8, 1 << 17
+#: Rows of a group at most and at least, the most groups (beyond, they have more rows), and edges from one node that a task returns.
+GROUP, LEAST, GROUPS, SPREAD = 1 << 18, 1024, 4096, 64
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -132,79 +140,69 @@ def forest(left: np.ndarray, right: np.ndarray | None, limit: int) -> np.ndarray
     return root_of(parent, np.arange(len(parent)))
 
 
-def links(distinct: DataFrame, limit: int = 3, group_rows: int = 1 << 13) -> DataFrame:
+def links(distinct: DataFrame, limit: int = 3, group_rows: int | None = None) -> DataFrame:
     """(a, b), a < b: edges between fingerprints (column fp) that connect exactly what links within ``limit`` bits do.
 
-    Groups number as the rows over ``group_rows``, at most 4096; what each sends to its tasks is one row of packed
-    fingerprints. The directory of masks is one row for each group.
+    Groups have at most GROUP rows, up to GROUPS of them, and are smaller only as far as every task should have a few
+    pairs. The directory, one mask and pattern for each group, is looked up where a group lies; a group is then sent
+    once to each pair it is in.
     """
-    spark = distinct.sparkSession
     n = distinct.count()
-    groups = int(min(4096, max(1, -(-n // group_rows))))
-    ranked = distinct.select("fp", gray_rank(F.col("fp")).alias("gray"))
-    if groups > 1:
-        cuts = ranked.select(F.percentile_approx("gray", [i / groups for i in range(1, groups)], 20 * groups)).first()[0]
-        cuts = sorted(set(cuts))
-    else:
-        cuts = []
-
-    def find(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("gray") < F.lit(cuts[mid]), find(lo, mid)).otherwise(find(mid + 1, hi))
-
-    # a tree of when() for the coarse cuts keeps the expression small; beyond it a lookup in the sorted cuts
-    if len(cuts) <= 255:
-        dealt = ranked.withColumn("g", find(0, len(cuts)))
-    else:
-        edges = np.array(cuts, dtype=np.int64)
-
-        @F.pandas_udf("int")
-        def look(gray: pd.Series) -> pd.Series:
-            return pd.Series(np.searchsorted(edges, gray.to_numpy(np.int64), side="right").astype(np.int32))
-
-        dealt = ranked.withColumn("g", look("gray"))
-    packed = cut(
-        dealt.groupBy("g").agg(
-            F.array_sort(F.collect_list(F.struct("gray", "fp"))).getField("fp").alias("fps"),
-            F.expr("bit_and(fp)").alias("ones"), F.expr("bit_or(fp)").alias("some"),
-        )
-    )
-    directory = packed.select("g", "ones", "some").collect()  # at most 4096 rows
-    ids = np.array([r["g"] for r in directory], dtype=np.int64)
-    ones = np.array([r["ones"] for r in directory], dtype=np.int64).view(np.uint64)
-    mask = ~(ones ^ np.array([r["some"] for r in directory], dtype=np.int64).view(np.uint64))
-    pairs = []
-    for k in range(len(ids)):
-        near = np.bitwise_count((ones[k] ^ ones[k:]) & mask[k] & mask[k:]) <= limit
-        pairs += [(int(ids[k]), int(ids[k + x])) for x in np.flatnonzero(near)]
-    tasks = spark.createDataFrame(pairs, "g long, h long") if pairs else spark.createDataFrame([], "g long, h long")
-    wide = tasks.join(packed.select(F.col("g").cast("long").alias("g"), F.col("fps").alias("left")), "g")
-    wide = wide.join(packed.select(F.col("g").cast("long").alias("h"), F.col("fps").alias("right")), "h")
-    wide = wide.repartition(max(shuffle_partitions(spark), min(len(pairs), 4096)), "g", "h")
-
-    def compare(batches):
-        for pdf in batches:
-            for g, h, left, right in zip(pdf["g"], pdf["h"], pdf["left"], pdf["right"], strict=True):
-                left, right = np.asarray(left, np.int64), np.asarray(right, np.int64)
-                both = left if g == h else np.concatenate([left, right])
-                top = forest(left.view(np.uint64), None if g == h else right.view(np.uint64), limit)
-                # the smallest fingerprint of each tree is its root
-                low = np.full(len(both), np.iinfo(np.int64).max)
-                np.minimum.at(low, top, both)
-                a = low[top]
-                moved = a != both
-                yield pd.DataFrame({"a": a[moved], "b": both[moved]})
-
-    return wide.mapInPandas(compare, "a long, b long")
+    if not n:
+        return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+    spread = 2 * math.isqrt(shuffle_partitions(distinct.sparkSession)) + 1
+    wanted = -(-n // group_rows) if group_rows else max(-(-n // GROUP), min(spread, -(-n // LEAST)))
+    groups = min(GROUPS, wanted)
+    ranked = distinct.select(gray_rank(F.col("fp")).alias("gray"))
+    cuts = ranked.select(F.percentile_approx("gray", [i / groups for i in range(groups)], 20 * groups)).first()[0]
+    edges = np.array(sorted(set(cuts[1:])), dtype=np.int64)
+
+    @F.pandas_udf("int")
+    def look(gray: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, gray.to_numpy(np.int64), side="right").astype(np.int32))
+
+    fp = F.col("gray").bitwiseXOR(F.lit(-(2**63)))
+    fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, 1))
+    dealt = ranked.select(look("gray").alias("g"), "gray", fp.alias("fp")).groupBy("g")
+    packed = cut(dealt.agg(F.array_sort(F.collect_list("gray")).alias("grays"), F.expr("bit_and(fp)").alias("ones"), F.expr("bit_or(fp)").alias("some")))
+    directory = packed.select("g", "ones", "some").toPandas()  # at most GROUPS rows
+    ids, ones = directory["g"].to_numpy(np.int32), directory["ones"].to_numpy(np.int64)
+    mask = ~(ones ^ directory["some"].to_numpy(np.int64))
+
+    @F.pandas_udf("array<int>")
+    def near(one: pd.Series, some: pd.Series) -> pd.Series:
+        return pd.Series([ids[np.bitwise_count(((x ^ ones) & ~(x ^ y) & mask).view(np.uint64)) <= limit] for x, y in zip(one.to_numpy(np.int64), some.to_numpy(np.int64), strict=True)])
+
+    met = packed.select("g", "grays", F.explode(near("ones", "some")).alias("h")).select(F.least("g", "h").alias("p"), F.greatest("g", "h").alias("q"), "g", "grays")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        each = [np.asarray(x, np.int64).view(np.uint64) ^ np.uint64(1 << 63) for x in pdf["grays"]]
+        each = [x ^ (x >> np.uint64(1)) for x in each]
+        top = forest(each[0], each[1] if len(each) > 1 else None, limit)
+        fps = np.concatenate(each).view(np.int64)
+        order = np.lexsort((fps, top))
+        top, fps, at = top[order], fps[order], np.arange(len(order))
+        start = np.maximum.accumulate(np.where(np.concatenate([[True], top[1:] != top[:-1]]), at, 0))
+        up = start + (at - start - 1) // SPREAD
+        child = at > start
+        return pd.DataFrame({"a": fps[up[child]], "b": fps[child]})
+
+    return met.groupBy("p", "q").applyInPandas(compare, "a long, b long")
+
+
+def thin(edges: DataFrame) -> DataFrame:
+    """Edges that connect what ``edges`` (a, b) do, with no a above SPREAD times: beyond, neighbours of a hang below each other."""
+    ranked = cut(salted_rank(edges.distinct(), "a", [F.col("b")], "r", F.xxhash64("b")))
+    up = ranked.select("a", F.col("r").alias("up"), F.col("b").alias("above"))
+    far = ranked.where(F.col("r") >= SPREAD).withColumn("up", F.floor(F.col("r") / SPREAD) - 1)
+    return ranked.where(F.col("r") < SPREAD).select("a", "b").unionByName(far.join(up, ["a", "up"]).select(F.col("above").alias("a"), "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of ``edges`` (a, b) reaches.
 
-    Each round, every node takes the smallest label among its own and its neighbours' (partial minima leave each
-    task, so a node with many neighbours is no hot key), and then its label's label. Rounds end when no label moves.
+    Each round, every node takes the smallest label among its own and its neighbours', and then its label's label.
+    Rounds end when no label moves. Edges of which one node has very many are best thinned first (``thin``).
     """
     pairs = cut(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(pairs.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
