@@ -48,13 +48,16 @@ def fingerprint(text: str | None, shingle: int) -> int:
         shingles = [" ".join(words)]
     else:
         shingles = map(" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    hashed = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64)
+    return majority(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64))
+
+
+def majority(hashed: np.ndarray) -> int:
+    """The word with each bit set that over half of the hashes have set."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashed), 1 << 16):  # a block at a time: very long texts
         block = hashed[at : at + (1 << 16)]
         ones += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits(2 * ones > len(hashed), bitorder="little")
-    return int(bits.view(np.int64)[0])
+    return int(np.packbits(2 * ones > len(hashed), bitorder="little").view(np.int64)[0])
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", out: str = "fp", shingle: int = 3) -> DataFrame:
