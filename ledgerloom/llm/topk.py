@@ -7,11 +7,15 @@ inequality), so its score is at most (|q|^2 + greatest |x|^2 - gap^2) / 2. Each
 that bound: first as many as surely hold k vectors, then those whose bound reaches the k-th score so far; at the
 first annulus below it the search stops. Scores are integers and the result is exact; the pivots only decide speed.
 
+Neighbouring annuli lie together in blocks, an annulus larger than a block in several. A query goes once to each block
+that has an annulus it opens, with a mask of these, and takes home only what reaches its k-th score so far. Where the
+bounds prune nothing, as among random directions, the search is a product of all queries with all vectors in blocks.
+
 Equal vectors are indexed once, with the k + 1 smallest ids of their rows: no result can need another of them.
 
 Vectors that are null, or hold null or non-finite components, and rows with null ids take no part. Vectors of
 different lengths are compared as if the shorter ended in zeros. Of rows with equal ids the smallest vector counts.
-Scores must fit a long. Empty tables give no rows.
+Scores must fit a long. Empty tables give no rows. Texts play no part; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,9 +28,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import cut, shuffle_partitions, table
 
-#: Pivots, rings for each, and the sample they are fitted on: the directory has at most PIVOTS * RINGS rows.
-PIVOTS, RINGS, SAMPLE = 48, 16, 4096
-#: Vectors in one block of an annulus, queries in one block, so that a large annulus is many tasks.
+#: Pivots at least and at most (in between the square root of the vectors over 4), rings for each, and the sample they are
+#: fitted on: the directory has at most MOST_PIVOTS * RINGS rows.
+PIVOTS, MOST_PIVOTS, RINGS, SAMPLE = 48, 512, 16, 4096
+#: Vectors in one block, queries in one block.
 BLOCK, QUERIES = 4096, 1024
 
 
@@ -71,6 +76,33 @@ def distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (p**2).sum(1) - 2 * x @ p.T, 0))
 
 
+def layout(sizes: np.ndarray, block: int) -> np.ndarray:
+    """(first block, blocks, slot) of each annulus: in turn into blocks of about ``block`` vectors and 256 annuli at most, a larger one alone into several."""
+    out, at, filled, slot = [], 0, 0, 0
+    for n in sizes.tolist():
+        if slot and (filled + n > block or slot == 256):
+            at, filled, slot = at + 1, 0, 0
+        parts = max(1, -(-n // block))
+        out.append((at, parts, slot))
+        if parts > 1:
+            at, filled, slot = at + parts, 0, 0
+        else:
+            filled, slot = filled + n, slot + 1
+    return np.array(out, dtype=np.int64).reshape(-1, 3)
+
+
+def masks(places: np.ndarray) -> list[dict]:
+    """Blocks of the annuli at ``places`` (from ``layout``, in order), each with the bits of their slots."""
+    out = []
+    starts = np.flatnonzero(np.diff(places[:, 0], prepend=-1))
+    for part in np.split(places, starts[1:]) if len(places) else []:
+        bits = np.zeros(256, bool)
+        bits[part[:, 2]] = True
+        mask = np.packbits(bits).tobytes()
+        out += [{"block": int(part[0, 0] + i), "opens": mask} for i in range(part[0, 1])]
+    return out
+
+
 def bounds(q: np.ndarray, pivots: np.ndarray, d: pd.DataFrame) -> np.ndarray:
     """Upper bound of each query's score in each annulus, a little above for rounding."""
     at = distances(q, pivots)[:, d["pivot"].to_numpy()]
@@ -82,52 +114,46 @@ def bounds(q: np.ndarray, pivots: np.ndarray, d: pd.DataFrame) -> np.ndarray:
     return np.minimum(by_gap, by_length) * (1 + 1e-9) + 1.0
 
 
-def scored(opened: DataFrame, blocks: DataFrame, queries: DataFrame, counts: DataFrame, dim: int, k: int) -> DataFrame:
-    """(query_id, vec_id, score): the k best of each query in each block of the annuli it opens.
+def scored(opened: DataFrame, blocks: DataFrame, dim: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score): of each block a query is sent to, its k best in the annuli it opens that reach ``reach``.
 
-    ``opened``: query_id, annulus; ``counts``: annulus, blocks. Queries of an annulus go in blocks, too; a pair of blocks
-    is one unit of work. Pairs meet by (annulus, block), so a hot annulus is as many keys as it has blocks.
+    ``opened``: query_id, q, reach, block, opens (a byte of bits for eight annuli of the block). Queries of a block go in
+    parts, too; a pair of block and part is one unit of work.
     """
-    asking = opened.groupBy("annulus").agg(F.count("*").alias("asking"))  # at most PIVOTS * RINGS rows
+    asking = opened.groupBy("block").agg(F.count("*").alias("asking"))
     part = F.pmod(F.xxhash64("query_id"), F.greatest(F.ceil(F.col("asking") / QUERIES), F.lit(1)))
-    asked = opened.join(F.broadcast(asking), "annulus").join(queries, "query_id").withColumn("part", part)
-    asked = asked.groupBy("annulus", "part").agg(F.collect_list(F.struct("query_id", "q")).alias("asked"))
-    asked = asked.join(F.broadcast(counts), "annulus").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    tasks = 4 * shuffle_partitions(opened.sparkSession)
-    pairs = asked.repartition(tasks, "annulus", "block").join(blocks.repartition(tasks, "annulus", "block"), ["annulus", "block"])
-
-    def run(batches):
+    asked = opened.join(asking, "block").withColumn("part", part).groupBy("block", "part").agg(F.collect_list(F.struct("query_id", "q", "reach", "opens")).alias("asked"))
+    pairs = asked.repartition(4 * shuffle_partitions(opened.sparkSession), "block", "part").join(blocks, "block")
+
+    def run(asked_, held) -> pd.DataFrame:
+        qid = np.array([a["query_id"] for a in asked_], np.int64)
+        reach = np.array([a["reach"] for a in asked_], np.float64)
+        opens = np.unpackbits(np.frombuffer(b"".join(a["opens"] for a in asked_), np.uint8).reshape(len(qid), -1), axis=1).astype(bool)
+        held = sorted(held, key=lambda h: h["ids"][0])  # ties at the edge go to smaller ids
+        q, x = matrix([a["q"] for a in asked_], dim), matrix([h["v"] for h in held], dim)
+        slot = np.array([h["slot"] for h in held])
+        s = product(q, x)
+        whole = opens[:, slot] & (s >= reach[:, None])
+        if len(held) > k + 1:  # k + 1 vectors, ties at the edge all in: one of them may be the query's own
+            shown = np.where(whole, s, np.iinfo(np.int64).min)
+            whole &= shown >= np.partition(shown, len(held) - k - 1, axis=1)[:, [len(held) - k - 1]]
+        row, at = np.nonzero(whole)
+        order = np.lexsort((at, -s[row, at], row))
+        row, at = row[order], at[order]
+        first = np.searchsorted(row, row, side="left")
+        few = np.arange(len(row)) - first <= k
+        row, at = row[few], at[few]
+        ids = [held[j]["ids"] for j in at]
+        times = np.array([len(i) for i in ids], np.int64)
+        out = pd.DataFrame({"query_id": np.repeat(qid[row], times), "vec_id": np.array([i for one in ids for i in one], np.int64), "score": np.repeat(s[row, at], times)})
+        return out[out["query_id"] != out["vec_id"]]
+
+    def units(batches):
         for pdf in batches:
             for asked_, held in zip(pdf["asked"], pdf["held"], strict=True):
-                qid = np.array([a["query_id"] for a in asked_], np.int64)
-                q, x = matrix([a["q"] for a in asked_], dim), matrix([h["v"] for h in held], dim)
-                own = [h["ids"] for h in held]
-                least = np.array([i[0] for i in own], np.int64)
-                s = product(q, x)
-                for row, one in enumerate(qid):
-                    if len(own) > k + 1:
-                        # k + 1 vectors, ties at the edge all in: one of them may be the query's own
-                        edge = np.partition(s[row], len(own) - k - 1)[len(own) - k - 1]
-                        at = np.flatnonzero(s[row] >= edge)
-                        at = at[np.lexsort((least[at], -s[row][at]))][: k + 1]
-                    else:
-                        at = np.arange(len(own))
-                    found = sorted((-int(s[row, j]), int(i)) for j in at for i in own[j] if i != one)[:k]
-                    yield pd.DataFrame({"query_id": one, "vec_id": [i for _, i in found], "score": [-x for x, _ in found]}, dtype="int64")
-
-    return merge_frames(pairs.select("asked", "held"), run)
-
-
-def merge_frames(pairs: DataFrame, run) -> DataFrame:
-    """One output batch for each input batch instead of one for each query."""
-
-    def batched(batches):
-        for pdf in batches:
-            frames = list(run([pdf]))
-            if frames:
-                yield pd.concat(frames, ignore_index=True)
+                yield run(asked_, held)
 
-    return pairs.mapInPandas(batched, "query_id long, vec_id long, score long")
+    return pairs.select("asked", "held").mapInPandas(units, "query_id long, vec_id long, score long")
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
@@ -135,13 +161,13 @@ def best(found: DataFrame, k: int) -> DataFrame:
     return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def top_k(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS, sample: int = SAMPLE) -> DataFrame:
+def top_k(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int | None = None, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows of ``rows`` for which ``is_query`` (over vec_id) holds, against all."""
     spark = rows.sparkSession
     vectors = cut(integer_vectors(rows, id_col, vec_col))
-    dim = vectors.agg(F.max(F.size("v"))).first()[0]
-    if not dim:  # no vector, or empty ones only: all scores are 0
-        dim = 1
+    total = vectors.agg(F.max(F.size("v")).alias("dim"), F.count("*").alias("n")).first()
+    dim = total["dim"] or 1  # no vector, or empty ones only: all scores are 0
+    pivots = pivots or min(MOST_PIVOTS, max(PIVOTS, int(total["n"] ** 0.5) // 4))
     p, width = fit_pivots(vectors, dim, pivots, sample)
     if not len(p):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -159,43 +185,42 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
         return pd.DataFrame({"annulus": near * RINGS + ring, "distance": far, "norm2": (x**2).sum(1)})
 
     keyed = cut(distinct.withColumn("key", key("v")).select("v", "ids", "key.annulus", "key.distance", "key.norm2"))
-    stats = keyed.groupBy("annulus").agg(F.min("distance").alias("near"), F.max("distance").alias("far"), F.max("norm2").alias("norm2"), F.sum(F.size("ids")).alias("n"))
-    directory = stats.orderBy("annulus").toPandas()  # at most PIVOTS * RINGS rows
+    stats = keyed.groupBy("annulus").agg(F.min("distance").alias("near"), F.max("distance").alias("far"), F.max("norm2").alias("norm2"), F.sum(F.size("ids")).alias("n"), F.count("*").alias("v"))
+    directory = stats.orderBy("annulus").toPandas()  # at most MOST_PIVOTS * RINGS rows
     directory["pivot"] = directory["annulus"] // RINGS
-    sizes = directory["n"].to_numpy(np.int64)
-    counts = spark.createDataFrame([(int(a), max(1, -(-int(n) // BLOCK))) for a, n in zip(directory["annulus"], sizes, strict=True)], "annulus int, blocks long")
-    blocks = keyed.join(F.broadcast(counts), "annulus").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")))
-    blocks = blocks.groupBy("annulus", "block").agg(F.collect_list(F.struct("v", "ids")).alias("held"))
+    sizes, places = directory["n"].to_numpy(np.int64), layout(directory["v"].to_numpy(np.int64), block)
+    at = spark.createDataFrame([(int(a), *map(int, place)) for a, place in zip(directory["annulus"], places, strict=True)], "annulus int, block long, parts long, slot int")
+    blocks = keyed.join(F.broadcast(at), "annulus").withColumn("block", F.col("block") + F.pmod(F.xxhash64("v"), F.col("parts")))
+    blocks = cut(blocks.groupBy("block").agg(F.collect_list(F.struct("slot", "v", "ids")).alias("held")))
     queries = vectors.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    names = directory["annulus"].to_numpy(np.int64)
 
-    def opens(q: pd.Series, reach: np.ndarray | None) -> list[list[int]]:
-        """Annuli by falling bound. reach None: those that hold k others for sure; else the rest, up to the first below reach."""
+    def opens(q: pd.Series, reach: np.ndarray | None) -> list[list[dict]]:
+        """Blocks with the annuli to open, by falling bound. reach None: those that hold k others for sure; else the rest, up to the first below reach."""
         upper = bounds(matrix(q, dim), p, directory)
         out = []
         for row in range(len(upper)):
             order = np.argsort(-upper[row], kind="stable")
             head = int(np.searchsorted(np.cumsum(sizes[order]), k + 1) + 1)
-            if reach is None:
-                out.append(names[order[:head]].tolist())
-            else:
-                rest = order[head:]
-                out.append(names[rest[upper[row][rest] >= reach[row]]].tolist())
+            chosen = order[:head] if reach is None else order[head:][upper[row][order[head:]] >= reach[row]]
+            out.append(masks(places[np.sort(chosen)]))
         return out
 
-    @F.pandas_udf("array<int>")
+    opened = "array<struct<block:bigint,opens:binary>>"
+
+    @F.pandas_udf(opened)
     def opens_first(q: pd.Series) -> pd.Series:
         return pd.Series(opens(q, None))
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf(opened)
     def opens_rest(q: pd.Series, reach: pd.Series) -> pd.Series:
-        return pd.Series(opens(q, reach.fillna(-np.inf).to_numpy(np.float64)))
+        return pd.Series(opens(q, reach.to_numpy(np.float64)))
 
-    seed = queries.select("query_id", F.explode(opens_first("q")).alias("annulus"))
-    found = cut(best(scored(seed, blocks, queries, counts, dim, k), k).select("query_id", "vec_id", "score"))
+    least = F.lit(float("-inf"))
+    sent = lambda df, o: df.withColumn("o", F.explode(o)).select("query_id", "q", "reach", "o.block", "o.opens")
+    found = cut(best(scored(sent(queries.withColumn("reach", least), opens_first("q")), blocks, dim, k), k).select("query_id", "vec_id", "score"))
     edge = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("reach"))
-    rest = queries.join(edge, "query_id", "left").select("query_id", F.explode(opens_rest("q", "reach")).alias("annulus"))
-    out = best(found.unionByName(scored(rest, blocks, queries, counts, dim, k)), k)
+    known = queries.join(edge, "query_id", "left").withColumn("reach", F.coalesce("reach", least))
+    out = best(found.unionByName(scored(sent(known, opens_rest("q", "reach")), blocks, dim, k)), k)
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

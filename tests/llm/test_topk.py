@@ -3,9 +3,10 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.topk import top_k
+from ledgerloom.llm.topk import layout, masks, top_k
 
 SCHEMA = "vec_id long, embedding array<double>, score string, rank string"
 
@@ -39,6 +40,15 @@ def test_matches_brute_force_with_ties_and_odd_vectors(spark):
     rows += [(400, None, "", ""), (401, [1.0, None], "", ""), (402, [float("nan")], "", ""), (406, [float("inf")] * 8, "", ""), (None, [1.0] * 8, "", "")]
     rows += [rows[0], (14, [9.0] * 8, "again", "")]  # a repeated row, and an id with two vectors
     check(spark, rows, pivots=6, sample=100)
+    check(spark, rows, pivots=6, sample=100, block=8)  # annuli of several blocks, and blocks of several annuli
+
+
+def test_layout_covers_every_annulus_once():
+    sizes = np.array([3, 3, 20, 1, 1, 9, 0, 4])
+    at = layout(sizes, 8)
+    assert at.tolist() == [[0, 1, 0], [0, 1, 1], [1, 3, 0], [4, 1, 0], [4, 1, 1], [5, 2, 0], [7, 1, 0], [7, 1, 1]]
+    sent = {(m["block"], j) for m in masks(at[[1, 2, 7]]) for j in np.flatnonzero(np.unpackbits(np.frombuffer(m["opens"], np.uint8)))}
+    assert sent == {(0, 1), (1, 0), (2, 0), (3, 0), (7, 1)} and masks(at[:0]) == []
 
 
 def test_clustered_vectors_need_few_annuli_and_stay_exact(spark):
