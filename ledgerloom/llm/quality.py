@@ -8,8 +8,10 @@ a document, put on a probability scale by a logistic curve, is its score.
 Labels are of documents, not lines: all lines of a good document are good, and a bad one has at least one bad line.
 Training starts with every line of a bad document bad, and relabels those that the field finds good.
 
-Null and empty texts have one empty line. Repeated rows each keep their row. Documents with contradicting labels,
-null labels or null ids aren't learned from; if nothing can be learned, every score is 0.5.
+Null and empty texts have one empty line. Texts are scored whole, however long; one of more than SAMPLE_LINES lines
+isn't learned from. Repeated rows each keep their row; of rows with one id the smallest text is learned from. Documents
+with contradicting labels, null labels or null ids aren't; if nothing can be learned, every score is 0.5. Other columns
+are carried along, but one named as the score's column is replaced.
 """
 
 from __future__ import annotations
@@ -19,13 +21,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import table
 from ledgerloom.llm.language import letters, remainder
 
-#: Documents of each label in the sample, and the most lines that one of them may have.
-SAMPLE, SAMPLE_LINES = 1500, 2000
+#: Documents of each label in the sample, the most lines that one of them may have, and the most that those of a label have in all.
+SAMPLE, SAMPLE_LINES, LINES = 1500, 2000, 100_000
 SYMBOLS, MARKS = "|*%$#&@~^=<>_\\/{}[]+", ".,;:?\"'()-"
 OWN = 16
 _classes: list[np.ndarray] = []
@@ -199,8 +202,8 @@ def train(docs: list[tuple[int, np.ndarray, np.ndarray]], share_good: float, rou
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model | None:
     """A model from ``labels`` (id, 0 or 1) and the documents they name.
 
-    The sample is ``sample`` documents of each label, the first by a hash of their ids; only line features, not
-    texts, come to the driver.
+    The sample is the documents first by a hash of their ids, at most ``sample`` of each label and LINES lines; only
+    line features, not texts, come to the driver, some 130 MB at most.
     """
     known = labels.select(F.col(id_col).alias("__ll_id"), F.col(label_col).alias("__ll_y")).where("__ll_id is not null and __ll_y in (0, 1)")
     one = known.groupBy("__ll_id").agg(F.min("__ll_y").alias("__ll_y"), F.max("__ll_y").alias("__ll_y2")).where("__ll_y = __ll_y2").drop("__ll_y2")
@@ -215,15 +218,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
             out = []
             for y, text in zip(pdf["y"], pdf["text"], strict=True):
                 lengths, x = line_features(text)
-                if len(x) <= SAMPLE_LINES:
-                    out.append((y, lengths.astype(np.float32).tobytes(), x.astype(np.float32).tobytes()))
+                out.append((y, lengths.astype(np.float32).tobytes(), x.astype(np.float32).tobytes()))
             yield pd.DataFrame(out, columns=["y", "lengths", "x"])
 
-    texts = docs.join(F.broadcast(chosen), docs[id_col] == chosen["__ll_id"]).select(F.col("__ll_id").alias("id"), F.col("__ll_y").cast("int").alias("y"), F.col(text_col).alias("text"))
-    rows = texts.mapInPandas(features, "y int, lengths binary, x binary").collect()  # at most 2 * sample documents of SAMPLE_LINES lines
+    texts = docs.join(F.broadcast(chosen), docs[id_col] == chosen["__ll_id"]).groupBy(F.col("__ll_id").alias("id"), F.col("__ll_y").cast("int").alias("y")).agg(F.min(F.col(text_col)).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    so_far = F.sum("lines").over(W.partitionBy("y").orderBy(F.xxhash64("id"), "id"))  # at most ``sample`` rows each
+    texts = texts.withColumn("lines", lines).where(F.col("lines") <= SAMPLE_LINES).withColumn("so_far", so_far).where(F.col("so_far") <= LINES)
+    rows = texts.select("y", "text").mapInPandas(features, "y int, lengths binary, x binary").collect()  # at most 2 * LINES lines
     got = sorted((r["y"], bytes(r["lengths"]), bytes(r["x"])) for r in rows)
     parsed = [(y, np.frombuffer(n, np.float32).astype(np.float64), np.frombuffer(x, np.float32).reshape(-1, OWN).astype(np.float64)) for y, n, x in got]
-    return train(parsed, counts[1] / sum(counts.values()))
+    return train(parsed, counts[1] / sum(counts.values())) if parsed else None
 
 
 def with_quality(docs: DataFrame, model: Model | None, text_col: str = "text", out: str = "score") -> DataFrame:
