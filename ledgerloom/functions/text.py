@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: A reference (fixed value).
 UTR = r"(?<![A-Z0-9])([A-Z]{4}\d{12})(?![0-9])"
 #: Narrations of a payout (fixed values); {utr} is its reference.
 TEMPLATES = (
@@ -56,23 +57,48 @@ def narration_similarity(narration: Column, utr: Column, templates: tuple[str, .
     return score(narration, utr)
 
 
+#: Amounts and ids in a prose (fixed values): with a currency's sign in any shape, without one only with two decimals.
+MONEY = r"(?:Rs\.?|₹|INR)\s*[0-9][0-9,]*(?:\.[0-9]{1,2})?|[0-9][0-9,]*\.[0-9]{2}\b"
+ID = r"\b(?:ord|pay|rfnd|cb|setl|bank)_[0-9A-Za-z_]+\b"
+#: Phrases of claims that no evidence here can bear out (fixed values).
+DISTRIBUTION = ("cluster", "concentrat", "spread", "trend", "seasonal", "distribut", "most of the", "majority of", "more likely on", "peak")
+PERIOD = (
+    "month end", "month-end", "end of the month", "over time", "weekend", "weekday", "day of the week", "time of day", "per month", "per week", "monthly", "weekly",
+    "daily", "last week of", "early in the month", "late in the month", "start of the month", "each quarter", "by date",
+)
+ACCURACY = (
+    "more accurate", "less accurate", "as accurate", "most accurate", "more reliable", "less reliable", "better calibrated", "worse calibrated", "accuracy of the",
+    "correctness rate", "hit rate of", "more trustworthy", "less trustworthy",
+)
+FORWARD = ("in the next ", "in the coming ", "forecast", "expected to arrive", "going to arrive", "predict")
+ARRIVAL = r"\bwill\b[^.]{0,40}\b(arrive|land|be credited|be paid|clear|come in|show up)\b"
+
+
 def money_tokens(prose: Column) -> Column:
-    """Amounts named in a prose, without grouping: digits with two decimals."""
-    return F.transform(F.regexp_extract_all(prose, F.lit(r"(\d[\d,]*\.\d{2})"), 1), lambda x: F.replace(x, F.lit(","), F.lit("")))
+    """Amounts named in a prose, as plain digits."""
+    plain = lambda x: F.rtrim(F.regexp_replace(x, r"^(?:Rs\.?|₹|INR)\s*|,", ""), F.lit("."))
+    return F.transform(F.regexp_extract_all(prose, F.lit(MONEY), 0), plain)
 
 
 def id_tokens(prose: Column) -> Column:
-    return F.regexp_extract_all(prose, F.lit(r"\b((?:ord|pay|rfnd|cb|setl|bank|cust)_[0-9_]+)\b"), 1)
+    return F.regexp_extract_all(prose, F.lit(ID), 0)
 
 
 def unsupported(prose: Column, evidence: Column) -> Column:
-    """Amounts and ids of a prose that its evidence, a text, doesn't hold."""
+    """Amounts and ids of a prose that its evidence, a text, doesn't hold; an amount may be named in whole rupees."""
     said = F.array_distinct(F.concat(money_tokens(prose), id_tokens(prose)))
-    known = F.concat(money_tokens(evidence), id_tokens(evidence))
+    own = money_tokens(evidence)
+    known = F.concat(own, F.transform(own, lambda x: F.substring_index(x, ".", 1)), id_tokens(evidence))
     return F.array_sort(F.array_except(said, known))
 
 
-def has_any(prose: Column, phrases: list[str]) -> Column:
+def claims(sentence: Column) -> dict[str, Column]:
+    """Whether a sentence speaks of timing (a distribution over periods), of accuracy, or of the future."""
+    future = has_any(sentence, FORWARD) | F.lower(sentence).rlike(ARRIVAL)
+    return {"timing": has_any(sentence, DISTRIBUTION) & has_any(sentence, PERIOD), "accuracy": has_any(sentence, ACCURACY), "future": future}
+
+
+def has_any(prose: Column, phrases: tuple[str, ...] | list[str]) -> Column:
     low = F.lower(prose)
     return F.greatest(*[F.contains(low, F.lit(p.lower())) for p in phrases]) if len(phrases) > 1 else F.contains(low, F.lit(phrases[0].lower()))
 

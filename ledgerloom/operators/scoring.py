@@ -77,3 +77,51 @@ def tolerance_curve(pairs: DataFrame, key: str, delta: str, tolerances: tuple[in
     rows = all_.join(per, F.col("tolerance") == F.col("t"), "left").fillna(0, ["c", "k", "a"])
     w = W.orderBy("tolerance").rowsBetween(W.unboundedPreceding, 0)  # a row for each tolerance
     return rows.select("tolerance", F.sum("c").over(w).alias("candidates"), F.sum("k").over(w).alias("keys"), F.sum("a").over(w).alias("ambiguous"))
+
+
+def rate_checks(observed: DataFrame, rates: dict[str, float], z: float = 4.0) -> DataFrame:
+    """(name, observed, n, passed): whether each count is within z deviations, and one more, of its rate's binomial mean.
+
+    ``observed``: name, observed, n. A name without a rate isn't checked; n of 0 passes.
+    """
+    spark = observed.sparkSession
+    rows = observed.join(F.broadcast(spark.createDataFrame(list(rates.items()), "name string, p double")), "name")
+    sd = F.sqrt(F.greatest(F.col("n") * F.col("p") * (1 - F.col("p")), F.lit(1e-9)))
+    return rows.select("name", "observed", "n", ((F.col("n") == 0) | (F.abs(F.col("observed") - F.col("n") * F.col("p")) <= z * sd + 1)).alias("passed"))
+
+
+def carry_chain(cycles: DataFrame, partition: list[str], order: Column, carry_in: str, carry_out: str) -> DataFrame:
+    """(partition, links, broken): of each chain in order, how many cycles hand on, and how many of these not what the next takes in."""
+    w = W.partitionBy(*partition).orderBy(order)
+    rows = cycles.withColumn("__next", F.lead(carry_in).over(w)).where("__next is not null")
+    return rows.groupBy(*partition).agg(F.count("*").alias("links"), F.count_if(F.col(carry_out) != F.col("__next")).alias("broken"))
+
+
+def bank_score(dispositions: DataFrame, orphans: DataFrame, payouts: DataFrame) -> DataFrame:
+    """One row of how bank rows were judged: orphans found of all, and noise flagged of all noise, with both ratios.
+
+    ``dispositions``: bank_row_id, disposition. Noise is every judged row that is neither an orphan nor a payout's.
+    """
+    own = dispositions.select("bank_row_id", "disposition")
+    ids = lambda df, name: df.select("bank_row_id", F.lit(True).alias(name)).distinct()
+    rows = own.join(ids(orphans, "orphan"), "bank_row_id", "full").join(ids(payouts, "payout"), "bank_row_id", "left")
+    orphan, found = F.col("orphan").isNotNull(), F.col("disposition") == "MISSING_IN_GATEWAY"
+    noise = F.col("disposition").isNotNull() & ~orphan & F.col("payout").isNull()
+    flagged = noise & (F.col("disposition") != "IGNORED")
+    return rows.agg(
+        F.count("disposition").alias("judged"), F.count_if(orphan).alias("orphans"), F.count_if(orphan & found).alias("orphans_found"), F.count_if(noise).alias("noise"), F.count_if(flagged).alias("noise_flagged"),
+        F.try_divide(F.count_if(orphan & found), F.count_if(orphan)).alias("orphan_recall"), F.try_divide(F.count_if(flagged), F.count_if(noise)).alias("noise_flag_rate"),
+    )
+
+
+def attribution_score(attributions: DataFrame, truth: DataFrame, by: str) -> DataFrame:
+    """(by, claims, right): claimed causes, items joined by "+", that name the same items as the truth (gap_id, items array)."""
+    rows = attributions.where("item_id is not null").join(truth, "gap_id", "left")
+    right = same_items(F.split("item_id", r"\+"), F.col("items")) & F.col("items").isNotNull()
+    return rows.groupBy(by).agg(F.count("*").alias("claims"), F.count_if(right).alias("right"))
+
+
+def held_out_gap(measures: DataFrame) -> DataFrame:
+    """(metric, dev, held_out, gap) of measures (metric, part, value) whose part is "dev" or "held_out"."""
+    one = lambda part: measures.where(F.col("part") == part).select("metric", F.col("value").alias(part))
+    return one("dev").join(one("held_out"), "metric").withColumn("gap", F.col("held_out") - F.col("dev"))

@@ -462,7 +462,7 @@ def invariants(spark, sf_dir):
     return scoring.checks(s, "settlements", {"equation": eq, "net_not_negative": c("net_paise") >= 0, "below_gross": c("net_paise") <= c("gross_paise")}).drop("section")
 
 
-@query(r"""WITH a AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '(\d[\d,]*\.\d{2})', 1), lambda x: replace(x, ',', ''))) AS m, list_distinct(regexp_extract_all(text, '\b((?:ord|pay|rfnd|cb|setl|bank|cust)_[0-9_]+)\b', 1)) AS i FROM documents)
+@query(rf"""WITH a AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '{text.MONEY}', 0), lambda x: rtrim(regexp_replace(x, '^(?:Rs\.?|₹|INR)\s*|,', '', 'g'), '.'))) AS m, list_distinct(regexp_extract_all(text, '{text.ID}', 0)) AS i FROM documents)
   SELECT doc_id, len(m)::BIGINT AS amounts, len(i)::BIGINT AS ids FROM a WHERE len(m) + len(i) > 0""", star=False)
 def prose_tokens(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.size(F.array_distinct(text.money_tokens(F.col("text")))).cast("long").alias("amounts"), F.size(F.array_distinct(text.id_tokens(F.col("text")))).cast("long").alias("ids"))
