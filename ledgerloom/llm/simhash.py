@@ -190,7 +190,9 @@ def links(distinct: DataFrame, limit: int = 3, group_rows: int | None = None) ->
         child = at > start
         return pd.DataFrame({"a": fps[up[child]], "b": fps[child]})
 
-    return met.groupBy("p", "q").applyInPandas(compare, "a long, b long")
+    # pairs are few bytes and much work: their number, not their size, says how many tasks there are
+    tasks = min(GROUPS, len(ids) * (len(ids) + 1) // 2)
+    return met.repartition(tasks, "p", "q").groupBy("p", "q").applyInPandas(compare, "a long, b long")
 
 
 def thin(edges: DataFrame) -> DataFrame:
