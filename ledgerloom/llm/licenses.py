@@ -11,7 +11,9 @@ sentences. A part between two known ones may be unknown, which ends a sequence.
 
 The table of sentences and the rules are parameters. Null and empty texts have no licence. Texts and sentences without
 any of the words that every known sentence has, which are read off the table, are not looked at more closely. The
-deciding words of a known sentence are looked for over at most REACH lines and clauses. Repeated rows each keep their row.
+deciding words of a known sentence are looked for over at most REACH lines and clauses. A sentence that denies a licence
+on one line counts as unknown. Texts are read whole, however long. Repeated rows each keep their row; columns named as
+the results are replaced.
 """
 
 from __future__ import annotations
@@ -84,6 +86,8 @@ PARAGRAPH = re.compile(r"\n(?:[^\w\n]*\n)+|\n(?=[^\w\n]*\d{1,2}[.)]\s)|\n(?=[ \t
 #: Where a part may end within one, and which of these end the sentence; a list number's dot is none.
 BREAK = re.compile(r"[.!?;:]+(?=\s|$)|\n")
 NUMBER = re.compile(r"\W*\d{1,2}\.")
+#: A normalised sentence that says the opposite names no licence.
+DENIED = re.compile(r"\b(not|never|no longer) (\w+ )?(released|licensed|distributed|available|published)\b")
 #: Lines and clauses over which a known sentence may go before it is decided.
 REACH = 64
 RESULT = "licenses array<string>, spans array<struct<start:long,end:long,license:string>>, sentences array<string>"
@@ -151,7 +155,7 @@ def known_part(text: str, starts: list[int], ends: list[int], k: int, known) ->
         norm = normalise(text[starts[k] : ends[j]])
         for name, p in known:
             m = p.fullmatch(norm)
-            if not m:
+            if not m or DENIED.search(norm):
                 continue
             if p.pattern.endswith(".*"):
                 return k, j if name == "copyright" else len(ends) - 1, m, name

@@ -100,3 +100,11 @@ def test_the_query_returns_all_spans(spark, tmp_path):
     spark.createDataFrame([(1, f"{MIT}\n\n{APACHE}")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     row = licenses.op7_license_scan(spark, str(tmp_path)).first()
     assert row["licenses"] == "Apache-2.0,MIT" and [s["license"] for s in row["spans"]] == ["MIT", "Apache-2.0"]
+
+
+def test_a_denied_licence_is_none():
+    known, word = licenses.compiled(licenses.SENTENCES), re.compile(licenses.NEEDED)
+    said = lambda t: licenses.recognise(t, known, licenses.RULES, word)[0]
+    assert said("This is licensed under the GNU General Public License version 2.") == ["GPL-2.0-only"]
+    for no in ("not", "never", "no longer", "not yet"):
+        assert said(f"This is {no} licensed under the GNU General Public License version 2.") == []
