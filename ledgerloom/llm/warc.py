@@ -2,24 +2,38 @@
 
 A response record is rebuilt from a page (id, URL, HTML) with ids and digests that depend on its content alone.
 Each yields a metadata record (title, language, links, sizes) and a conversion record (plain text); both name their
-source in WARC-Refers-To, carry its target URI, date and payload digest on, and have a block digest of their own.
-``write_warc`` lets Spark's text writer put records into WARC files: the record end is its line separator.
-
-A null HTML counts as an empty payload, a null URL gives the URI ``urn:page:<id>``. Rows with null ids get record ids
-of their content. Repeated rows give repeated records. An empty table gives no records.
+source in WARC-Refers-To, carry its target URI, date, payload digest and headers on, and have a block digest of their
+own. Status, headers and date come from columns where the table has them, else from defaults. ``write_warc`` writes
+WARC files with one gzip member for each record.
+
+A null HTML counts as an empty payload, a null URL gives the URI ``urn:page:<id>``, null headers, statuses and dates
+give the defaults. Rows with null ids get record ids of their content. Repeated rows give repeated records. An empty
+table gives no records. Very long pages are taken whole, each within one row. Only the named columns are read, so others
+may have any name.
 """
 
 from __future__ import annotations
 
+import gzip
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.llm.common import table
 
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
-#: Entities decoded in plain text; the ampersand comes last, so that nothing is decoded twice.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&amp;", "&"))
+#: The status line, and the headers before the length, of a page that comes without.
+STATUS, CONTENT_TYPE = "200 OK", "text/html; charset=utf-8"
+#: Character references beyond the last code point, which is 1114111; they stand for the replacement character.
+BEYOND = (
+    r"&#0*(?:[1-9]\d{7,}|[2-9]\d{6}|1[2-9]\d{5}|11[2-9]\d{4}|111[5-9]\d{3}|1114[2-9]\d{2}|11141[2-9]\d|111411[2-9]);"
+    r"|&#[xX]0*(?:[1-9a-fA-F][0-9a-fA-F]{6,}|[2-9a-fA-F][0-9a-fA-F]{5}|1[1-9a-fA-F][0-9a-fA-F]{4});"
+)
+#: Entities that the SQL decodes, all that the given pages hold; the ampersand comes last, so that nothing is decoded twice.
+SQL_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
 
 def sha(c: Column) -> Column:
@@ -33,26 +47,60 @@ def urn(kind: str, *parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
 
+def entities(c: Column) -> Column:
+    """Named, decimal and hexadecimal character references decoded once, by a class that ships with Spark."""
+    c = F.replace(F.regexp_replace(c, BEYOND, "\ufffd"), F.lit("&apos;"), F.lit("'"))
+    return F.reflect(F.lit("org.apache.commons.text.StringEscapeUtils"), F.lit("unescapeHtml4"), c)
+
+
 def plain_text(html: Column) -> Column:
     """Scripts, styles, comments and tags go, block ends become line feeds, entities are decoded, space is folded."""
     t = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", " ")
     t = F.regexp_replace(t, r"(?i)</(p|div|h[1-6]|li|ul|tr|article|footer|nav|title)>|<br */?>|<p>", "\n")
     t = F.regexp_replace(t, r"(?s)<[^>]*>", " ")
-    for entity, char in ENTITIES:
-        t = F.replace(t, F.lit(entity), F.lit(char))
-    t = F.regexp_replace(t, r"[ \t\r]+", " ")
+    t = entities(t)
+    t = F.regexp_replace(t, r"[ \t\r\u00a0]+", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(t, r" ?\n[ \n]*", "\n"), r"^\n+|\n+$", ""))
 
 
-def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE) -> DataFrame:
-    """(page_id, record_id, target_uri, date, payload, payload_digest, source_headers)."""
+def one_line(c: Column) -> Column:
+    """A header's value: line breaks, which would end it, are percent-encoded."""
+    return F.replace(F.replace(c, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+
+
+def responses(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE,
+    status_col: str | None = None, headers_col: str | None = None, date_col: str | None = None,
+) -> DataFrame:
+    """(page_id, record_id, target_uri, date, payload, payload_digest, source_headers).
+
+    ``headers_col``: a page's header lines as they came, with or without their status line. Without any, status,
+    type and length are stated. ``status_col``: what follows the protocol's version, such as "404 Not Found".
+    ``date_col``: a timestamp, or a string that is taken as it is.
+    """
     payload = F.coalesce(F.col(html_col), F.lit(""))
     uri = F.coalesce(F.col(url_col), F.concat(F.lit("urn:page:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    rows = pages.select(F.col(id_col).alias("page_id"), uri.alias("target_uri"), F.lit(date).alias("date"), payload.alias("payload"))
+    when = F.lit(None).cast("string")
+    if date_col:
+        when = F.col(date_col)
+        if isinstance(pages.schema[date_col].dataType, T.TimestampType):
+            when = F.date_format(F.to_utc_timestamp(when, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        when = one_line(when.cast("string"))
+    status = F.coalesce(F.trim(one_line(F.col(status_col).cast("string"))) if status_col else F.lit(None).cast("string"), F.lit(STATUS))
+    given = F.lit(None).cast("string")
+    if headers_col:
+        given = F.regexp_replace(F.regexp_replace(F.col(headers_col), r"[\r\n]+$|^[\r\n]+", ""), r"[\r\n]+", CRLF)
+    rows = pages.select(
+        F.col(id_col).alias("page_id"), one_line(uri).alias("target_uri"), F.coalesce(when, F.lit(date)).alias("date"), payload.alias("payload"),
+        F.concat(F.lit("HTTP/1.1 "), status).alias("__ll_status"), F.when(given != "", given).alias("__ll_given"),
+    )
     rows = rows.withColumn("payload_digest", sha(F.col("payload")))
     key = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
-    headers = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload").cast("string"))
-    return rows.withColumns({"record_id": urn("response", key, F.col("target_uri"), F.col("payload_digest")), "source_headers": headers})
+    stated = F.concat(F.lit(f"Content-Type: {CONTENT_TYPE}{CRLF}Content-Length: "), F.octet_length("payload").cast("string"))
+    lined = F.when(F.col("__ll_given").startswith("HTTP/"), F.col("__ll_given"))
+    headers = F.coalesce(lined, F.concat(F.col("__ll_status"), F.lit(CRLF), F.coalesce("__ll_given", stated)))
+    ids = urn("response", key, F.col("target_uri"), F.col("date"), F.col("payload_digest"))
+    return rows.withColumns({"record_id": ids, "source_headers": headers}).drop("__ll_status", "__ll_given")
 
 
 def derive(source: DataFrame) -> DataFrame:
@@ -63,14 +111,15 @@ def derive(source: DataFrame) -> DataFrame:
     links = F.regexp_count("payload", F.lit(r'(?i)<a [^>]*href="'))
     fields = [("title", title), ("language", lang), ("outlinks", links.cast("string")), ("payload-length", F.octet_length("payload").cast("string")), ("text-length", F.octet_length("text").cast("string")), ("text-digest", sha(F.col("text")))]
     metadata = F.concat(*[F.concat(F.lit(f"{k}: "), v, F.lit(CRLF)) for k, v in fields])
-    metadata = F.concat(metadata, F.lit("source-headers: "), F.replace(F.col("source_headers"), F.lit(CRLF), F.lit(" | ")), F.lit(CRLF))
+    headers = F.replace(F.col("source_headers"), F.lit(CRLF), F.lit(" | "))
+    metadata = F.concat(metadata, F.lit("source-headers: "), headers, F.lit(CRLF))
     kinds = F.array(
         F.struct(F.lit("metadata").alias("type"), F.lit("application/warc-fields").alias("content_type"), metadata.alias("block")),
         F.struct(F.lit("conversion").alias("type"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("text").alias("block")),
     )
     rows = text.withColumn("r", F.explode(kinds)).select(
         "page_id", F.col("r.type").alias("record_type"), urn("derived", F.col("r.type"), F.col("record_id")).alias("record_id"), F.col("record_id").alias("refers_to"),
-        "target_uri", "date", "payload_digest", F.col("r.content_type").alias("content_type"), F.col("r.block").alias("block"),
+        "target_uri", "date", "payload_digest", headers.alias("source_headers"), F.col("r.content_type").alias("content_type"), F.col("r.block").alias("block"),
     )
     return rows.withColumns({"block_digest": sha(F.col("block")), "content_length": F.octet_length("block").cast("long")})
 
@@ -79,15 +128,41 @@ def record_text(r: DataFrame) -> Column:
     """A record without its end: head, empty line, block."""
     head = [
         ("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "date"),
-        ("WARC-Block-Digest", "block_digest"), ("WARC-Refers-To-Payload-Digest", "payload_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"),
+        ("WARC-Block-Digest", "block_digest"), ("WARC-Refers-To-Payload-Digest", "payload_digest"), ("WARC-Source-Headers", "source_headers"), ("Content-Type", "content_type"), ("Content-Length", "content_length"),
     ]
     lines = [F.concat(F.lit(f"{k}: "), F.col(c).cast("string"), F.lit(CRLF)) for k, c in head]
     return F.concat(F.lit(f"WARC/1.1{CRLF}"), *lines, F.lit(CRLF), F.col("block"))
 
 
-def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None:
-    """WARC files, one for each partition."""
-    records.select(record_text(records).alias("value")).write.option("lineSep", CRLF * 2).option("compression", compression).text(path)
+@F.pandas_udf(T.BinaryType())
+def member(records: pd.Series) -> pd.Series:
+    """Each record with its end as a gzip member, less its last byte."""
+    packed = records.map(lambda t: gzip.compress(t.encode() + b"\r\n\r\n", 6, mtime=0))
+    return packed.map(lambda b: b[:-1] if b[-1] == 0 else b)
+
+
+def write_warc(records: DataFrame, path: str, compress: bool = True) -> None:
+    """WARC files, one for each partition, with one gzip member for each record so that each can be read by its offset.
+
+    Spark's text writer puts a line separator behind each record. In plain files that is the record's end. A gzip
+    member ends with its length, whose last byte is zero below 16 MiB: that byte is the separator. Above, a zero byte
+    follows the member, which readers of gzip skip.
+    """
+    text = record_text(records)
+    if compress:
+        records.select(member(text).cast("string").alias("value")).write.option("lineSep", "\0").text(path)
+        suffix = ".warc.gz"
+    else:
+        records.select(text.alias("value")).write.option("lineSep", CRLF * 2).text(path)
+        suffix = ".warc"
+    spark = records.sparkSession
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in fs.listStatus(folder):  # names only, one for each partition
+        name = f.getPath().getName()
+        if name.startswith("part-"):
+            fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(folder, name.removesuffix(".txt") + suffix))
 
 
 def op4_warc_derivatives(spark, sf_dir):
@@ -102,9 +177,9 @@ def _sql() -> str:
     text = r"regexp_replace(p, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g')"
     text = rf"regexp_replace({text}, '(?i)</(p|div|h[1-6]|li|ul|tr|article|footer|nav|title)>|<br */?>|<p>', chr(10), 'g')"
     text = rf"regexp_replace({text}, '(?s)<[^>]*>', ' ', 'g')"
-    for entity, char in ENTITIES:
+    for entity, char in SQL_ENTITIES:
         text = f"replace({text}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
-    text = rf"regexp_replace(regexp_replace({text}, '[ \t\r]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g')"
+    text = rf"regexp_replace(regexp_replace({text}, '[ \t\r\x{{00A0}}]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g')"
     text = rf"trim(regexp_replace({text}, '^\n+|\n+$', '', 'g'), ' ')"
     crlf = "chr(13) || chr(10)"
     uuid = lambda h: "'<urn:uuid:' || " + " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
@@ -112,24 +187,24 @@ def _sql() -> str:
 WITH a AS (
   SELECT page_id, coalesce(url, 'urn:page:' || coalesce(page_id::VARCHAR, 'null')) AS target_uri, coalesce(html, '') AS p FROM pages
 ), b AS (SELECT *, 'sha256:' || sha256(p) AS payload_digest, {text} AS t FROM a),
-c AS (SELECT *, sha256('response' || chr(10) || coalesce(page_id::VARCHAR, 'null') || chr(10) || target_uri || chr(10) || payload_digest) AS h FROM b),
+c AS (SELECT *, sha256('response' || chr(10) || coalesce(page_id::VARCHAR, 'null') || chr(10) || target_uri || chr(10) || '{DATE}' || chr(10) || payload_digest) AS h FROM b),
 d AS (SELECT *, {uuid("h")} AS refers_to,
   'title: ' || trim(regexp_replace(regexp_extract(p, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g'), ' ') || {crlf}
   || 'language: ' || regexp_extract(p, '(?i)<html[^>]*lang="([A-Za-z-]*)"', 1) || {crlf}
   || 'outlinks: ' || len(regexp_extract_all(p, '(?i)<a [^>]*href="')) || {crlf}
   || 'payload-length: ' || strlen(p) || {crlf} || 'text-length: ' || strlen(t) || {crlf}
-  || 'text-digest: sha256:' || sha256(t) || {crlf}
-  || 'source-headers: HTTP/1.1 200 OK | Content-Type: text/html; charset=utf-8 | Content-Length: ' || strlen(p) || {crlf} AS m FROM c),
+  || 'text-digest: sha256:' || sha256(t) || {crlf} || 'source-headers: ' || hs || {crlf} AS m
+  FROM (SELECT *, 'HTTP/1.1 {STATUS} | Content-Type: {CONTENT_TYPE} | Content-Length: ' || strlen(p) AS hs FROM c)),
 e AS (
-  SELECT page_id, 'metadata' AS record_type, refers_to, target_uri, payload_digest, 'application/warc-fields' AS ct, m AS block FROM d
-  UNION ALL SELECT page_id, 'conversion', refers_to, target_uri, payload_digest, 'text/plain; charset=utf-8', t FROM d
+  SELECT page_id, 'metadata' AS record_type, refers_to, target_uri, payload_digest, hs, 'application/warc-fields' AS ct, m AS block FROM d
+  UNION ALL SELECT page_id, 'conversion', refers_to, target_uri, payload_digest, hs, 'text/plain; charset=utf-8', t FROM d
 ), f AS (SELECT *, sha256('derived' || chr(10) || record_type || chr(10) || refers_to) AS h FROM e),
 g AS (SELECT *, {uuid("h")} AS record_id, 'sha256:' || sha256(block) AS block_digest, strlen(block)::BIGINT AS content_length FROM f)
 SELECT page_id, record_type, record_id, refers_to, target_uri, content_length, payload_digest, block_digest,
   sha256('WARC/1.1' || {crlf} || 'WARC-Type: ' || record_type || {crlf} || 'WARC-Record-ID: ' || record_id || {crlf}
   || 'WARC-Refers-To: ' || refers_to || {crlf} || 'WARC-Target-URI: ' || target_uri || {crlf} || 'WARC-Date: {DATE}' || {crlf}
   || 'WARC-Block-Digest: ' || block_digest || {crlf} || 'WARC-Refers-To-Payload-Digest: ' || payload_digest || {crlf}
-  || 'Content-Type: ' || ct || {crlf} || 'Content-Length: ' || content_length || {crlf} || {crlf} || block) AS record_sha256
+  || 'WARC-Source-Headers: ' || hs || {crlf} || 'Content-Type: ' || ct || {crlf} || 'Content-Length: ' || content_length || {crlf} || {crlf} || block) AS record_sha256
 FROM g
 """
 

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import html
+import zlib
 from pathlib import Path
 
 from ledgerloom.llm import warc
@@ -49,7 +51,13 @@ def test_written_files_parse(spark, tmp_path):
     warc.write_warc(records(spark, rows), f"{tmp_path}/w")
     seen = {}
     for f in Path(f"{tmp_path}/w").glob("part-*"):
-        data = gzip.decompress(f.read_bytes())
+        assert f.name.endswith(".warc.gz")
+        data, packed = b"", f.read_bytes()
+        while packed:  # a member of its own for each record
+            d = zlib.decompressobj(31)
+            one = d.decompress(packed)
+            assert d.eof and one.startswith(b"WARC/1.1") and one.endswith(b"\r\n\r\n") and one.count(b"WARC-Record-ID: ") == 1
+            data, packed = data + one, d.unused_data
         while data:
             head, _, rest = data.partition(b"\r\n\r\n")
             version, *lines = head.decode().split("\r\n")
@@ -62,3 +70,48 @@ def test_written_files_parse(spark, tmp_path):
     for k, (fields, block) in seen.items():
         assert fields["WARC-Refers-To"] == want[k]["refers_to"] and fields["WARC-Block-Digest"] == sha(block)
         assert block.decode() == want[k]["block"]
+
+
+def test_large_records_and_plain_files(spark, tmp_path):
+    import random
+
+    long = "".join(random.Random(1).choices("abcdefgh \n", k=18_000_000))
+    df = records(spark, [(1, "u", long, "", ""), (2, "v", "small", "", "")])
+    warc.write_warc(df, f"{tmp_path}/z")
+    warc.write_warc(df, f"{tmp_path}/p", compress=False)
+    packed = b"".join(gzip.decompress(f.read_bytes()) for f in sorted(Path(f"{tmp_path}/z").glob("*.warc.gz")))
+    plain = b"".join(f.read_bytes() for f in sorted(Path(f"{tmp_path}/p").glob("*.warc")))
+    assert packed == plain and plain.count(b"WARC/1.1\r\n") == 4 and len(plain) > 17_000_000
+
+
+def test_source_headers_status_and_date_are_kept(spark):
+    rows = [
+        (1, "u\r\nX: y", "a", "HTTP/1.0 301 Moved\nLocation: /b\n\n", "404 Not Found", "2026-01-02 03:04:05"),
+        (2, "u", "a", "Content-Type: text/plain", "404 Not Found", None),
+        (3, "u", "a", None, None, None), (4, "u", "a", "\r\n", "500", "2026-01-02 03:04:05"),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, h string, s string, d string").selectExpr("*", "cast(d as timestamp) t")
+    got = {(r["page_id"], r["record_type"]): r for r in warc.derive(warc.responses(df, status_col="s", headers_col="h", date_col="t")).collect()}
+    default = "Content-Type: text/html; charset=utf-8 | Content-Length: 1"
+    want = {1: "HTTP/1.0 301 Moved | Location: /b", 2: "HTTP/1.1 404 Not Found | Content-Type: text/plain", 3: f"HTTP/1.1 200 OK | {default}", 4: f"HTTP/1.1 500 | {default}"}
+    for (k, kind), r in got.items():
+        assert r["source_headers"] == want[k], k
+        assert r["date"] == (warc.DATE if k in (2, 3) else "2026-01-02T03:04:05Z")
+        assert kind != "metadata" or f"source-headers: {want[k]}\r\n" in r["block"]
+    assert got[1, "conversion"]["target_uri"] == "u%0D%0AX: y"
+    head = warc.derive(warc.responses(df, headers_col="h")).select(warc.record_text(None).alias("x")).first()["x"]
+    assert "WARC-Source-Headers: HTTP/1.0 301 Moved | Location: /b\r\n" in head
+
+
+def test_character_references(spark):
+    texts = ["&eacute;&mdash;&#8212;&#x2014;&hearts;", "&amp;lt;", "&#65;&#x41;&#X41;", "&#1114112;&#99999999999;&#x110000;&#xFFFFFFFFF;", "&#1114111;&#128512;", "&apos;&amp;apos;", "&unknown; & &; &#; &#x;", "&#0000065;"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", warc.entities(df["t"]).alias("c")).collect():
+        want = html.unescape(r["t"]) if "1114111" not in r["t"] else "\U0010ffff\U0001f600"
+        assert r["c"] == want, r["t"]
+
+
+def test_a_very_long_page(spark):
+    page = "<p>" + "word <b>x</b> " * 200_000 + "</p><script>" + "y" * 500_000 + "</script>end"
+    r = records(spark, [(1, "u", page, "", "")]).where("record_type = 'conversion'").first()
+    assert r["block"] == ("word x " * 200_000).strip() + "\nend"
