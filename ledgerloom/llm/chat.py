@@ -1,14 +1,16 @@
 """Chat formatting of reply trees (native: DataFrame functions only).
 
 A message has a tree, a node id, a parent (null: a root), a role, a text and a score. Iterative self-joins over
-doubling ancestor links give every root-to-leaf path in about log2(depth) joins; branches of a tree are ranked by
-their mean score, and each chosen path is formatted as one conversation with a loss mask over its assistant texts.
+doubling ancestor links give every leaf's mean score, by which the branches of a tree are ranked, and then the chosen
+root-to-leaf paths, each in about log2(depth) joins; each is formatted as one conversation with a loss mask over its
+assistant texts.
 
 A turn is ``### role: text</turn>`` and a line feed. In roles and texts a backslash becomes two, ``<`` becomes
 ``\\l``, ``#`` becomes ``\\h``, and in roles ``:`` becomes ``\\c``, so that no text can hold a control string.
 
 Null roles and texts count as empty, null scores as 0. A parent that is not in its tree counts as none; messages
-that lead into a cycle have no root and take no part. Repeated (tree, node) rows count once.
+that lead into a cycle have no root and take no part. Repeated (tree, node) rows count once. No messages give no
+conversations. Very long texts are taken whole, a conversation within one row. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -39,41 +41,54 @@ def unescape(c: Column, role: bool = False) -> Column:
     return F.array_join(F.transform(F.split(c, r"\\\\", -1), part), "\\")
 
 
-def paths(messages: DataFrame) -> DataFrame:
-    """(tree, leaf, node, up) for each message on the path of each leaf; up: steps above the leaf.
+def climb(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(tree, leaf, score), the mean score of each leaf's path, and the link tables.
 
-    ``messages`` has tree, node, parent. Link table k holds the 2^k-th ancestor of each message, made by joining
-    table k-1 with itself; joining the paths so far with each table in turn reaches every ancestor once.
+    ``messages`` has tree, node, parent, score. Link table k holds the 2^k-th ancestor of each message and the sum of
+    the scores below it, made by joining table k-1 with itself. A path's length is a sum of powers of two, so a leaf
+    that goes up the tables from the largest takes each at most once: one row a leaf, no path is written.
     """
-    nodes = messages.select("tree", "node", "parent").dropDuplicates(["tree", "node"])
+    nodes = messages.select("tree", "node", "parent", "score").dropDuplicates(["tree", "node"])
     known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
-    nodes = cut(nodes.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("parent")))
+    nodes = cut(nodes.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("parent"), "score"))
     n, links, k = nodes.count(), [], 0
-    link = nodes.where("parent is not null").select("tree", "node", F.col("parent").alias("above"))
+    link = nodes.where("parent is not null").select("tree", "node", F.col("parent").alias("above"), F.col("score").alias("below"))
     while not link.isEmpty() and k <= math.ceil(math.log2(n + 1)):
         links.append(link)
         low, high = link.alias("a"), link.alias("b")
         step = (F.col("a.tree") == F.col("b.tree")) & (F.col("a.above") == F.col("b.node"))
-        link, k = cut(low.join(high, step).select("a.tree", "a.node", "b.above")), k + 1
+        link, k = cut(low.join(high, step).select("a.tree", "a.node", "b.above", (F.col("a.below") + F.col("b.below")).alias("below"))), k + 1
     if k > math.ceil(math.log2(n + 1)):  # links longer than any path run in circles
         loose = link.select("tree", "node").distinct()
         nodes = nodes.join(loose, ["tree", "node"], "left_anti")
         links = [x.join(loose, ["tree", "node"], "left_anti") for x in links]
     parents = nodes.where("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
-    out = nodes.join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
+    at = nodes.join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0.0).alias("total"), F.lit(1).cast("long").alias("size"))
+    for k in reversed(range(len(links))):
+        up = F.when(F.col("above").isNotNull(), F.lit(2**k)).otherwise(F.lit(0))
+        at = at.join(links[k], ["tree", "node"], "left").select("tree", "leaf", F.coalesce("above", "node").alias("node"), (F.col("total") + F.coalesce("below", F.lit(0.0))).alias("total"), (F.col("size") + up).alias("size"))
+    at = at.join(nodes.select("tree", "node", "score"), ["tree", "node"])
+    return cut(at.select("tree", "leaf", ((F.col("total") + F.col("score")) / F.col("size")).alias("score"))), links
+
+
+def choose(leaves: DataFrame, branches: int | None) -> DataFrame:
+    """leaves with branch: the paths of each tree, best mean score first, ties to the smaller leaf id."""
+    ranked = leaves.withColumn("branch", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
+    return ranked.where(F.col("branch") <= branches) if branches else ranked
+
+
+def paths(leaves: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """(tree, leaf, node, up) for each message on the paths of the given leaves; up: steps above the leaf.
+
+    Joining the paths so far with each link table in turn reaches every ancestor once.
+    """
+    out = leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up"))
     for k, link in enumerate(links):
         higher = out.join(link, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + 2**k).alias("up"))
         out = cut(out.unionByName(higher))
     return out
 
 
-def choose(path_rows: DataFrame, scores: DataFrame, branches: int | None) -> DataFrame:
-    """(tree, leaf, score, branch): the paths of each tree, best mean score first, ties to the smaller leaf id."""
-    own = path_rows.join(scores, ["tree", "node"]).groupBy("tree", "leaf").agg(F.avg("score").alias("score"))
-    ranked = own.withColumn("branch", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
-    return ranked.where(F.col("branch") <= branches) if branches else ranked
-
-
 def format_trees(messages: DataFrame, branches: int | None = 1, learn: str = "assistant") -> DataFrame:
     """(tree, leaf, branch, score, formatted, loss): loss is an array of (start, end) code points, from 0, end out.
 
@@ -82,9 +97,9 @@ def format_trees(messages: DataFrame, branches: int | None = 1, learn: str = "as
     """
     m = messages.select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     m = m.where("tree is not null and node is not null").dropDuplicates(["tree", "node"])
-    rows = cut(paths(m))
-    chosen = choose(rows, m.select("tree", "node", "score"), branches)
-    turns = rows.join(chosen, ["tree", "leaf"]).join(m.drop("score", "parent"), ["tree", "node"])
+    leaves, links = climb(m)
+    chosen = cut(choose(leaves, branches))
+    turns = paths(chosen, links).join(chosen, ["tree", "leaf"]).join(m.drop("score", "parent"), ["tree", "node"])
     head = F.concat(F.lit("### "), escape(F.col("role"), True), F.lit(": "))
     turns = turns.select("tree", "leaf", "branch", "score", (-F.col("up")).alias("at"), head.alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == learn).alias("learn"))
     before = W.partitionBy("tree", "leaf").orderBy("at").rowsBetween(W.unboundedPreceding, -1)

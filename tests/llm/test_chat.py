@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 from ledgerloom.llm import chat
 
@@ -59,3 +60,27 @@ def test_query_digests(spark, tmp_path):
 def test_no_rows(spark):
     df = spark.createDataFrame([], "tree string, node long, parent long, role string, text string, score double")
     assert chat.format_trees(df).count() == 0
+
+
+def test_bushy_trees_write_chosen_paths_only(spark):
+    rng = random.Random(3)
+    rows = []
+    for t in range(6):
+        for i in range(60):
+            rows.append((f"t{t}", i, rng.randrange(max(0, i - 4), i) if i else None, "user", f"{t}.{i}", float(rng.randint(0, 9))))
+    parent = {(r[0], r[1]): r[2] for r in rows}
+    score = {(r[0], r[1]): r[5] for r in rows}
+    want = {}
+    for tree, node in sorted(set(parent) - {(t, p) for (t, _), p in parent.items()}):
+        path = [node]
+        while parent[tree, path[-1]] is not None:
+            path.append(parent[tree, path[-1]])
+        want.setdefault(tree, []).append((-sum(score[tree, x] for x in path) / len(path), node, path[::-1]))
+    df = spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double")
+    got = {}
+    for r in chat.read_back(chat.format_trees(df, branches=2)).collect():
+        got.setdefault(r["tree"], {})[r["branch"]] = (-r["score"], r["leaf"], [int(t["text"].split(".")[1]) for t in r["turns"]])
+    assert {t: [v[b] for b in sorted(v)] for t, v in got.items()} == {t: sorted(v)[:2] for t, v in want.items()}
+    leaves, links = chat.climb(df)
+    chosen = chat.choose(leaves, 2)
+    assert chat.paths(chosen, links).count() == sum(len(p) for v in want.values() for *_, p in sorted(v)[:2])
