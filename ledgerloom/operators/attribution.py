@@ -111,27 +111,80 @@ def pair_candidates(gaps: DataFrame, items: DataFrame, tolerance: int, scope: li
     return out.distinct()
 
 
+def _scale(x: Column) -> Column:
+    """Bucket of an amount, eight to each doubling: a few hundred at most, whatever the amounts; 0 up to one paisa."""
+    return F.floor(8 * F.log2(F.greatest(x, F.lit(1)).cast("double")))
+
+
+def _amounts_below(gaps: DataFrame, items: DataFrame, upto: Column) -> tuple[DataFrame, DataFrame]:
+    """(gaps' rows with each distinct amount m that is at most ``upto`` and the number n of other batches' items of it; the pool).
+
+    An equi-join on buckets of the amount's logarithm: each gap meets the buckets up to its limit's.
+    """
+    pool = items.where("magnitude is not null").dropDuplicates(["item_id", "magnitude", "item_settlement"])
+    total = cut(pool.groupBy(F.col("magnitude").alias("m")).agg(F.count("*").alias("n")).withColumn("__s", _scale(F.col("m"))))
+    own = cut(gaps.join(pool, F.col("settlement_id").eqNullSafe(F.col("item_settlement"))).groupBy("gap_id", F.col("magnitude").alias("m")).agg(F.count("*").alias("o")))
+    asked = gaps.withColumn("__u", upto).withColumn("__s", F.explode(F.sequence(F.lit(0).cast("long"), _scale(F.col("__u")))))
+    rows = asked.join(total, "__s").where(F.col("m") <= F.col("__u")).drop("__s", "__u")
+    rows = rows.join(own, ["gap_id", "m"], "left").withColumn("n", F.col("n") - F.coalesce("o", F.lit(0))).where("n > 0").drop("o")
+    return rows, own
+
+
 def pair_counts(gaps: DataFrame, items: DataFrame, tolerance: int) -> DataFrame:
-    """(gap_id, n_candidates): how many pairs ``pair_candidates`` finds for each gap with any, without making them.
+    """(gap_id, n_candidates, ma, mb): how many pairs ``pair_candidates`` finds for each gap with any, and the amounts of one.
 
-    Items are counted by magnitude first, less those of the gap's own settlement; a gap then meets each magnitude once,
-    and that at most the 2 * tolerance + 1 magnitudes that fit it.
+    Items are counted by magnitude first, less those of the gap's own settlement; a gap then meets each magnitude up to
+    half of it once, and that at most the 2 * tolerance + 1 magnitudes that fit it. No pair of items is made.
     """
     width = 2 * tolerance + 1
-    pool = items.where("magnitude is not null").dropDuplicates(["item_id", "magnitude", "item_settlement"])
     g = gaps.select("gap_id", "settlement_id", F.abs("delta").alias("target"))
-    total = cut(pool.groupBy("magnitude").agg(F.count("*").alias("n")))
-    own = cut(g.join(pool, F.col("settlement_id").eqNullSafe(F.col("item_settlement"))).groupBy("gap_id", "magnitude").agg(F.count("*").alias("o")))
-    left = lambda m: own.select("gap_id", F.col("magnitude").alias(m), "o")
-    half = g.join(total.select(F.col("magnitude").alias("ma"), F.col("n").alias("na"))).where(F.col("ma") * 2 <= F.col("target") + tolerance)
-    half = half.join(left("ma"), ["gap_id", "ma"], "left").withColumn("na", F.col("na") - F.coalesce("o", F.lit(0))).where("na > 0").drop("o")
+    half, own = _amounts_below(g, items, F.floor((F.col("target") + tolerance) / 2))
+    half = half.withColumnsRenamed({"m": "ma", "n": "na"})
     probe = half.withColumn("__k", F.explode(F.array(*[F.floor((F.col("target") - F.col("ma")) / width) + k for k in (-1, 0, 1)])))
-    b = total.select(F.col("magnitude").alias("mb"), F.col("n").alias("nb"), F.floor(F.col("magnitude") / width).alias("__k"))
-    hits = probe.join(b, "__k").where((F.abs(F.col("target") - F.col("ma") - F.col("mb")) <= tolerance) & (F.col("ma") <= F.col("mb")))
-    hits = hits.join(left("mb"), ["gap_id", "mb"], "left").withColumn("nb", F.col("nb") - F.coalesce("o", F.lit(0)))
-    same = F.expr("na * (na - 1) div 2")
-    n = F.sum(F.when(F.col("ma") == F.col("mb"), same).otherwise(F.col("na") * F.col("nb")))
-    return hits.groupBy("gap_id").agg(n.cast("long").alias("n_candidates")).where("n_candidates > 0")
+    total = items.where("magnitude is not null").dropDuplicates(["item_id", "magnitude", "item_settlement"]).groupBy(F.col("magnitude").alias("mb")).agg(F.count("*").alias("nb"))
+    hits = probe.join(total.withColumn("__k", F.floor(F.col("mb") / width)), "__k")
+    hits = hits.where((F.abs(F.col("target") - F.col("ma") - F.col("mb")) <= tolerance) & (F.col("ma") <= F.col("mb")))
+    hits = hits.join(own.withColumnRenamed("m", "mb"), ["gap_id", "mb"], "left").withColumn("nb", F.col("nb") - F.coalesce("o", F.lit(0)))
+    pairs = F.when(F.col("ma") == F.col("mb"), F.expr("na * (na - 1) div 2")).otherwise(F.col("na") * F.col("nb"))
+    hits = hits.withColumn("pairs", pairs).where("pairs > 0")
+    found = hits.groupBy("gap_id").agg(F.sum("pairs").cast("long").alias("n_candidates"), F.min(F.struct("ma", "mb")).alias("p"))
+    return found.select("gap_id", "n_candidates", "p.ma", "p.mb")
+
+
+def only_pair(gaps: DataFrame, counts: DataFrame, items: DataFrame) -> DataFrame:
+    """(gap_id, item_id): the two items of each gap whose pair is the only one, looked up by their amounts."""
+    one = counts.where("n_candidates = 1").join(gaps.select("gap_id", "settlement_id"), "gap_id")
+    sides = one.select("gap_id", "settlement_id", F.explode(F.array_distinct(F.array("ma", "mb"))).alias("magnitude"))
+    found = sides.join(items, "magnitude").where(~F.col("settlement_id").eqNullSafe(F.col("item_settlement")))
+    return found.groupBy("gap_id").agg(F.array_join(F.array_sort(F.collect_set(F.col("item_id").cast("string"))), "+").alias("item_id"))
+
+
+def pair_chance(gaps: DataFrame, items: DataFrame, tolerance: int, width: int = 1 << 20) -> DataFrame:
+    """(gap_id, chance): the exact mean that ``pair_fits`` estimates, of pairs of other batches' items; for gaps that are few.
+
+    As in ``single_fits`` it is a difference of four sums of u - s over the pair sums s below u. For each amount a of
+    the pool they are the sums of (u - a) - b over the amounts b below u - a, read off running counts and sums.
+    """
+    t = F.abs("delta")
+    low = F.greatest(F.lit(1), F.floor(t / 2))
+    g = gaps.select("gap_id", "settlement_id", low.alias("lo"), F.greatest(low + 1, F.floor(t * 3 / 2)).alias("hi"))
+    pool = cut(_amounts_below(g, items, F.col("hi") + tolerance)[0].select("gap_id", "lo", "hi", "m", "n"))
+    ends = [(1, F.col("hi") + tolerance), (-1, F.col("hi") - 1 - tolerance), (-1, F.col("lo") + tolerance), (1, F.col("lo") - 1 - tolerance)]
+    points = F.explode(F.array(*[F.struct((F.lit(sign) * F.col("n")).cast("long").alias("w"), (u - F.col("m")).cast("long").alias("v")) for sign, u in ends])).alias("p")
+    marks = pool.select("gap_id", points).where("p.v > 0").select("gap_id", "p.v", F.lit(0).cast("long").alias("n"), "p.w")
+    both = pool.select("gap_id", F.col("m").cast("long").alias("v"), "n", F.lit(0).cast("long").alias("w")).unionByName(marks).withColumn("b", F.floor(F.col("v") / F.lit(width)))
+    run = W.partitionBy("gap_id", "b").orderBy("v", F.desc("n")).rowsBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy("gap_id").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    prior = both.groupBy("gap_id", "b").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("v")).alias("s"))
+    prior = prior.select("gap_id", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("pn"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("ps"))
+    seen = both.withColumns({"cn": F.sum("n").over(run), "cs": F.sum(F.col("n") * F.col("v")).over(run)}).where("w <> 0").join(prior, ["gap_id", "b"])
+    wide = lambda c: c.cast("decimal(19,0)")  # noqa: E731  products of three longs
+    ramp = wide(F.col("w")) * (wide(F.col("v")) * wide(F.col("cn") + F.col("pn")) - wide(F.col("cs") + F.col("ps"))).cast("decimal(38,0)")
+    total = seen.groupBy("gap_id").agg(F.sum(ramp.cast("decimal(38,0)")).cast("double").alias("total"))
+    twice = 2 * F.col("m")
+    itself = F.col("n") * F.greatest(F.lit(0), F.least(F.col("hi") - 1, twice + tolerance) - F.greatest(F.col("lo"), twice - tolerance) + 1)
+    rows = pool.groupBy("gap_id", "lo", "hi").agg(F.sum(itself).alias("itself")).join(total, "gap_id", "left")
+    return rows.select("gap_id", ((F.coalesce("total", F.lit(0.0)) - F.col("itself")) / 2 / (F.col("hi") - F.col("lo"))).alias("chance"))
 
 
 def pair_fits(gaps: DataFrame, items: DataFrame, tolerance: int, bins: int = 4096) -> DataFrame:
@@ -169,8 +222,8 @@ def attribute(gaps: DataFrame, items: DataFrame, tolerance: int = C.NET_TOLERANC
     """(gap_id, level, outcome, item_id, n_candidates, expected, band, confidence) for each gap (gap_id, settlement_id, delta).
 
     The first level with a candidate decides: one is the cause unless chance explains it as well, several are
-    ambiguous. Pairs are looked for only where no single item fits: they are counted exactly for every gap, and made
-    only where the count is one. With ``chance_pairs``, for callers that use nothing but causes that chance doesn't
+    ambiguous. Pairs are looked for only where no single item fits: they are counted exactly for every gap. Where the
+    count is one, which alone depends on it, the chance is exact too; elsewhere it is an estimate. With ``chance_pairs``, for callers that use nothing but causes that chance doesn't
     explain, gaps for which as many pairs are expected by chance are not looked at and have n_candidates null.
     """
     open_ = gaps.where(F.abs("delta") > tolerance)
@@ -182,9 +235,10 @@ def attribute(gaps: DataFrame, items: DataFrame, tolerance: int = C.NET_TOLERANC
     rest = cut(pair_fits(open_.join(first.select("gap_id"), "gap_id", "left_anti").select("gap_id", "settlement_id", "delta"), items, tolerance))
     few = rest if chance_pairs is None else rest.where(F.col("expected") < chance_pairs)
     counts = cut(pair_counts(few, items, tolerance))
-    only = pair_candidates(few.drop("expected").join(counts.where("n_candidates = 1"), "gap_id", "left_semi"), items, tolerance)
-    only = only.groupBy("gap_id").agg(F.min(F.concat_ws("+", "item_a", "item_b")).alias("item_id"))
-    two = counts.join(few.select("gap_id", "expected"), "gap_id").join(only, "gap_id", "left").select("gap_id", "n_candidates", "item_id", "expected")
+    alone = few.join(counts.where("n_candidates = 1"), "gap_id", "left_semi")
+    sure = only_pair(few, counts, items).join(pair_chance(alone, items, tolerance), "gap_id")
+    two = counts.select("gap_id", "n_candidates").join(few.select("gap_id", F.col("expected").alias("about")), "gap_id").join(sure, "gap_id", "left")
+    two = two.select("gap_id", "n_candidates", "item_id", F.coalesce("chance", "about").alias("expected"))
     if chance_pairs is not None:
         two = two.unionByName(rest.where(F.col("expected") >= chance_pairs).select("gap_id", F.lit(None).cast("long").alias("n_candidates"), F.lit(None).cast("string").alias("item_id"), "expected"))
     two = two.withColumns({"level": F.lit("L4"), "kind": F.lit("pair"), "base": F.lit(C.CONFIDENCE["pair"])})

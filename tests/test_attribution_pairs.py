@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from itertools import combinations
 
+import pytest
+
 from ledgerloom.operators import attribution
 
 SCHEMA = "item_id string, kind string, magnitude long, item_settlement string"
@@ -32,3 +34,29 @@ def test_counts_equal_all_pairs(spark):
     for gap, s, delta in gaps:
         n = sum(abs(abs(delta) - a[2] - b[2]) <= 2 for a, b in combinations([r for r in rows if r[3] != s], 2))
         assert got.get(gap, 0) == n
+
+
+def test_chance_of_pairs_is_exact(spark):
+    rng = random.Random(5)
+    items = [(f"i{k}", "payment", rng.choice([rng.randint(1, 400), rng.randint(1, 3_000_000)]), f"s{k % 4}") for k in range(60)]
+    gaps = [(f"g{k}", f"s{k % 6}", rng.choice([-1, 1]) * rng.choice([3, 40, 500, 2_000_000, 5_900_000])) for k in range(20)]
+    df = spark.createDataFrame(items, "item_id string, kind string, magnitude long, item_settlement string")
+    got = {r["gap_id"]: r["chance"] for r in attribution.pair_chance(spark.createDataFrame(gaps, "gap_id string, settlement_id string, delta long"), df, 2).collect()}
+    for gap, own, delta in gaps:
+        pool = [m for _, _, m, s in items if s != own]
+        t = abs(delta)
+        lo = max(1, t // 2)
+        hi = max(lo + 1, t * 3 // 2)
+        want = sum(max(0, min(hi - 1, a + b + 2) - max(lo, a + b - 2) + 1) for a, b in combinations(pool, 2)) / (hi - lo)
+        assert got.get(gap, 0.0) == pytest.approx(want, abs=1e-12), gap
+
+
+def test_the_only_pair_is_looked_up(spark):
+    items = [("a", 100, "s1"), ("b", 250, "s2"), ("c", 100, "s9"), ("d", 7000, "s1"), ("e", 7000, "s2"), ("f", 90_000, "s1"), ("g", 1, "s3"), ("h", 1, "s9")]
+    df = spark.createDataFrame([(i, "payment", m, s) for i, m, s in items], "item_id string, kind string, magnitude long, item_settlement string")
+    gaps = spark.createDataFrame([("x", "s9", 350), ("y", "s9", -14_001), ("z", "s9", 97_000), ("n", "s9", 50)], "gap_id string, settlement_id string, delta long")
+    counts = attribution.pair_counts(gaps, df, 2)
+    assert {r["gap_id"]: r["n_candidates"] for r in counts.collect()} == {"x": 1, "y": 1, "z": 2}
+    assert {r["gap_id"]: r["item_id"] for r in attribution.only_pair(gaps, counts, df).collect()} == {"x": "a+b", "y": "d+e"}
+    got = {r["gap_id"]: r for r in attribution.attribute(gaps, df).collect()}
+    assert (got["x"]["level"], got["x"]["n_candidates"]) == ("L4", 1) and got["z"]["outcome"] == "AMBIGUOUS_MULTI_CANDIDATE" and got["n"]["level"] == "L5"
