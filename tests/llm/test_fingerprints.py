@@ -68,3 +68,16 @@ def test_canonical_form(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for r in df.select("t", fp.canonical(F.col("t")).alias("c")).collect():
         assert r["c"] == canonical(r["t"]), r["t"]
+
+
+def test_a_shared_id_is_dealt_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(fp, "BUCKET_ROWS", 5)
+    rng = random.Random(4)
+    for hot in (None, 7, -(2**63) + 1, 2**63 - 1):
+        rows = [(hot, f"shared {k}") for k in range(80)] + [(rng.randint(-50, 50), f"own {k}") for k in range(80)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").select(F.coalesce("doc_id", F.lit(fp.FIRST)).alias("key"), F.xxhash64("text").alias("tie"), "text")
+        rows = sorted(df.collect(), key=lambda r: (r["key"], r["tie"]))
+        led = fp.with_next(df, "key", "tie", ["text"])
+        got = {r["text"]: r["next_text"] for r in led.collect()}
+        assert got == {r["text"]: rows[(i + 1) % len(rows)]["text"] for i, r in enumerate(rows)}
+        assert led.count() == len(rows)
