@@ -27,13 +27,18 @@ def typed(orders: DataFrame, declines: DataFrame) -> DataFrame:
 
 
 def groups(items: DataFrame) -> DataFrame:
-    """(group_key, code, reasons, chain_count, total_paise, order_ids) of typed exceptions."""
+    """(group_key, code, reasons, chain_count, total_paise, first_order) of typed exceptions; ``members`` has their orders."""
     return items.groupBy("group_key").agg(
         F.min("code").alias("code"), F.array_sort(F.collect_set("reason")).alias("reasons"), F.count("*").alias("chain_count"),
-        F.sum("amount_paise").alias("total_paise"), F.array_sort(F.collect_list("order_id")).alias("order_ids"),
+        F.sum("amount_paise").alias("total_paise"), F.min("order_id").alias("first_order"),
     )
 
 
+def members(items: DataFrame) -> DataFrame:
+    """(group_key, order_id), a row for each: a group may hold a third of all orders, too many for one row."""
+    return items.select("group_key", "order_id")
+
+
 def breakdown(items: DataFrame, dims: list[str], amount: str) -> DataFrame:
     """Counts, money and share of money by each of ``dims`` alone, in one pass: (dimension, value, findings, paise, share)."""
     parts = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dims]))

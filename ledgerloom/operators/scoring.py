@@ -125,3 +125,34 @@ def held_out_gap(measures: DataFrame) -> DataFrame:
     """(metric, dev, held_out, gap) of measures (metric, part, value) whose part is "dev" or "held_out"."""
     one = lambda part: measures.where(F.col("part") == part).select("metric", F.col("value").alias(part))
     return one("dev").join(one("held_out"), "metric").withColumn("gap", F.col("held_out") - F.col("dev"))
+
+
+def run_curves(pairs: DataFrame, totals: DataFrame, run: str, key: str, delta: str, tolerances: tuple[int, ...]) -> DataFrame:
+    """(run, tolerance, answered, wrong, precision, coverage) of the keys of each run that each tolerance answers.
+
+    ``pairs``: run, key, delta; ``totals``: run, total. A key with several candidates is answered wrongly; precision
+    is null where nothing is answered.
+    """
+    steps = F.array(*[F.lit(t).cast("long") for t in sorted(tolerances)])
+    within = F.explode(F.filter(steps, lambda t: t >= F.abs(F.col(delta)))).alias("tolerance")
+    keys = pairs.select(run, key, within).groupBy(run, "tolerance", key).agg(F.count("*").alias("n"))
+    per = keys.groupBy(run, "tolerance").agg(F.count("*").alias("answered"), F.count_if(F.col("n") > 1).alias("wrong"))
+    rows = totals.select(run, "total", F.explode(steps).alias("tolerance")).join(per, [run, "tolerance"], "left").fillna(0, ["answered", "wrong"])
+    return rows.select(run, "tolerance", "answered", "wrong", F.try_divide(F.col("answered") - F.col("wrong"), F.col("answered")).alias("precision"), F.try_divide("answered", "total").alias("coverage"))
+
+
+def curve_limits(curves: DataFrame, run: str) -> DataFrame:
+    """(run, first_loss, first_coverage_move): the least tolerance with a wrong answer, and the least whose coverage isn't that of the smallest; null where there is none."""
+    rows = curves.withColumn("__base", F.min_by("coverage", "tolerance").over(W.partitionBy(run)))
+    return rows.groupBy(run).agg(F.min(F.when(F.col("precision") < 1, F.col("tolerance"))).alias("first_loss"), F.min(F.when(~F.col("coverage").eqNullSafe(F.col("__base")), F.col("tolerance"))).alias("first_coverage_move"))
+
+
+def curve_grid(curves: DataFrame) -> DataFrame:
+    """(tolerance, least_precision, mean_coverage, wrong, exact) over all runs; exact where every run answers, and rightly."""
+    exact = F.bool_and(F.coalesce(F.col("precision") == 1, F.lit(False))).alias("exact")
+    return curves.groupBy("tolerance").agg(F.min("precision").alias("least_precision"), F.avg("coverage").alias("mean_coverage"), F.sum("wrong").alias("wrong"), exact)
+
+
+def exact_through(grid: DataFrame) -> DataFrame:
+    """One row: the largest tolerance that is exact in every run (null: none), and the smallest at which one loses."""
+    return grid.agg(F.max(F.when(F.col("exact"), F.col("tolerance"))).alias("exact_through"), F.min(F.when(F.col("least_precision") < 1, F.col("tolerance"))).alias("earliest_loss"))

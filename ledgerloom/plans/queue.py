@@ -109,3 +109,13 @@ def membership_pools(credits: DataFrame, payments: DataFrame, window: int, toler
     """
     c = credits.select("bank_row_id", "credit_paise", F.explode(F.sequence(F.date_sub("event_date", window), "event_date")).alias("due"))
     return c.join(payments, "due").where(F.col("contribution") <= F.col("credit_paise") + tolerance).select("bank_row_id", "payment_id", "contribution")
+
+
+def arithmetic(batches: DataFrame) -> DataFrame:
+    """(settlement_id, place, label, paise): the terms of each payout's equation in order; reversals and what is carried in only where they aren't zero."""
+    term = lambda label, paise: F.struct(F.lit(label).alias("label"), paise.cast("long").alias("paise"))
+    less = lambda c: -F.coalesce(F.col(c), F.lit(0))
+    always = F.array(term("payments", F.coalesce(F.col("gross_paise"), F.lit(0))), term("fee", less("fee_paise")), term("tax", less("tax_paise")), term("withholding", less("withholding_paise")))
+    some = F.array(term("refunds", less("refund_paise")), term("chargebacks", less("chargeback_paise")), term("carried in", less("carry_forward_in_paise")))
+    terms = F.concat(always, F.filter(some, lambda t: t["paise"] != 0))
+    return batches.select("settlement_id", F.posexplode(terms).alias("place", "t")).select("settlement_id", "place", "t.label", "t.paise")

@@ -21,7 +21,7 @@ from ledgerloom.sources.ledgers import Ledgers
 @dataclass(frozen=True)
 class Reconciliation:
     """decisions(order_id, outcome, payment_id, settlement_id, bank_row_id, tier, confidence, reason), settlements and their rows,
-    declines of all tiers, verdicts of the batches, attributions, exception groups, and what became of bank rows."""
+    declines of all tiers, verdicts of the batches, attributions, exception groups and their orders, and what became of bank rows."""
 
     decisions: DataFrame
     tied: DataFrame
@@ -29,6 +29,7 @@ class Reconciliation:
     verdicts: DataFrame
     attributions: DataFrame
     groups: DataFrame
+    members: DataFrame
     dispositions: DataFrame
 
 
@@ -126,13 +127,14 @@ def reconcile(ledgers: Ledgers, rates: C.Rates | None = None, as_of: Column | No
     for x in parts[1:]:
         decided = decided.unionByName(x)
     decided = cut(decided)
-    grouped = spark.createDataFrame([], "group_key string, code string, reasons array<string>, chain_count long, total_paise long, order_ids array<string>")
+    grouped = spark.createDataFrame([], "group_key string, code string, reasons array<string>, chain_count long, total_paise long, first_order string")
+    members = spark.createDataFrame([], "group_key string, order_id string")
     if 5 in tiers:
         undecided = ledgers.orders.join(decided.select("order_id"), "order_id", "left_anti").select("order_id", "amount_paise")
         items5 = cut(X.typed(undecided, X.merge_declines(everything.where("kind = 'orders'"))))
-        grouped = X.groups(items5)
+        grouped, members = X.groups(items5), X.members(items5)
         null = lambda c: F.lit(None).cast(decided.schema[c].dataType).alias(c)
         decided = decided.unionByName(items5.select("order_id", F.col("code").alias("outcome"), null("payment_id"), null("settlement_id"), null("bank_row_id"), F.lit(5).alias("tier"), F.lit(0.0).alias("confidence"), "reason"))
     matched = tied.select("bank_row_id", F.lit("MATCHED").alias("m"))
     disposed = ledgers.bank.join(matched, "bank_row_id", "left").select("bank_row_id", F.coalesce("m", F.when(F.col("entry_type") == "bank_debit", "IGNORED")).alias("disposition")).where("disposition is not null")
-    return Reconciliation(decided, tied, everything, verdicts, attributed, grouped, disposed)
+    return Reconciliation(decided, tied, everything, verdicts, attributed, grouped, members, disposed)

@@ -304,10 +304,15 @@ def star_typed(spark, sf_dir):
     return exceptions.typed(g.select("order_id", "amount_paise", "event_date"), exceptions.merge_declines(d))
 
 
-@query(f"{TYPED_SQL} SELECT code AS group_key, code, count(*)::BIGINT AS chain_count, sum(amount_paise)::BIGINT AS total_paise, md5(string_agg(order_id, ',' ORDER BY order_id)) AS orders_md5 FROM typed_ GROUP BY code")
+@query(f"{TYPED_SQL} SELECT code AS group_key, code, count(*)::BIGINT AS chain_count, sum(amount_paise)::BIGINT AS total_paise, min(order_id) AS first_order FROM typed_ GROUP BY code")
 def exception_groups(spark, sf_dir):
     g = exceptions.groups(star_typed(spark, sf_dir))
-    return g.select("group_key", "code", "chain_count", "total_paise", F.md5(F.array_join("order_ids", ",")).alias("orders_md5"))
+    return g.select("group_key", "code", "chain_count", "total_paise", "first_order")
+
+
+@query(f"{TYPED_SQL} SELECT code AS group_key, order_id FROM typed_")
+def group_members(spark, sf_dir):
+    return exceptions.members(star_typed(spark, sf_dir))
 
 
 @query(f"""{TYPED_SQL}, b_ AS (SELECT 'code' AS dimension, code AS value, amount_paise FROM typed_ UNION ALL SELECT 'reason', reason, amount_paise FROM typed_)
