@@ -60,3 +60,22 @@ def salted_rank(df: DataFrame, key: str, order: list[Column], out: str, salt: Co
     right = bases.select(F.col(key).alias("__ll_k"), F.col(s).alias("__ll_s"), base)
     on = F.col(key).eqNullSafe(F.col("__ll_k")) & (F.col(s) == F.col("__ll_s"))
     return ranked.join(right, on, "left").withColumn(out, F.col(out) + F.col(base)).drop("__ll_k", "__ll_s", base, s)
+
+
+def numbered(df: DataFrame, order: list[Column], out: str) -> tuple[DataFrame, int]:
+    """``df`` with ``out``, the 1-based number of each row in ``order``, and how many rows there are.
+
+    The sort deals rows by range, and each part is numbered by itself; the parts' sizes, one row for each, give the
+    offsets. Rows that are equal in ``order`` can come in any sequence.
+    """
+    at, part, base = "__ll_at", "__ll_part", "__ll_base"
+    rows = cut(df.orderBy(*order).withColumn(at, F.monotonically_increasing_id()))
+    rows = rows.withColumn(part, F.shiftrightunsigned(at, 33))
+    sizes = sorted(rows.groupBy(part).count().collect())  # a row for each partition of the sort
+    before, seen = [], 0
+    for k, n in sizes:
+        before.append((k, seen))
+        seen += n
+    bases = df.sparkSession.createDataFrame(before, f"{part} long, {base} long")
+    local = F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(F.broadcast(bases), part).withColumn(out, local + F.col(base) + 1).drop(at, part, base), seen
