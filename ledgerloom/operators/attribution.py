@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom import config as C
 from ledgerloom.operators.batches import net_contribution
+from ledgerloom.operators.chance import cell_of, chance_floors
 from ledgerloom.sources.checkpoints import cut
 
 LEVEL_OF = {"payment": "L1", "refund": "L2", "chargeback": "L3"}
@@ -56,11 +55,12 @@ def single_fits(gaps: DataFrame, items: DataFrame, tolerance: int, scope: list[s
     asked = g.select("gap_id", *scope, kinds, points.alias("p"))
     bucket = lambda x: F.floor(x / F.lit(width)).alias("b")
     m = F.abs("magnitude").cast("long")
-    pool = items.where("magnitude is not null").select(*keys, bucket(m), m.alias("v"), F.lit(None).cast(gaps.schema["gap_id"].dataType).alias("gap_id"), F.lit(0).alias("sign"), F.lit(1).cast("long").alias("one"))
+    counted = items.where("magnitude is not null").groupBy(*keys, m.alias("v")).agg(F.count("*").alias("one"))  # items of a common size are one row
+    pool = counted.select(*keys, bucket(F.col("v")), "v", F.lit(None).cast(gaps.schema["gap_id"].dataType).alias("gap_id"), F.lit(0).alias("sign"), "one")
     marks = asked.select(*keys, bucket(F.col("p.u")), F.col("p.u").alias("v"), "gap_id", "p.sign", F.lit(0).cast("long").alias("one"))
     w = W.partitionBy(*keys, "b").orderBy("v", F.desc("one")).rowsBetween(W.unboundedPreceding, 0)
     both = pool.unionByName(marks).withColumns({"cn": F.sum("one").over(w), "cs": F.sum(F.col("one") * F.col("v")).over(w)})
-    totals = pool.groupBy(*keys, "b").agg(F.count("*").alias("tn"), F.sum("v").alias("ts"))
+    totals = pool.groupBy(*keys, "b").agg(F.sum("one").alias("tn"), F.sum(F.col("one") * F.col("v")).alias("ts"))
     all_b = both.where("sign <> 0").select(*keys, "b").distinct().join(totals, [*keys, "b"], "full").fillna(0, ["tn", "ts"])
     before = W.partitionBy(*keys).orderBy("b").rowsBetween(W.unboundedPreceding, -1)
     prior = all_b.select(*keys, "b", F.coalesce(F.sum("tn").over(before), F.lit(0)).alias("pn"), F.coalesce(F.sum("ts").over(before), F.lit(0)).alias("ps"))
@@ -160,7 +160,7 @@ def only_pair(gaps: DataFrame, counts: DataFrame, items: DataFrame) -> DataFrame
 
 
 def pair_chance(gaps: DataFrame, items: DataFrame, tolerance: int, width: int = 1 << 20) -> DataFrame:
-    """(gap_id, chance): the exact mean that ``pair_fits`` estimates, of pairs of other batches' items; for gaps that are few.
+    """(gap_id, chance): the exact mean number of pairs of other batches' items that fit a target drawn as in ``single_fits``; for gaps that are few.
 
     As in ``single_fits`` it is a difference of four sums of u - s over the pair sums s below u. For each amount a of
     the pool they are the sums of (u - a) - b over the amounts b below u - a, read off running counts and sums.
@@ -187,116 +187,46 @@ def pair_chance(gaps: DataFrame, items: DataFrame, tolerance: int, width: int =
     return rows.select("gap_id", ((F.coalesce("total", F.lit(0.0)) - F.col("itself")) / 2 / (F.col("hi") - F.col("lo"))).alias("chance"))
 
 
-def pair_fits(gaps: DataFrame, items: DataFrame, tolerance: int, bins: int = 4096) -> DataFrame:
-    """gaps with expected, the chance fits of a pair of items.
+def first_singles(gaps: DataFrame, items: DataFrame, tolerance: int) -> DataFrame:
+    """(gap_id, level, kind, n_candidates, item_id): of each gap that any single item fits the first level with one."""
+    singles = single_candidates(gaps, items, tolerance)
+    first = singles.groupBy("gap_id", "level", "kind").agg(F.count("*").alias("n_candidates"), F.min("item_id").alias("item_id"))
+    return cut(first.withColumn("rank", F.row_number().over(W.partitionBy("gap_id").orderBy("level"))).where("rank = 1").drop("rank"))
 
-    The pool's magnitudes are counted in ``bins`` equal bins, which alone go to the driver; the bins folded with
-    themselves give the pair sums, and a gap reads their density between half and one and a half times its size.
-    """
-    m = F.abs("magnitude")
-    top = items.agg(F.max(m)).first()[0]
-    if not top:
-        return gaps.withColumn("expected", F.lit(0.0))
-    step = top / bins
-    counts = items.groupBy(F.least(F.floor(m / step), F.lit(bins - 1)).alias("b")).agg(F.count("*").alias("n")).collect()  # at most bins rows
-    h = np.zeros(bins)
-    for r in counts:
-        if r["b"] is not None:
-            h[r["b"]] = r["n"]
-    sums = np.convolve(h, h)
-    sums[::2] -= h
-    reached = np.concatenate([[0.0], np.cumsum(np.maximum(sums, 0) / 2)])
-
-    @F.pandas_udf("double")
-    def expected(delta: pd.Series) -> pd.Series:
-        target = np.abs(delta.to_numpy(np.float64))
-        lo = np.maximum(1, target // 2)
-        hi = np.maximum(lo + 1, target * 3 // 2)
-        below = lambda x: np.interp(x / step, np.arange(len(reached)), reached)
-        return pd.Series((below(hi) - below(lo)) * (2 * tolerance + 1) / (hi - lo))
-
-    return gaps.withColumn("expected", expected(F.col("delta").cast("double")))
-
-
-def attribute(gaps: DataFrame, items: DataFrame, tolerance: int = C.NET_TOLERANCE, chance_pairs: float | None = None) -> DataFrame:
+
+def lone_pairs(gaps: DataFrame, counts: DataFrame, items: DataFrame, tolerance: int) -> DataFrame:
+    """(gap_id, item_id, chance): gaps that one pair alone fits, with its items and the exact chance of a pair."""
+    alone = cut(gaps.join(counts.where("n_candidates = 1"), "gap_id", "left_semi"))
+    return only_pair(alone, counts, items).join(pair_chance(alone, items, tolerance), "gap_id")
+
+
+def attribute(gaps: DataFrame, items: DataFrame, tolerance: int = C.NET_TOLERANCE) -> DataFrame:
     """(gap_id, level, outcome, item_id, n_candidates, expected, band, confidence) for each gap (gap_id, settlement_id, delta).
 
     The first level with a candidate decides: one is the cause unless chance explains it as well, several are
     ambiguous. Pairs are looked for only where no single item fits: they are counted exactly for every gap. Where the
-    count is one, which alone depends on it, the chance is exact too; elsewhere it is an estimate. With ``chance_pairs``, for callers that use nothing but causes that chance doesn't
-    explain, gaps for which as many pairs are expected by chance are not looked at and have n_candidates null.
+    count is one, which alone depends on it, the chance is exact; where several pairs fit, ``expected`` is a floor, as many as
+    there surely are by chance.
     """
     open_ = gaps.where(F.abs("delta") > tolerance)
-    singles = single_candidates(open_, items, tolerance)
-    first = singles.groupBy("gap_id", "level", "kind").agg(F.count("*").alias("n_candidates"), F.min("item_id").alias("item_id"))
-    first = cut(first.withColumn("rank", F.row_number().over(W.partitionBy("gap_id").orderBy("level"))).where("rank = 1").drop("rank"))
+    first = first_singles(open_, items, tolerance)
     fits = single_fits(open_.join(first.select("gap_id"), "gap_id", "left_semi"), items, tolerance)
     one = first.join(fits.select("gap_id", "kind", "expected"), ["gap_id", "kind"], "left").withColumn("base", F.lit(C.CONFIDENCE["single"]))
-    rest = cut(pair_fits(open_.join(first.select("gap_id"), "gap_id", "left_anti").select("gap_id", "settlement_id", "delta"), items, tolerance))
-    few = rest if chance_pairs is None else rest.where(F.col("expected") < chance_pairs)
-    counts = cut(pair_counts(few, items, tolerance))
-    alone = few.join(counts.where("n_candidates = 1"), "gap_id", "left_semi")
-    sure = only_pair(few, counts, items).join(pair_chance(alone, items, tolerance), "gap_id")
-    two = counts.select("gap_id", "n_candidates").join(few.select("gap_id", F.col("expected").alias("about")), "gap_id").join(sure, "gap_id", "left")
-    two = two.select("gap_id", "n_candidates", "item_id", F.coalesce("chance", "about").alias("expected"))
-    if chance_pairs is not None:
-        two = two.unionByName(rest.where(F.col("expected") >= chance_pairs).select("gap_id", F.lit(None).cast("long").alias("n_candidates"), F.lit(None).cast("string").alias("item_id"), "expected"))
+    rest = cut(open_.join(first.select("gap_id"), "gap_id", "left_anti").select("gap_id", "settlement_id", "delta"))
+    counts = cut(pair_counts(rest, items, tolerance))
+    floors = F.broadcast(chance_floors(items, tolerance).table(gaps.sparkSession))
+    several = counts.where("n_candidates > 1").join(rest, "gap_id").withColumn("cell", cell_of(F.abs("delta"))).join(floors, "cell", "left")
+    several = several.select("gap_id", "n_candidates", F.lit(None).cast("string").alias("item_id"), F.coalesce("at_least", F.lit(0.0)).alias("expected"))
+    two = lone_pairs(rest, counts, items, tolerance).select("gap_id", F.lit(1).cast("long").alias("n_candidates"), "item_id", F.col("chance").alias("expected")).unionByName(several)
     two = two.withColumns({"level": F.lit("L4"), "kind": F.lit("pair"), "base": F.lit(C.CONFIDENCE["pair"])})
     found = one.unionByName(two.select(*one.columns))
     rows = gaps.select("gap_id", "settlement_id", "delta").join(found, "gap_id", "left").withColumn("band", band(F.col("expected")))
     small, none = F.abs("delta") <= tolerance, F.col("level").isNull()
     outcome = (
-        F.when(small, "ROUNDING_DRIFT_ACCEPTED").when(none, "AMOUNT_VARIANCE_UNEXPLAINED").when(F.col("n_candidates").isNull() | (F.col("n_candidates") > 1), "AMBIGUOUS_MULTI_CANDIDATE")
+        F.when(small, "ROUNDING_DRIFT_ACCEPTED").when(none, "AMOUNT_VARIANCE_UNEXPLAINED").when(F.col("n_candidates") > 1, "AMBIGUOUS_MULTI_CANDIDATE")
         .when(F.col("band") == "REFUSE", "AMOUNT_VARIANCE_UNEXPLAINED").otherwise("ATTRIBUTED")
     )
     rows = rows.withColumn("outcome", outcome)
     conf = F.when(small, C.CONFIDENCE["rounding"]).when(F.col("outcome") == "ATTRIBUTED", F.col("base")).otherwise(0.0)
     count = F.when(small | none, 0).otherwise(F.col("n_candidates")).cast("long")
     return rows.select("gap_id", "settlement_id", "delta", F.when(small, "L0").when(none, "L5").otherwise(F.col("level")).alias("level"), "outcome", F.when(F.col("outcome") == "ATTRIBUTED", F.col("item_id")).alias("item_id"), count.alias("n_candidates"), "expected", F.when(~none, F.col("band")).alias("band"), conf.alias("confidence"))
-
-
-def infer_membership(pools: DataFrame, withholding_bps: int, tolerance: int = C.NET_TOLERANCE, cap: int = 500_000, keep: int = 8) -> DataFrame:
-    """(bank_row_id, outcome, n_solutions, solutions): which payments of its pool make up a credit, met in the middle.
-
-    pools: bank_row_id, credit_paise, payment_id, amount_paise, fee_paise, tax_paise. A credit whose halves have
-    more than ``cap`` subsets is UNKNOWN. Withholding is rounded once on a subset's gross, so halves meet within a margin and
-    each meeting is checked exactly.
-    """
-
-    def bps(x: np.ndarray) -> np.ndarray:
-        return np.sign(x) * ((np.abs(x) * withholding_bps + 5000) // 10000)
-
-    def halves(gross: np.ndarray, net: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        g, n = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        for a, b in zip(gross, net, strict=True):
-            g, n = np.concatenate([g, g + a]), np.concatenate([n, n + b])
-        return g, n
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("payment_id", ignore_index=True)
-        credit, ids = int(pdf["credit_paise"].iloc[0]), pdf["payment_id"].tolist()
-        gross = pdf["amount_paise"].to_numpy(np.int64)
-        net = gross - pdf["fee_paise"].to_numpy(np.int64) - pdf["tax_paise"].to_numpy(np.int64)
-        half = len(ids) // 2
-        row = {"bank_row_id": [pdf["bank_row_id"].iloc[0]]}
-        if (1 << half) + (1 << (len(ids) - half)) > cap:
-            return pd.DataFrame(row | {"outcome": ["UNKNOWN_ITERATION_CAP_EXCEEDED"], "n_solutions": [0], "solutions": [[]]})
-        (gl, nl), (gr, nr) = halves(gross[:half], net[:half]), halves(gross[half:], net[half:])
-        kl, kr = nl - bps(gl), nr - bps(gr)
-        order = np.argsort(kr, kind="stable")
-        lo = np.searchsorted(kr[order], credit - kl - tolerance - 4, side="left")
-        hi = np.searchsorted(kr[order], credit - kl + tolerance + 4, side="right")
-        found, kept = 0, []
-        for left in np.flatnonzero(hi > lo):
-            right = order[lo[left] : hi[left]]
-            g, n = gl[left] + gr[right], nl[left] + nr[right]
-            ok = (np.abs(credit - (n - bps(g))) <= tolerance) & ((left > 0) | (right > 0))
-            for r in right[ok]:
-                found += 1
-                if len(kept) < keep:
-                    kept.append([ids[i] for i in range(half) if left >> i & 1] + [ids[half + i] for i in range(len(ids) - half) if r >> i & 1])
-        outcome = "NO_SUBSET_FOUND" if not found else "MEMBERSHIP_SOLVED" if found == 1 else "AMBIGUOUS_MULTI_CANDIDATE"
-        return pd.DataFrame(row | {"outcome": [outcome], "n_solutions": [found], "solutions": [kept]})
-
-    types = {f.name: f.dataType.simpleString() for f in pools.schema.fields}
-    return pools.groupBy("bank_row_id").applyInPandas(solve, f"bank_row_id {types['bank_row_id']}, outcome string, n_solutions long, solutions array<array<{types['payment_id']}>>")

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from ledgerloom import config as C
 from ledgerloom.functions.calendar import add_business_days, business_calendar
+from ledgerloom.functions.text import narration_similarity
 from ledgerloom.operators import attribution as A
 from ledgerloom.operators import batches as B
 from ledgerloom.operators import exceptions as X
 from ledgerloom.operators import matching as M
+from ledgerloom.operators.identify import identified as identify
+from ledgerloom.operators.membership import memberships
 from ledgerloom.sources.checkpoints import cut
 from ledgerloom.sources.ledgers import Ledgers
 
@@ -21,19 +24,30 @@ from ledgerloom.sources.ledgers import Ledgers
 @dataclass(frozen=True)
 class Reconciliation:
     """decisions(order_id, outcome, payment_id, settlement_id, bank_row_id, tier, confidence, reason), settlements and their rows,
-    declines of all tiers, verdicts of the batches, attributions, exception groups and their orders, and what became of bank rows."""
+    declines of all tiers, verdicts of the batches, attributions, memberships of credits that no payout explains, exception groups
+    and their orders, what became of bank rows, and the batches as rebuilt."""
 
     decisions: DataFrame
     tied: DataFrame
     declines: DataFrame
     verdicts: DataFrame
     attributions: DataFrame
+    memberships: DataFrame
     groups: DataFrame
     members: DataFrame
     dispositions: DataFrame
+    batches: DataFrame
 
 
-def reconcile(ledgers: Ledgers, rates: C.Rates | None = None, as_of: Column | None = None, tiers: tuple[int, ...] = (1, 2, 3, 5), strict: bool = True) -> Reconciliation:
+def with_likeness(credits: DataFrame) -> DataFrame:
+    """``credits`` with likeness, how much each narration is a payout's; each narration and reference is compared once."""
+    texts = credits.select("narration", "utr").distinct()
+    told = cut(texts.withColumn("likeness", narration_similarity(F.col("narration"), F.coalesce("utr", F.lit("AAAA000000000000")))))
+    told = told.withColumnsRenamed({"narration": "__n", "utr": "__u"})
+    return credits.join(told, F.col("narration").eqNullSafe(F.col("__n")) & F.col("utr").eqNullSafe(F.col("__u"))).drop("__n", "__u")
+
+
+def reconcile(ledgers: Ledgers, rates: C.Rates | None = None, as_of: Column | None = None, tiers: tuple[int, ...] = (1, 2, 3, 5), strict: bool = True, part_b: bool = True) -> Reconciliation:
     """Every tier's narrow result is cut to files: several later ones read it, and none repeats what made it."""
     rates = rates or C.Rates()
     spark = ledgers.orders.sparkSession
@@ -42,7 +56,7 @@ def reconcile(ledgers: Ledgers, rates: C.Rates | None = None, as_of: Column | No
     first, last = span[0], span[1]
     if first is None:
         raise ValueError("neither a settlement nor a bank row has a date")
-    cal = business_calendar(spark, first - timedelta(days=10), last + timedelta(days=60), rates.holidays)
+    cal = business_calendar(spark, first - timedelta(days=30), last + timedelta(days=60), rates.holidays)
     credits = ledgers.bank.where("entry_type = 'bank_credit'")
     due = lambda df, n: add_business_days(df, cal, "event_date", n, "hi")
     gates = cut(M.order_gates(ledgers.orders, ledgers.payments, ledgers.chargebacks))
@@ -83,6 +97,8 @@ def reconcile(ledgers: Ledgers, rates: C.Rates | None = None, as_of: Column | No
     verdicts = spark.createDataFrame([], "settlement_id string, expected_net_paise long, outcome string, bank_row_id string, variance_paise long, confidence double, identified_by string")
     gaps_schema = "gap_id string, settlement_id string, delta long, level string, outcome string, item_id string, n_candidates long, expected double, band string, confidence double"
     attributed = spark.createDataFrame([], gaps_schema)
+    inferred = spark.createDataFrame([], "bank_row_id string, credit_paise long, outcome string, pool_size long, n_solutions long, solutions array<array<string>>, expected double, band string, confidence double")
+    built = spark.createDataFrame([], "settlement_id string, expected_net_paise long")
     if 3 in tiers:
         built = cut(B.build_batches(ledgers.settlements, ledgers.payments, ledgers.refunds, ledgers.chargebacks, rates))
         if strict:
@@ -93,12 +109,9 @@ def reconcile(ledgers: Ledgers, rates: C.Rates | None = None, as_of: Column | No
         items = cut(A.item_pool(ledgers.payments, ledgers.refunds, ledgers.chargebacks, rates.withholding_bps))
         utr_pairs = cut(M.unique_by_utr(open_b, free_c))
         zero_pairs = M.zero_payouts(open_b.where("expected_net_paise = 0"), free)
-        # every open batch without a reference of its own, with each credit of its window
-        days = open_b.where("expected_net_paise > 0").join(utr_pairs, "settlement_id", "left_anti").select("settlement_id", "expected_net_paise", F.explode(F.sequence("event_date", "hi")).alias("event_date"))
-        seen = days.join(free_c.select("event_date", "bank_row_id", "credit_paise"), "event_date")
-        gaps = cut(seen.select(F.concat_ws("/", "settlement_id", "bank_row_id").alias("gap_id"), "settlement_id", "bank_row_id", (F.col("expected_net_paise") - F.col("credit_paise")).alias("delta")))
-        sure = A.attribute(gaps, items, chance_pairs=C.STRONG_MAX).where("outcome = 'ATTRIBUTED' and band = 'STRONG'")
-        identified = cut(gaps.join(sure.select("gap_id", "level"), "gap_id"))
+        # credits that one strong cause ties to an open batch without a reference of its own
+        nameless = cut(open_b.where("expected_net_paise > 0").join(utr_pairs, "settlement_id", "left_anti").select("settlement_id", "expected_net_paise", "event_date", "hi"))
+        identified = cut(identify(nameless, free_c, items))
         limit = as_of if as_of is not None else F.lit(ledgers.bank.agg(F.max("event_date")).first()[0])
         verdicts = cut(M.net_settlements(open_b, free_c.unionByName(free.where("credit_paise = 0 and debit_paise = 0")), utr_pairs, zero_pairs, identified, limit))
         settled = verdicts.select("settlement_id", F.when(F.col("outcome") == "MATCHED", F.col("bank_row_id")).alias("bank_row_id"), F.col("outcome").alias("reason"), "confidence")
@@ -113,6 +126,10 @@ def reconcile(ledgers: Ledgers, rates: C.Rates | None = None, as_of: Column | No
         both = explain.join(built.select("settlement_id", "expected_net_paise"), "settlement_id").join(ledgers.bank.select("bank_row_id", "credit_paise"), "bank_row_id")
         delta = both.select(F.concat_ws("/", "settlement_id", "bank_row_id").alias("gap_id"), "settlement_id", (F.col("expected_net_paise") - F.col("credit_paise")).alias("delta")).where("delta <> 0")
         attributed = cut(A.attribute(cut(delta), items))
+        claimed = explain.select("bank_row_id")
+        if part_b:
+            loose = credits.join(claimed, "bank_row_id", "left_anti")
+            inferred = memberships(with_likeness(loose), ledgers.payments, cal, rates, F.col("likeness"))
         cause = attributed.where("level = 'L3' and outcome = 'ATTRIBUTED'").select("settlement_id").unionByName(identified.where("level = 'L3'").join(verdicts.where("identified_by = 'attribution'").select("settlement_id", "bank_row_id"), ["settlement_id", "bank_row_id"], "left_semi").select("settlement_id")).distinct()
         t3x = t3.where("gate is null and bank_row_id is null and upstream is not null").join(cause.withColumn("refined", F.lit(True)), "settlement_id", "left")
         code = F.when((F.col("upstream") == "AMOUNT_VARIANCE_UNEXPLAINED") & F.col("refined"), "CHARGEBACK_UNPOSTED").otherwise(F.col("upstream"))
@@ -137,4 +154,4 @@ def reconcile(ledgers: Ledgers, rates: C.Rates | None = None, as_of: Column | No
         decided = decided.unionByName(items5.select("order_id", F.col("code").alias("outcome"), null("payment_id"), null("settlement_id"), null("bank_row_id"), F.lit(5).alias("tier"), F.lit(0.0).alias("confidence"), "reason"))
     matched = tied.select("bank_row_id", F.lit("MATCHED").alias("m"))
     disposed = ledgers.bank.join(matched, "bank_row_id", "left").select("bank_row_id", F.coalesce("m", F.when(F.col("entry_type") == "bank_debit", "IGNORED")).alias("disposition")).where("disposition is not null")
-    return Reconciliation(decided, tied, everything, verdicts, attributed, grouped, members, disposed)
+    return Reconciliation(decided, tied, everything, verdicts, attributed, inferred, grouped, members, disposed, built)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ledgerloom.config import Rates
 from ledgerloom.functions import calendar as cal
 from ledgerloom.functions import money, text
-from ledgerloom.operators import attribution, batches, exceptions, matching, scoring
+from ledgerloom.operators import attribution, batches, exceptions, matching, membership, scoring
 from ledgerloom.plans import views
 from ledgerloom.plans.reconcile import reconcile
 from ledgerloom.sources.checkpoints import shared_root
@@ -487,7 +487,7 @@ def membership_subset(spark, sf_dir):
     l = star_ledgers(spark, sf_dir)
     p = l.payments.where("settlement_id is not null").select("settlement_id", "payment_id", "amount_paise", "fee_paise", "tax_paise")
     s = l.settlements.where("refund_paise = 0 and chargeback_paise = 0").select("settlement_id", F.col("net_paise").alias("credit_paise"))
-    return attribution.infer_membership(p.join(s, "settlement_id").withColumnRenamed("settlement_id", "bank_row_id"), Rates().withholding_bps).select("bank_row_id", "outcome", "n_solutions")
+    return membership.infer_membership(p.join(s, "settlement_id").withColumnRenamed("settlement_id", "bank_row_id"), Rates().withholding_bps).select("bank_row_id", "outcome", "n_solutions")
 
 
 @query()

@@ -16,10 +16,8 @@ from ledgerloom import report_queries as queries
 from ledgerloom.config import Rates
 from ledgerloom.functions import calendar as cal
 from ledgerloom.functions import money, text
-from ledgerloom.operators import attribution, batches, matching
+from ledgerloom.operators import batches, matching, membership
 
-#: Each takes tens of seconds; they have tests of their own below or run with the whole registry.
-SLOW = {"evidence_bands", "net_verdicts"}
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +35,7 @@ def plain(x):
     return str(x) if isinstance(x, date) else x
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.ORACLE_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_its_sql(spark, tiny, duck, name):
     got = queries.QUERIES[name](spark, tiny)
     want = duck.execute(queries.ORACLE_SQL[name])
@@ -108,7 +106,7 @@ def test_membership_equals_brute_force(spark):
         credit = sum(inside) - (sum(inside) * 100 + 5000) // 10000
         rows += [(f"b{c}", credit, p, a, 0, 0) for p, a in pays]
     df = spark.createDataFrame(rows, "bank_row_id string, credit_paise long, payment_id string, amount_paise long, fee_paise long, tax_paise long")
-    for r in attribution.infer_membership(df, Rates().withholding_bps).collect():
+    for r in membership.infer_membership(df, Rates().withholding_bps, refuse=False).collect():
         own = [x for x in rows if x[0] == r["bank_row_id"]]
         n = 0
         for k in range(1, 8):
