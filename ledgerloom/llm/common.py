@@ -44,14 +44,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def salted_rank(df: DataFrame, key: str, order: list[Column], out: str, salt: Column, salts: int = 64) -> DataFrame:
+def salted_rank(df: DataFrame, key: str, order: list[Column], out: str, salt: Column, salts: int | Column = 64) -> DataFrame:
     """``out``: 0-based rank of each row within ``key`` by (salt, ``order``).
 
-    A key with a third of all rows is ranked in ``salts`` tasks: rows are numbered within (key, salt), and the
+    A key with a third of all rows is ranked in ``salts`` tasks (a number, or a column that depends on the key alone): rows are numbered within (key, salt), and the
     counts of the smaller salts, one row for each (key, salt), give the offsets.
     """
     s, n, base = "__ll_salt", "__ll_n", "__ll_base"
-    parts = df.withColumn(s, F.pmod(salt, F.lit(salts)).cast("int"))
+    parts = df.withColumn(s, F.pmod(salt, F.lit(salts) if isinstance(salts, int) else salts).cast("int"))
     counts = parts.groupBy(key, s).agg(F.count("*").alias(n))
     before = W.partitionBy(key).orderBy(s).rowsBetween(W.unboundedPreceding, -1)
     bases = counts.select(key, s, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(base))

@@ -10,7 +10,9 @@ The likelihood is concave in the proportions, so its gradient at the best single
 gain; most documents stop there without an iteration.
 
 Null texts and texts without a letter are ``und`` with score 0, and so is everything if nothing can be learned.
-Null languages and null ids are never learned from. Repeated rows each keep their row.
+Null languages and null ids are never learned from. Repeated rows each keep their row. A very long text is read in
+steps of STEP code points, so its counts take no more memory than those of a short one. Columns of the documents that are
+named lang_pred, score or mixture (with the prefix) are replaced; no other column is read or changed.
 """
 
 from __future__ import annotations

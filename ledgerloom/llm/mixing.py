@@ -8,7 +8,9 @@ documents, is dealt into fewer blocks, level by level, until one block of a sour
 ways to round what is fractional there and twelve documents kept back, it takes the nearest to the word total.
 
 Null texts have size 0. Rows equal in id, source, size and text are one unit, taken together. Sources are ordered
-by code point, null last. An empty table gives no rows; a source without words has target 0.
+by code point, null last. An empty table gives no rows; a source without words has target 0. Of a text only the number
+of its words is kept, however long it is; columns named like the result's belong to the documents and are read only where
+they are named.
 """
 
 from __future__ import annotations

@@ -6,8 +6,10 @@ first, always into the pack that is shortest so far; packs of the same make-up a
 patterns then say, for each length, which run of ranks lands at which offset of which sequences, and pieces are
 joined to them by their rank within the length.
 
-Null texts count as empty: such a document is its end token alone. Repeated rows are packed each. An empty table
-gives no piece.
+Null texts count as empty: such a document is its end token alone. A very long text is encoded whole by one task and
+cut into as many pieces as it needs. Repeated rows, and rows with equal or null ids, are packed each; pieces that are equal
+in id, start and content may change places, which changes no sequence. Only the id and the text are read, so other
+columns may have any names, those of the result included. An empty table gives no piece.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import cut, salted_rank, table
@@ -27,6 +29,8 @@ from ledgerloom.llm.common import cut, salted_rank, table
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\s]|_)+")
 #: Texts within these code points are split here and their words looked up; normalisation leaves such texts as they are but for case.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u024f]*")
+#: Pieces of one length that a task ranks; every length is dealt to 64 tasks at least.
+RANKED = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -141,13 +145,20 @@ def slots(patterns: list[tuple[int, list[tuple[int, int]]]]) -> dict[str, np.nda
     return dict(zip(names, np.array(rows, dtype=np.int64).reshape(-1, 5).T, strict=True))
 
 
+def salts(histogram: dict[int, int], size: int, each: int = RANKED) -> int | Column:
+    """Tasks that rank a length: as many as its pieces need, of ``each``; most of a large corpus is in pieces of the full length."""
+    if max(histogram.values(), default=0) <= 64 * each:
+        return 64
+    return F.element_at(F.array(*[F.lit(max(64, -(-histogram.get(n, 0) // each))) for n in range(1, size + 1)]), F.col("length").cast("int"))
+
+
 def pack(pieces: DataFrame, size: int) -> DataFrame:
     """``pieces`` (length, at most ``size``) with sequence_id and offset."""
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most size rows
     at = slots(plan_packs(histogram, size))
     keys = (at["length"] << 44) + at["first"]
     order = [F.col(c) for c in ("doc_id", "start", "ids_crc32")]
-    ranked = salted_rank(pieces, "length", order, "__ll_rank", F.xxhash64("doc_id", "start"))
+    ranked = salted_rank(pieces, "length", order, "__ll_rank", F.xxhash64("doc_id", "start"), salts(histogram, size))
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:

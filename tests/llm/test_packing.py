@@ -67,3 +67,18 @@ def test_every_id_lies_in_one_piece_of_a_gapless_sequence(spark):
 
 def test_no_rows(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_length_is_ranked_by_as_many_tasks_as_it_needs(spark):
+    assert packing.salts({}, 8) == packing.salts({8: 64}, 8, each=1) == 64
+    per = spark.createDataFrame([(n,) for n in range(1, 9)], "length long").select(packing.salts({8: 1000, 3: 70, 2: 5}, 8, each=2).alias("s"))
+    assert [r["s"] for r in per.collect()] == [64] * 7 + [500]
+
+
+def test_many_tasks_for_the_full_length(spark, monkeypatch):
+    monkeypatch.setattr(packing.salts, "__defaults__", (1,))
+    pieces = spark.createDataFrame([(i, 0, 8, 0, 8) for i in range(300)] + [(1000 + i, 0, 3, 0, 3) for i in range(90)], packing.PIECES)
+    got = packing.pack(pieces, 8).collect()
+    assert sorted(r["sequence_id"] for r in got if r["length"] == 8) == sorted(set(r["sequence_id"] for r in got if r["length"] == 8)) and len(got) == 390
+    short = [(r["sequence_id"], r["offset"]) for r in got if r["length"] == 3]
+    assert len(set(short)) == 90 and {o for _, o in short} <= {0, 3}
