@@ -104,4 +104,5 @@ def has_any(prose: Column, phrases: tuple[str, ...] | list[str]) -> Column:
 
 
 def sentences(prose: Column) -> Column:
-    return F.filter(F.transform(F.split(prose, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    """Split behind full stops, question and exclamation marks and at line feeds; blank ones are left out."""
+    return F.filter(F.split(F.coalesce(prose, F.lit("")), r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")) != "")

@@ -130,8 +130,8 @@ def _amounts_below(gaps: DataFrame, items: DataFrame, upto: Column) -> tuple[Dat
     return rows, own
 
 
-def pair_counts(gaps: DataFrame, items: DataFrame, tolerance: int) -> DataFrame:
-    """(gap_id, n_candidates, ma, mb): how many pairs ``pair_candidates`` finds for each gap with any, and the amounts of one.
+def pair_hits(gaps: DataFrame, items: DataFrame, tolerance: int) -> DataFrame:
+    """(gap_id, target, settlement_id, ma, mb, pairs): the amounts ma <= mb of which ``pairs`` pairs of items fit a gap.
 
     Items are counted by magnitude first, less those of the gap's own settlement; a gap then meets each magnitude up to
     half of it once, and that at most the 2 * tolerance + 1 magnitudes that fit it. No pair of items is made.
@@ -146,11 +146,52 @@ def pair_counts(gaps: DataFrame, items: DataFrame, tolerance: int) -> DataFrame:
     hits = hits.where((F.abs(F.col("target") - F.col("ma") - F.col("mb")) <= tolerance) & (F.col("ma") <= F.col("mb")))
     hits = hits.join(own.withColumnRenamed("m", "mb"), ["gap_id", "mb"], "left").withColumn("nb", F.col("nb") - F.coalesce("o", F.lit(0)))
     pairs = F.when(F.col("ma") == F.col("mb"), F.expr("na * (na - 1) div 2")).otherwise(F.col("na") * F.col("nb"))
-    hits = hits.withColumn("pairs", pairs).where("pairs > 0")
-    found = hits.groupBy("gap_id").agg(F.sum("pairs").cast("long").alias("n_candidates"), F.min(F.struct("ma", "mb")).alias("p"))
+    return hits.withColumn("pairs", pairs).where("pairs > 0").select("gap_id", "target", "settlement_id", "ma", "mb", "pairs")
+
+
+def pair_counts(gaps: DataFrame, items: DataFrame, tolerance: int) -> DataFrame:
+    """(gap_id, n_candidates, ma, mb): how many pairs ``pair_candidates`` finds for each gap with any, and the amounts of one."""
+    found = pair_hits(gaps, items, tolerance).groupBy("gap_id").agg(F.sum("pairs").cast("long").alias("n_candidates"), F.min(F.struct("ma", "mb")).alias("p"))
     return found.select("gap_id", "n_candidates", "p.ma", "p.mb")
 
 
+#: Candidates of a gap that a finding shows (fixed value).
+SHOWN = 6
+
+
+def shown_candidates(gaps: DataFrame, items: DataFrame, tolerance: int = C.NET_TOLERANCE, keep: int = SHOWN) -> DataFrame:
+    """(gap_id, level, candidates): the first ``keep`` candidates of each gap's level, smallest residual first, then by id.
+
+    candidates: item_id (a pair's ids in order, with a plus between), kind, magnitude, residual, declared: the settlement
+    that the item's own record names, a pair's only if both name it. Pairs are taken by their amounts first, so
+    of an amount that thousands of items share only the ``keep`` smallest ids are looked up, one more for pairs of equal amounts.
+    """
+    open_ = gaps.where(F.abs("delta") > tolerance).select("gap_id", "settlement_id", "delta")
+    singles = single_candidates(open_, items, tolerance)
+    level = singles.groupBy("gap_id").agg(F.min("level").alias("level"))
+    told = items.select("item_id", "kind", "magnitude", F.col("item_settlement").alias("declared"))
+    one = singles.join(level, ["gap_id", "level"]).withColumn("nth", F.row_number().over(W.partitionBy("gap_id").orderBy(F.abs("residual"), "item_id"))).where(F.col("nth") <= keep)
+    one = one.join(told, ["item_id", "kind"]).select("gap_id", "level", "item_id", "kind", "magnitude", "residual", "declared")
+    rest = cut(open_.join(level, "gap_id", "left_anti"))
+    residual = F.col("target") - F.col("ma") - F.col("mb")
+    few = pair_hits(rest, items, tolerance).withColumn("nth", F.row_number().over(W.partitionBy("gap_id").orderBy(F.abs(residual), "ma"))).where(F.col("nth") <= keep).drop("nth")
+    few = cut(few)
+    sides = few.select("gap_id", "settlement_id", F.explode(F.array_distinct(F.array("ma", "mb"))).alias("magnitude")).distinct()
+    found = sides.join(items.select("item_id", "magnitude", "item_settlement").distinct(), "magnitude").where(~F.col("settlement_id").eqNullSafe(F.col("item_settlement")))
+    found = found.withColumn("nth", F.row_number().over(W.partitionBy("gap_id", "magnitude").orderBy("item_id"))).where(F.col("nth") <= keep + 1)
+    own = found.groupBy("gap_id", "magnitude").agg(F.array_sort(F.collect_list(F.struct("item_id", "item_settlement"))).alias("ids"))  # keep + 1 at most
+    left, right = (own.withColumnsRenamed({"magnitude": m, "ids": i}) for m, i in (("ma", "a"), ("mb", "b")))
+    met = few.join(left, ["gap_id", "ma"]).join(right, ["gap_id", "mb"]).withColumn("x", F.explode("a")).withColumn("y", F.explode("b"))
+    met = met.where((F.col("ma") < F.col("mb")) | (F.col("x.item_id") < F.col("y.item_id")))
+    lo, hi = F.least("x.item_id", "y.item_id"), F.greatest("x.item_id", "y.item_id")
+    declared = F.when(F.col("x.item_settlement") == F.col("y.item_settlement"), F.col("x.item_settlement"))
+    two = met.select("gap_id", F.lit("L4").alias("level"), F.concat_ws("+", lo, hi).alias("item_id"), F.lit("pair").alias("kind"), (F.col("ma") + F.col("mb")).alias("magnitude"), residual.alias("residual"), declared.alias("declared"))
+    both = one.unionByName(two).withColumn("nth", F.row_number().over(W.partitionBy("gap_id").orderBy(F.abs("residual"), "item_id"))).where(F.col("nth") <= keep)
+    row = F.struct("nth", F.struct("item_id", "kind", "magnitude", "residual", "declared").alias("c"))
+    rows = both.groupBy("gap_id").agg(F.min("level").alias("level"), F.array_sort(F.collect_list(row)).alias("rows"))  # keep rows at most
+    return rows.select("gap_id", "level", F.transform("rows", lambda r: r["c"]).alias("candidates"))
+
+
 def only_pair(gaps: DataFrame, counts: DataFrame, items: DataFrame) -> DataFrame:
     """(gap_id, item_id): the two items of each gap whose pair is the only one, looked up by their amounts."""
     one = counts.where("n_candidates = 1").join(gaps.select("gap_id", "settlement_id"), "gap_id")

@@ -28,15 +28,20 @@ def _within(cells: list[int]) -> Column:
     return F.col("cell").isin(cells) if cells else F.lit(False)
 
 
-def strong_causes(items: DataFrame, floors: Floors, most: float = C.STRONG_MAX) -> DataFrame:
-    """(size): the distinct amounts of single items and sums of pairs that lie in cells where a strong cause is possible."""
+def single_causes(items: DataFrame, floors: Floors, most: float = C.STRONG_MAX) -> DataFrame:
+    """(size): the distinct amounts of single items that lie in cells where a strong cause of their kind is possible."""
     tol = floors.tolerance
-    out = None
-    sizes = lambda df: df.select(F.explode(F.array(*[F.col("size") + d for d in range(-tol, tol + 1)])).alias("near"), "size").withColumn("cell", cell_of(F.col("near")))
+    parts = items.sparkSession.createDataFrame([], "size long")
     for kind in sorted(floors.single):
         own = items.where((F.col("kind") == kind) & (F.col("magnitude") > 0)).select(F.col("magnitude").cast("long").alias("size")).distinct()
-        part = sizes(own).where(_within(floors.open_cells(kind, most))).select("size")
-        out = part if out is None else out.unionByName(part)
+        near = own.withColumn("near", F.explode(F.array(*[F.col("size") + d for d in range(-tol, tol + 1)]))).withColumn("cell", cell_of(F.col("near")))
+        parts = parts.unionByName(near.where(_within(floors.open_cells(kind, most))).select("size"))
+    return parts.distinct()
+
+
+def pair_causes(items: DataFrame, floors: Floors, most: float = C.STRONG_MAX) -> DataFrame:
+    """(size): the distinct sums of two items that lie in cells where a strong pair is possible."""
+    tol = floors.tolerance
     amounts = cut(items.where("magnitude > 0").groupBy(F.col("magnitude").cast("long").alias("m")).agg(F.count("*").alias("n")))
     open_ = floors.open_cells("pair", most)
     lo = lambda c: F.floor(F.pow(F.lit(2.0), F.col(c) / CELLS) * (1 - 1e-9)).cast("long") - tol
@@ -49,8 +54,7 @@ def strong_causes(items: DataFrame, floors: Floors, most: float = C.STRONG_MAX)
     right = amounts.withColumnsRenamed({"m": "other", "n": "n_other"}).join(small, F.col("other") <= F.col("hi")).select("cell", "other", "n_other", F.floor(F.col("other") / F.col("width")).alias("b"))
     total = F.col("m") + F.col("other")
     pairs = left.join(right, ["cell", "b"]).where((F.col("m") <= F.col("other")) & total.between(F.col("lo"), F.col("hi")) & ((F.col("m") < F.col("other")) | (F.col("n") > 1)))
-    pairs = pairs.select(total.alias("size"))
-    return (pairs if out is None else out.unionByName(pairs)).distinct()
+    return pairs.select(total.alias("size")).distinct()
 
 
 def gaps_by_day(batches: DataFrame, credits: DataFrame, floors: Floors, most: float = C.STRONG_MAX) -> DataFrame:
@@ -87,15 +91,20 @@ def identified(batches: DataFrame, credits: DataFrame, items: DataFrame, toleran
     most = C.STRONG_MAX
     floors = chance_floors(items, tolerance)
     causes = None
-    if way is None and not items.where("magnitude <= 0").isEmpty():
-        way = "day"  # causes are looked for among positive amounts only
-    if way != "day":
-        causes = cut(strong_causes(items, floors, most))
-        n = causes.count()
-        if way is None:
-            per_day = batches.select(F.explode(F.sequence("event_date", "hi")).alias("event_date")).groupBy("event_date").agg(F.count("*").alias("b"))
-            met = per_day.join(credits.groupBy("event_date").agg(F.count("*").alias("c")), "event_date").agg(F.sum(F.col("b") * F.col("c"))).first()[0] or 0
-            way = "cause" if n <= MOST_CAUSES and 2 * n * batches.count() < met else "day"
+    if way is None:
+        per_day = batches.select(F.explode(F.sequence("event_date", "hi")).alias("event_date")).groupBy("event_date").agg(F.count("*").alias("b"))
+        met = per_day.join(credits.groupBy("event_date").agg(F.count("*").alias("c")), "event_date").agg(F.sum(F.col("b") * F.col("c"))).first()[0] or 0
+        asked = 2 * batches.count()
+        some = met and items.where("magnitude <= 0").isEmpty()  # causes are looked for among positive amounts only
+        way = "cause" if some and asked * single_causes(items, floors, most).count() < met else "day"
+        least = met
+    else:
+        asked = least = None
+    if way == "cause":
+        causes = cut(single_causes(items, floors, most).unionByName(pair_causes(items, floors, most)).distinct())
+        if least is not None:
+            n = causes.count()
+            way = "cause" if n <= MOST_CAUSES and asked * n < least else "day"
     found = gaps_by_cause(batches, credits, causes, tolerance) if way == "cause" else gaps_by_day(batches, credits, floors, most)
     gaps = cut(found.select(F.concat_ws("/", "settlement_id", "bank_row_id").alias("gap_id"), "settlement_id", "bank_row_id", "delta"))
     if gaps.isEmpty():

@@ -24,7 +24,8 @@ from ledgerloom.sources.ledgers import Ledgers
 @dataclass(frozen=True)
 class Reconciliation:
     """decisions(order_id, outcome, payment_id, settlement_id, bank_row_id, tier, confidence, reason), settlements and their rows,
-    declines of all tiers, verdicts of the batches, attributions, memberships of credits that no payout explains, exception groups
+    declines of all tiers, verdicts of the batches, attributions, credits that a strong cause ties to a payout,
+    memberships of credits that no payout explains, exception groups
     and their orders, what became of bank rows, and the batches as rebuilt."""
 
     decisions: DataFrame
@@ -32,6 +33,7 @@ class Reconciliation:
     declines: DataFrame
     verdicts: DataFrame
     attributions: DataFrame
+    identified: DataFrame
     memberships: DataFrame
     groups: DataFrame
     members: DataFrame
@@ -97,6 +99,7 @@ def reconcile(ledgers: Ledgers, rates: C.Rates | None = None, as_of: Column | No
     verdicts = spark.createDataFrame([], "settlement_id string, expected_net_paise long, outcome string, bank_row_id string, variance_paise long, confidence double, identified_by string")
     gaps_schema = "gap_id string, settlement_id string, delta long, level string, outcome string, item_id string, n_candidates long, expected double, band string, confidence double"
     attributed = spark.createDataFrame([], gaps_schema)
+    named = spark.createDataFrame([], "settlement_id string, bank_row_id string, delta long, level string, item_id string, expected double")
     inferred = spark.createDataFrame([], "bank_row_id string, credit_paise long, outcome string, pool_size long, n_solutions long, solutions array<array<string>>, expected double, band string, confidence double")
     built = spark.createDataFrame([], "settlement_id string, expected_net_paise long")
     if 3 in tiers:
@@ -111,7 +114,7 @@ def reconcile(ledgers: Ledgers, rates: C.Rates | None = None, as_of: Column | No
         zero_pairs = M.zero_payouts(open_b.where("expected_net_paise = 0"), free)
         # credits that one strong cause ties to an open batch without a reference of its own
         nameless = cut(open_b.where("expected_net_paise > 0").join(utr_pairs, "settlement_id", "left_anti").select("settlement_id", "expected_net_paise", "event_date", "hi"))
-        identified = cut(identify(nameless, free_c, items))
+        named = identified = cut(identify(nameless, free_c, items))
         limit = as_of if as_of is not None else F.lit(ledgers.bank.agg(F.max("event_date")).first()[0])
         verdicts = cut(M.net_settlements(open_b, free_c.unionByName(free.where("credit_paise = 0 and debit_paise = 0")), utr_pairs, zero_pairs, identified, limit))
         settled = verdicts.select("settlement_id", F.when(F.col("outcome") == "MATCHED", F.col("bank_row_id")).alias("bank_row_id"), F.col("outcome").alias("reason"), "confidence")
@@ -154,4 +157,4 @@ def reconcile(ledgers: Ledgers, rates: C.Rates | None = None, as_of: Column | No
         decided = decided.unionByName(items5.select("order_id", F.col("code").alias("outcome"), null("payment_id"), null("settlement_id"), null("bank_row_id"), F.lit(5).alias("tier"), F.lit(0.0).alias("confidence"), "reason"))
     matched = tied.select("bank_row_id", F.lit("MATCHED").alias("m"))
     disposed = ledgers.bank.join(matched, "bank_row_id", "left").select("bank_row_id", F.coalesce("m", F.when(F.col("entry_type") == "bank_debit", "IGNORED")).alias("disposition")).where("disposition is not null")
-    return Reconciliation(decided, tied, everything, verdicts, attributed, inferred, grouped, members, disposed, built)
+    return Reconciliation(decided, tied, everything, verdicts, attributed, named, inferred, grouped, members, disposed, built)

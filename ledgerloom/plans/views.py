@@ -31,30 +31,17 @@ def links_by_narration(l: Ledgers) -> DataFrame:
     return l.settlements.where("utr is not null").select("settlement_id", "utr").join(parts, "utr").select("settlement_id", "bank_row_id")
 
 
-def rows_of_payout(l: Ledgers, settlement_id: str) -> DataFrame:
-    """(source, entry_id, amount_paise) of everything in one payout."""
-    p = l.payments.where(F.col("settlement_id") == settlement_id)
-    parts = [
-        l.orders.join(p.select("order_id"), "order_id", "left_semi").select(F.lit("orders").alias("source"), F.col("order_id").alias("entry_id"), "amount_paise"),
-        p.select(F.lit("payments").alias("source"), F.col("payment_id").alias("entry_id"), "amount_paise"),
-    ]
-    for name, df in (("refunds", l.refunds), ("chargebacks", l.chargebacks)):
-        parts.append(df.where(F.col("settlement_id") == settlement_id).select(F.lit(name).alias("source"), F.col("item_id").alias("entry_id"), "amount_paise"))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
+def payout_rows(l: Ledgers) -> DataFrame:
+    """(settlement_id, source, entry_id, amount_paise) of everything inside each payout: its payments, their orders once, its reversals."""
+    p = l.payments.where("settlement_id is not null")
+    own = p.select("settlement_id", "order_id").distinct().join(l.orders.select("order_id", "amount_paise"), "order_id")
+    out = own.select("settlement_id", F.lit("orders").alias("source"), F.col("order_id").alias("entry_id"), "amount_paise")
+    parts = [(p, "payments", "payment_id"), (l.refunds, "refunds", "item_id"), (l.chargebacks, "chargebacks", "item_id")]
+    for df, source, key in parts:
+        out = out.unionByName(df.where("settlement_id is not null").select("settlement_id", F.lit(source).alias("source"), F.col(key).alias("entry_id"), "amount_paise"))
     return out
 
 
-def trace(declines: DataFrame, entity_id: str) -> DataFrame:
-    """Why an entity was declined, tier by tier."""
-    return declines.where(F.col("entity_id") == entity_id).orderBy("tier").select("tier", "kind", "reason", "caused_by")
-
-
-def search(df: DataFrame, column: str, text: str, limit: int = 15) -> DataFrame:
-    return df.where(F.contains(F.lower(column), F.lit(text.lower()))).orderBy(column).limit(limit)
-
-
 def run_summary(decisions: DataFrame) -> DataFrame:
     """One row: orders, matched, exceptions and the share matched."""
     return decisions.agg(F.count("*").alias("orders"), F.count_if(F.col("outcome") == "MATCHED").alias("matched"), F.count_if(F.col("outcome") != "MATCHED").alias("exceptions"), F.try_divide(F.count_if(F.col("outcome") == "MATCHED"), F.count("*")).alias("coverage"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import config as C
 from ledgerloom.functions import calendar as cal
-from ledgerloom.functions import money, text
+from ledgerloom.functions import grounding, money, text
 from ledgerloom.operators import attribution, matching, scoring
 from ledgerloom.operators.batches import net_contribution
 from ledgerloom.plans import queue
@@ -233,13 +233,18 @@ def credit_totals(spark, sf_dir):
 
 
 def _any(words: tuple[str, ...]) -> str:
-    return "(" + " OR ".join(f"contains(t, '{w}')" for w in words) + ")"
+    return "(" + " OR ".join("contains(t, '" + w.replace("'", "''") + "')" for w in words) + ")"
 
 
-@query(rf"""WITH d AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL)
-  SELECT doc_id, {_any(text.DISTRIBUTION)} AND {_any(text.PERIOD)} AS timing, {_any(text.ACCURACY)} AS accuracy, {_any(text.FORWARD)} OR regexp_matches(t, '{text.ARRIVAL}') AS future FROM d""", star=False)
+@query(rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents WHERE text IS NOT NULL),
+  s AS (SELECT r, lower(unnest(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)))) AS t FROM d),
+  k AS (SELECT r, CASE WHEN {_any(grounding.DECLINES)} THEN NULL WHEN {_any(text.DISTRIBUTION)} AND {_any(text.PERIOD)} THEN 'timing' WHEN {_any(text.ACCURACY)} THEN 'accuracy' WHEN {_any(text.FORWARD)} OR regexp_matches(t, '{text.ARRIVAL}') THEN 'future' END AS kind FROM s),
+  g AS (SELECT r, bool_or(kind = 'timing') AS timing, bool_or(kind = 'accuracy') AS accuracy, bool_or(kind = 'future') AS future FROM k GROUP BY r)
+  SELECT doc_id, coalesce(timing, false) AS timing, coalesce(accuracy, false) AS accuracy, coalesce(future, false) AS future FROM d LEFT JOIN g USING (r)""", star=False)
 def claim_types(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", *[c.alias(k) for k, c in text.claims(F.col("text")).items()])
+    """Kinds of claims that documents make, sentence by sentence."""
+    kinds = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", grounding.claim_kinds(F.col("text")).alias("kinds"))
+    return kinds.select("doc_id", *[F.array_contains("kinds", k).alias(k) for k in grounding.NEEDS])
 
 
 @query("SELECT 'ord_1' AS entry_id, 'orders' AS source, count(*)::BIGINT AS n, sum(amount_paise)::BIGINT AS paise FROM orders_ WHERE order_id = 'ord_1' HAVING count(*) > 0 UNION ALL SELECT 'pay_1_1', 'payments', count(*), sum(amount_paise) FROM payments_ WHERE payment_id = 'pay_1_1' HAVING count(*) > 0")

@@ -12,7 +12,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom import report_queries as queries
+from ledgerloom import finding_queries as queries
 from ledgerloom.config import Rates
 from ledgerloom.functions import calendar as cal
 from ledgerloom.functions import money, text
