@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import random
 import re
+import time
 
 import pytest
 
@@ -108,3 +110,74 @@ def test_a_denied_licence_is_none():
     assert said("This is licensed under the GNU General Public License version 2.") == ["GPL-2.0-only"]
     for no in ("not", "never", "no longer", "not yet"):
         assert said(f"This is {no} licensed under the GNU General Public License version 2.") == []
+
+
+@pytest.mark.parametrize(("text", "names"), [
+    ("This work is not\nlicensed under the MIT license.", []), ("it isn't licensed under the\nGNU General Public License version 2.", []), ("Not for sale. Licensed under the MIT license.", ["MIT"]),
+    ("licensed under the MIT License - see the LICENSE file for details", ["MIT"]), ("Licensed under the Apache License 2.0.", ["Apache-2.0"]), ("Licensed under GPL v3", ["GPL-3.0-only"]), ("License: GPLv2", ["GPL-2.0-only"]),
+    ("https://creativecommons.org/licenses/by-nc/4.0/", ["CC-BY-NC-4.0"]), ("SPDX-License-Identifier: MIT OR Apache-2.0", ["Apache-2.0", "MIT"]), ("distributed under the terms of the\n# BSD 3-Clause License", ["BSD-3-Clause"]),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy", ["MPL-2.0"]), ("published under the EPL 2.0", ["EPL-2.0"]), ("available under MIT umbrella terms", []), ("released under the moon", []),
+    ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that", ["ISC"]),
+    ("This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published", ["LGPL"]),
+    ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published", ["AGPL-any"]),
+])
+def test_releases_and_notices(text, names):
+    assert scan(text)[0] == names
+
+
+def test_a_hundred_names_are_known():
+    ids = {id_ for rows in licenses.names_of().values() for _, id_ in rows}
+    assert len(ids) >= 100
+    for line in licenses.NAMES.strip().splitlines():
+        id_, names = line.split(":", 1)
+        for name in names.split("|"):
+            assert scan(f"This is released under the {name.strip()} license.")[0] == [id_], name
+
+
+@pytest.mark.parametrize("text", ["the software license:\n" * 45000, "in no event shall the software is provided " * 25000, "licensed under the the the " * 40000, "1. " * 300000, "spdx-license-identifier: " + "a or " * 100000])
+def test_long_texts_take_linear_time(text):
+    t = time.time()
+    scan(text)
+    whole = time.time() - t
+    assert whole < 20  # quadratic work would take minutes
+
+
+def test_distant_parts_of_a_sentence_are_found():
+    far = "In no event shall " + "the author or any other of the many holders " * 3000 + "be liable for any damage."
+    assert scan(f"{MIT.split('IN NO EVENT')[0]}{far}")[1][0]["end"] == len(MIT.split("IN NO EVENT")[0] + far)
+    assert scan("In no event shall it rain. Nobody shall be liable for any damage.")[2] == []
+
+
+def brute_sentences(text):
+    """Every known sentence at every word, by a regular expression over the words behind it; the leftmost and longest first."""
+    words = [(m.group().lower(), m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9]+(?:\.[A-Za-z0-9]+)*", text)]
+    stops = [m.end() for m in re.finditer(r"[.!?]+(?=\s|$)", text)] + [len(text)]
+    out, k = [], 0
+    while k < len(words):
+        stop = min(s for s in stops if s >= words[k][2])
+        line = " ".join(w for w, _, e in words[k:] if e <= stop) + " "
+        hits = []
+        for name, head, tail, _ in KNOWN:
+            m = re.match(" ".join(head) + " " + (".*? ??" + " ".join(tail) + " " if tail else ""), line)
+            if m:
+                hits.append((len(head), name, len(m.group().split())))
+        if hits:
+            _, name, n = max(hits)
+            out.append(name)
+            open_ = next(o for i, h, _, o in KNOWN if i == name)
+            end = stop if open_ else words[k + n - 1][2]
+            k = next((j for j, w in enumerate(words) if w[1] >= end), len(words))
+        else:
+            k += 1
+    return out
+
+
+def test_sentences_against_regular_expressions():
+    rng = random.Random(12)
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randrange(1, 7)):
+            _, head, tail, _ = rng.choice(KNOWN)
+            parts.append(" ".join([*head[: rng.choice([len(head), len(head), 3])], *rng.choices(["you", "the", "rain", "software"], k=rng.randrange(4)), *tail]) + rng.choice([".", " ", "!", "\n# "]))
+        text = " ".join(parts)
+        assert [x for x in scan(text)[2] if x != "copyright" and not x.startswith("release:")] == brute_sentences(text), text
