@@ -15,6 +15,8 @@ may have any name.
 from __future__ import annotations
 
 import gzip
+import html
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,11 +29,8 @@ DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
 #: The status line, and the headers before the length, of a page that comes without.
 STATUS, CONTENT_TYPE = "200 OK", "text/html; charset=utf-8"
-#: Character references beyond the last code point, which is 1114111; they stand for the replacement character.
-BEYOND = (
-    r"&#0*(?:[1-9]\d{7,}|[2-9]\d{6}|1[2-9]\d{5}|11[2-9]\d{4}|111[5-9]\d{3}|1114[2-9]\d{2}|11141[2-9]\d|111411[2-9]);"
-    r"|&#[xX]0*(?:[1-9a-fA-F][0-9a-fA-F]{6,}|[2-9a-fA-F][0-9a-fA-F]{5}|1[1-9a-fA-F][0-9a-fA-F]{4});"
-)
+#: A numeric character reference.
+NUMERIC = re.compile(r"&#([0-9]+|[xX][0-9a-fA-F]+);?")
 #: Entities that the SQL decodes, all that the given pages hold; the ampersand comes last, so that nothing is decoded twice.
 SQL_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
@@ -48,16 +47,29 @@ def urn(kind: str, *parts: Column) -> Column:
 
 
 def entities(c: Column) -> Column:
-    """Named, decimal and hexadecimal character references decoded once, by a class that ships with Spark."""
-    c = F.replace(F.regexp_replace(c, BEYOND, "\ufffd"), F.lit("&apos;"), F.lit("'"))
-    return F.reflect(F.lit("org.apache.commons.text.StringEscapeUtils"), F.lit("unescapeHtml4"), c)
+    """Character references decoded once by the HTML 5 table: named ones with or without their semicolon, numeric ones, those of
+    Windows' control range as what they are meant for. Texts without an ampersand stay on the JVM."""
 
+    def numeric(m: re.Match) -> str:
+        """A reference to a code point that the decoder would drop, such as a noncharacter, as that code point; others as they are."""
+        return m[0] if html.unescape(m[0]) else chr(int(m[1][1:], 16) if m[1][0] in "xX" else int(m[1]))
 
-def plain_text(html: Column) -> Column:
-    """Scripts, styles, comments and tags go, block ends become line feeds, entities are decoded, space is folded."""
-    t = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", " ")
+    @F.pandas_udf("string")
+    def decoded(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else html.unescape(NUMERIC.sub(numeric, t)) for t in texts], dtype=object)
+
+    return F.coalesce(decoded(F.when(F.contains(c, F.lit("&")), c)), c)
+
+
+def plain_text(source: Column) -> Column:
+    """Scripts, styles, comments and tags go, block ends become line feeds, entities are decoded, space is folded.
+
+    A tag has a letter or one of /!? behind its bracket; any other bracket is text. A script, style or comment that isn't
+    closed goes on to the end.
+    """
+    t = F.regexp_replace(source, r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)", " ")
     t = F.regexp_replace(t, r"(?i)</(p|div|h[1-6]|li|ul|tr|article|footer|nav|title)>|<br */?>|<p>", "\n")
-    t = F.regexp_replace(t, r"(?s)<[^>]*>", " ")
+    t = F.regexp_replace(t, r"(?s)<[a-zA-Z/!?][^>]*>", " ")
     t = entities(t)
     t = F.regexp_replace(t, r"[ \t\r\u00a0]+", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(t, r" ?\n[ \n]*", "\n"), r"^\n+|\n+$", ""))

@@ -6,6 +6,8 @@ import html
 import zlib
 from pathlib import Path
 
+import pytest
+
 from ledgerloom.llm import warc
 
 HTML = """<html lang="fr"><head><title> A
@@ -115,3 +117,12 @@ def test_a_very_long_page(spark):
     page = "<p>" + "word <b>x</b> " * 200_000 + "</p><script>" + "y" * 500_000 + "</script>end"
     r = records(spark, [(1, "u", page, "", "")]).where("record_type = 'conversion'").first()
     assert r["block"] == ("word x " * 200_000).strip() + "\nend"
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<p>a < b and c > d</p>", "a < b and c > d"), ("<p>x</p><script>var a = 1; // no end", "x"), ("a<style>p {}", "a"), ("a<!-- b", "a"), ("a<SCRIPT src=x>b</SCRIPT >c", "a c"), ("1 <2 and <b>bold</b>", "1 <2 and bold"),
+    ("<scripting>kept</scripting>", "kept"), ("&check; &lbrace; &amp &eacute &#151; &nbsp;&notit; &#x1F600;", "✓ { & é — ¬it; 😀"), ("&amp;lt;p&amp;gt;", "&lt;p&gt;"), ("", ""), ("no ampersand", "no ampersand"),
+])
+def test_plain_text_of_odd_html(spark, page, text):
+    df = spark.createDataFrame([(page,)], "t string")
+    assert df.select(warc.plain_text(df["t"])).first()[0] == text
