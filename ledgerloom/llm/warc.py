@@ -48,7 +48,7 @@ def urn(kind: str, *parts: Column) -> Column:
 
 def entities(c: Column) -> Column:
     """Character references decoded once by the HTML 5 table: named ones with or without their semicolon, numeric ones, those of
-    Windows' control range as what they are meant for. Texts without an ampersand stay on the JVM."""
+    Windows' control range as what they are meant for. ``c`` is named once, so that what makes it is done once."""
 
     def numeric(m: re.Match) -> str:
         """A reference to a code point that the decoder would drop, such as a noncharacter, as that code point; others as they are."""
@@ -56,9 +56,9 @@ def entities(c: Column) -> Column:
 
     @F.pandas_udf("string")
     def decoded(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else html.unescape(NUMERIC.sub(numeric, t)) for t in texts], dtype=object)
+        return pd.Series([html.unescape(NUMERIC.sub(numeric, t)) if t and "&" in t else t for t in texts], dtype=object)
 
-    return F.coalesce(decoded(F.when(F.contains(c, F.lit("&")), c)), c)
+    return decoded(c)
 
 
 def plain_text(source: Column) -> Column:
