@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ledgerloom import config as C
@@ -9,10 +11,12 @@ from ledgerloom.config import Rates
 from ledgerloom.operators import attribution, exceptions, matching, membership
 from ledgerloom.operators.identify import identified
 from ledgerloom.functions import grounding, money
-from ledgerloom.plans import chain, findings, trace, views
+from ledgerloom.plans import chain, findings, trace, validate, views
 from ledgerloom.queries import DECIDED_SQL, EXACT_SQL, GATES_SQL, WIDE, built, credits_of, days, due, net_verdicts, query, star_decided, star_typed
 from ledgerloom.queue_queries import LEVELS_SQL, star_levels
 from ledgerloom.report_queries import ORACLE_SQL, QUERIES
+from ledgerloom.sources import results
+from ledgerloom.sources.checkpoints import cut, shared_root
 from ledgerloom.sources.star import star_ledgers, table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -190,3 +194,60 @@ def payout_rows(spark, sf_dir):
 @query(f"{DECIDED_SQL} SELECT count(*)::BIGINT AS orders, count(*) FILTER (outcome = 'MATCHED')::BIGINT AS matched, count(*) FILTER (outcome <> 'MATCHED')::BIGINT AS exceptions, count(*) FILTER (outcome = 'MATCHED') / count(*) AS coverage FROM said_")
 def run_summary(spark, sf_dir):
     return views.run_summary(star_decided(spark, sf_dir)[0])
+
+
+#: Rules about days and order, and what breaks them.
+SEQUENCE_SQL = [
+    ("cycles", "settles_when_due", "settlements_ s LEFT JOIN cal_ k ON k.day = s.capture_date LEFT JOIN biz_ b ON b.seq = k.start + 2 WHERE s.event_date IS DISTINCT FROM b.day"),
+    ("cycles", "settles_on_a_business_day", "settlements_ WHERE event_date NOT IN (SELECT day FROM biz_)"),
+    ("cycles", "carry_goes_on", "(SELECT 0 AS i, lag(carry_out) OVER (ORDER BY capture_date, ord, settlement_id) AS o FROM settlements_) WHERE i <> o"),
+    ("cycles", "first_carries_nothing_in", "settlements_ WHERE false"),
+    ("payments", "method_has_a_rate", "payments_ WHERE method NOT IN ('card', 'netbanking', 'wallet', 'upi')"),
+    ("payments", "free_method_is_free", "payments_ WHERE method = 'upi' AND fee_paise <> 0"),
+    ("payments", "in_its_days_cycle", "payments_ p JOIN settlements_ s USING (settlement_id) WHERE CASE WHEN hour(p.ts) >= 23 THEN p.ts::DATE + 1 ELSE p.ts::DATE END <> s.capture_date"),
+    ("dates", "refunds_in_the_next_cycle", "refunds_ r JOIN settlements_ s USING (settlement_id) WHERE s.event_date IS DISTINCT FROM (SELECT min(event_date) FROM settlements_ x WHERE x.event_date >= r.event_date)"),
+    ("dates", "chargebacks_in_the_next_cycle", "chargebacks_ r JOIN settlements_ s USING (settlement_id) WHERE s.event_date IS DISTINCT FROM (SELECT min(event_date) FROM settlements_ x WHERE x.event_date >= r.event_date)"),
+    ("bank", "in_order_of_days", "(SELECT event_date, lag(event_date) OVER (ORDER BY n) AS b FROM (SELECT event_date, CASE WHEN starts_with(bank_row_id, 'bank_e') THEN substr(bank_row_id, 7)::BIGINT + 1000000000000000 ELSE regexp_extract(bank_row_id, '\\d+')::BIGINT END AS n FROM bank_)) WHERE event_date < b"),
+]
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS section, '{b}' AS \"check\", count(*) = 0 AS passed, count(*)::BIGINT AS failures FROM {q}" for a, b, q in SEQUENCE_SQL))
+def sequence_checks(spark, sf_dir):
+    """Rules about days and order over the star ledgers, which keep some of them and break others."""
+    l = star_ledgers(spark, sf_dir)
+    return validate.sequence_checks(l, days(spark), Rates(holidays=()))
+
+
+DECIDED_QUEUE_SQL = f"{QUEUE_SQL} SELECT count(*)::BIGINT AS findings, count(*) FILTER (rupees_paise % 3 = 0)::BIGINT AS decided, count(*) FILTER (rupees_paise % 3 <> 0)::BIGINT AS open, coalesce(sum(rupees_paise) FILTER (rupees_paise % 3 <> 0), 0)::BIGINT AS open_paise FROM queue_"
+
+
+@query(DECIDED_QUEUE_SQL)
+def decided_queue(spark, sf_dir):
+    """What is left of the queue after two batches of decisions, the second of them written twice."""
+    q = cut(star_queue(spark, sf_dir).select("group_id", "rupees_paise"))
+    log = f"{shared_root(spark)}/decisions-{uuid.uuid4().hex}"
+    r = F.col("rupees_paise") % 3
+    said = q.where(r < 2).select("group_id", F.when(r == 1, "escalate").when(F.col("rupees_paise") % 2 == 0, "approve").otherwise("reject").alias("action"), F.lit(None).cast("string").alias("note"), F.lit("2026-08-01").alias("at"))
+    first = said.withColumn("action", F.lit("escalate"))
+    results.append_decisions(log, first, q, "first")
+    for _ in range(2):
+        results.append_decisions(log, said.withColumn("at", F.lit("2026-08-02")), q, "second")
+    return results.remaining(q, results.decision_log(spark, log))
+
+
+@query(f"""{DECIDED_SQL}, p_ AS (SELECT order_id, count(*) AS n, min(payment_id) AS p FROM payments_ GROUP BY 1)
+  SELECT s.outcome, t.expected, count(*)::BIGINT AS n, count(*) FILTER (s.outcome = 'MATCHED' AND ord % 4 = 0)::BIGINT AS wrong_payments FROM said_ s JOIN truth_ t USING (order_id) JOIN orders_ USING (order_id) GROUP BY ALL""")
+def document_scores(spark, sf_dir):
+    """Decisions written as a result document and read again, against a truth that names another payment for every fourth order."""
+    said, truth = star_decided(spark, sf_dir)
+    l = star_ledgers(spark, sf_dir)
+    paid = l.payments.groupBy("order_id").agg(F.min("payment_id").alias("payment_id"))
+    d = said.join(paid, "order_id", "left").withColumn("payment_id", F.when(F.col("outcome") == "MATCHED", F.col("payment_id"))).select("order_id", "outcome", "payment_id", *[F.lit(None).cast("string").alias(c) for c in ("settlement_id", "bank_row_id")])
+    folder = f"{shared_root(spark)}/documents-{uuid.uuid4().hex}"
+    results.write_result(d, f"{folder}/result")
+    other = F.when(F.col("ord") % 4 == 0, F.lit("none")).otherwise(F.col("payment_id"))
+    t = truth.join(paid, "order_id", "left").join(l.orders.select("order_id", "ord"), "order_id").select("order_id", F.col("expected").alias("expected_outcome"), F.array(other).alias("payment_ids"))
+    t.write.json(f"{folder}/truth")
+    told, _, _ = results.read_result(spark, f"{folder}/result", lines=True)
+    known, _ = results.read_truth(spark, f"{folder}/truth", lines=True)
+    return results.linked(told, known).groupBy("outcome", "expected").agg(F.count("*").alias("n"), F.count_if(F.array_contains("errors", "wrong_payments")).alias("wrong_payments"))

@@ -48,13 +48,20 @@ def partial_ratio(a: str, b: str) -> float:
 
 
 def narration_similarity(narration: Column, utr: Column, templates: tuple[str, ...] = TEMPLATES) -> Column:
-    """How much a narration looks like a payout's, each template cut to the narration's length."""
+    """How much a narration looks like a payout's, each template cut to the narration's length.
+
+    A narration that is a template's beginning is 100 without Python; every other is compared at all alignments.
+    """
+    whole = F.lit(False)
+    for p in templates:
+        whole = whole | F.startswith(F.replace(F.lit(p), F.lit("{utr}"), F.coalesce(utr, F.lit(""))), narration)
+    whole = F.coalesce(whole, F.lit(False)) & (F.length(narration) > 0)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series, utrs: pd.Series) -> pd.Series:
         return pd.Series([max(partial_ratio(t, p.format(utr=u or "")[: len(t)]) for p in templates) if t else 0.0 for t, u in zip(texts, utrs, strict=True)], dtype="float64")
 
-    return score(narration, utr)
+    return F.when(whole, 100.0).otherwise(score(F.when(~whole, narration), utr))
 
 
 #: Amounts and ids in a prose (fixed values): with a currency's sign in any shape, without one only with two decimals.

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom import config as C
+from ledgerloom.operators.ranking import numbered
 
 #: What would have to hold for a declined entity to match, by its last reason; {amount} is its own.
 NEEDS = {
@@ -23,6 +24,12 @@ NEEDS = {
     "BANK_ROW_ALREADY_CLAIMED": "a credit of its own",
     "BANK_ROW_CONTESTED": "no other payout to claim the same credit",
     "NO_TOLERANT_CANDIDATE": "a credit near {amount} in the window",
+    "NARRATION_HAS_NO_UTR": "a reference in its narration",
+    "UTR_NOT_IN_SETTLEMENT_REPORT": "a reported payout with its reference",
+    "MISSING_IN_BANK": "a credit of {amount} in the statement",
+    "AMOUNT_VARIANCE_UNEXPLAINED": "an item that accounts for the difference",
+    "TIMING_PENDING": "its credit to come before the window closes",
+    "SETTLEMENT_NOT_MATCHED_TO_BANK": "the payout it names to be matched",
 }
 UNSTATED = "nothing that has been written down"
 
@@ -40,11 +47,11 @@ def day_text(day: Column) -> Column:
 def queue_items(items: DataFrame) -> DataFrame:
     """(place, group_key, code, headline, orders, exposure_paise, since) of typed exceptions (with event_date), dearest first.
 
-    Places are given by one window over the groups, which are as many as codes and declined payouts.
+    Places come from a sort by range, as a group may be a declined payout, of which there are many.
     """
     own = items.groupBy("group_key").agg(F.min("code").alias("code"), F.count("*").alias("orders"), F.sum("amount_paise").alias("exposure_paise"), F.min("event_date").alias("since"))
-    place = F.row_number().over(W.orderBy(F.desc("exposure_paise"), "group_key"))
-    return own.select(place.alias("place"), "group_key", "code", headline(F.col("code")).alias("headline"), "orders", "exposure_paise", day_text(F.col("since")).alias("since"))
+    placed, _ = numbered(own, [F.desc("exposure_paise"), F.asc("group_key")], "place")
+    return placed.select(F.col("place").cast("int").alias("place"), "group_key", "code", headline(F.col("code")).alias("headline"), "orders", "exposure_paise", day_text(F.col("since")).alias("since"))
 
 
 def counterfactual(declined: DataFrame, amount: Column) -> DataFrame:

@@ -21,6 +21,15 @@ from ledgerloom.sources.checkpoints import cut
 from ledgerloom.sources.ledgers import Ledgers
 
 
+#: The columns that some tier reads; no other is written to files.
+READ = {
+    "orders": ("order_id", "event_date", "amount_paise", "ord"), "payments": ("payment_id", "order_id", "settlement_id", "ts", "event_date", "method", "amount_paise", "fee_paise", "tax_paise", "ord"),
+    "refunds": ("item_id", "payment_id", "settlement_id", "event_date", "amount_paise"), "chargebacks": ("item_id", "payment_id", "settlement_id", "event_date", "amount_paise"),
+    "settlements": ("settlement_id", "event_date", "utr", "net_paise", "gross_paise", "fee_paise", "tax_paise", "refund_paise", "chargeback_paise", "withholding_paise", "carry_forward_in_paise", "carry_forward_out_paise", "ord"),
+    "bank": ("bank_row_id", "event_date", "narration", "utr", "credit_paise", "debit_paise", "entry_type", "ord"),
+}
+
+
 @dataclass(frozen=True)
 class Reconciliation:
     """decisions(order_id, outcome, payment_id, settlement_id, bank_row_id, tier, confidence, reason), settlements and their rows,
@@ -53,7 +62,7 @@ def reconcile(ledgers: Ledgers, rates: C.Rates | None = None, as_of: Column | No
     """Every tier's narrow result is cut to files: several later ones read it, and none repeats what made it."""
     rates = rates or C.Rates()
     spark = ledgers.orders.sparkSession
-    ledgers = Ledgers(*[cut(getattr(ledgers, f.name)) for f in fields(Ledgers)])
+    ledgers = Ledgers(*[cut(getattr(ledgers, f.name).select(*[c for c in READ[f.name] if c in getattr(ledgers, f.name).columns])) for f in fields(Ledgers)])
     span = ledgers.settlements.agg(F.min("event_date").alias("a"), F.max("event_date").alias("b")).unionByName(ledgers.bank.agg(F.min("event_date").alias("a"), F.max("event_date").alias("b"))).agg(F.min("a"), F.max("b")).first()
     first, last = span[0], span[1]
     if first is None:

@@ -16,7 +16,6 @@ from ledgerloom.operators import attribution, batches, exceptions, matching, mem
 from ledgerloom.plans import views
 from ledgerloom.plans.reconcile import reconcile
 from ledgerloom.sources.checkpoints import shared_root
-from ledgerloom.sources.generator import generate
 from ledgerloom.sources.star import STAR_SQL, star_ledgers, table
 from ledgerloom.streaming.exact import as_stream, drain, exact_stream
 
@@ -54,7 +53,7 @@ def credits_of(l) -> DataFrame:
 
 def shape(narration: Column, utr: Column) -> Column:
     """Likeness for narrations that are a payout's, clipped: whole or nothing, without Python."""
-    whole = F.concat(F.lit("NEFT CR-RATN0000088-RAZORPAY SOFTWARE PVT LTD-"), utr)
+    whole = F.concat(F.lit(text.TEMPLATES[2].removesuffix("{utr}")), utr)
     return F.when(F.startswith(whole, narration) & (F.length(narration) > 0), 100.0).otherwise(0.0)
 
 
@@ -505,13 +504,6 @@ def stream_exact_pairs(spark, sf_dir):
     return drain(exact_stream(s, c, days(spark)), folder).where("bank_row_id is not null").select("settlement_id", "bank_row_id")
 
 
-@query()
-def generated_outcomes(spark, sf_dir):
-    """Expected outcomes of synthetic ledgers of as many orders as the table has."""
-    made = generate(spark, table(spark, sf_dir, "orders").count())
-    return made.truth.groupBy("expected").agg(F.count("*").alias("orders"))
-
-
 @query(f"""{GATES_SQL} {EXACT_SQL}, d_ AS (SELECT 'orders' AS kind, gate AS reason, NULL AS caused_by FROM gates_ WHERE gate IS NOT NULL
   UNION ALL SELECT 'orders', e.reason, g.settlement_id FROM gates_ g JOIN exact_ e USING (settlement_id) WHERE g.gate IS NULL AND e.reason IS NOT NULL
   UNION ALL SELECT 'settlements', reason, NULL FROM exact_ WHERE reason IS NOT NULL)

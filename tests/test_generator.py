@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.config import Rates
 from ledgerloom.operators import batches
 from ledgerloom.plans.reconcile import reconcile
-from ledgerloom.sources.generator import DEFECTS, generate, to_text
+from tests.generator import DEFECTS, generate, to_text
 from ledgerloom.sources.ledgers import FILES, Ledgers, normalise
 
 

@@ -12,7 +12,7 @@ from ledgerloom.config import Rates
 from ledgerloom.functions import text
 from ledgerloom.operators import batches, scoring
 from ledgerloom.plans import queue, views
-from ledgerloom.sources.generator import generate, to_text
+from tests.generator import generate, to_text
 from ledgerloom.sources.ledgers import FILES, load, read_text_csv, write_csv
 
 

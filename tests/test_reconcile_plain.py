@@ -13,7 +13,7 @@ from ledgerloom.plans import chain, trace
 from ledgerloom.plans import findings as findings_plan
 from ledgerloom.plans.findings import findings
 from ledgerloom.plans.reconcile import Reconciliation, reconcile
-from ledgerloom.sources.generator import generate
+from tests.generator import generate
 from ledgerloom.sources.ledgers import Ledgers
 from ledgerloom.sources.star import star_ledgers
 from tests import plain_reconcile as plain
