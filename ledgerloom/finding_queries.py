@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from ledgerloom import config as C
 from ledgerloom.config import Rates
-from ledgerloom.operators import attribution, exceptions, matching, membership
+from ledgerloom.operators import attribution, exceptions, matching, membership, scoring, search
 from ledgerloom.operators.identify import identified
 from ledgerloom.functions import grounding, money
 from ledgerloom.plans import chain, findings, trace, validate, views
-from ledgerloom.queries import DECIDED_SQL, EXACT_SQL, GATES_SQL, WIDE, built, credits_of, days, due, net_verdicts, query, star_decided, star_typed
+from ledgerloom.queries import DECIDED_SQL, EXACT_SQL, GATES_SQL, WIDE, built, credits_of, days, due, net_verdicts, query, star_decided, star_gaps, star_typed
 from ledgerloom.queue_queries import LEVELS_SQL, star_levels
 from ledgerloom.report_queries import ORACLE_SQL, QUERIES
 from ledgerloom.sources import results
@@ -251,3 +251,28 @@ def document_scores(spark, sf_dir):
     told, _, _ = results.read_result(spark, f"{folder}/result", lines=True)
     known, _ = results.read_truth(spark, f"{folder}/truth", lines=True)
     return results.linked(told, known).groupBy("outcome", "expected").agg(F.count("*").alias("n"), F.count_if(F.array_contains("errors", "wrong_payments")).alias("wrong_payments"))
+
+
+ASKED = ("razorpay", "UTRX00000", "neft-view", "/PAYOUT", "zz", "L-UTR")
+
+
+@query(f"SELECT w AS wanted, count(*)::BIGINT AS found, min(bank_row_id) AS first_id, max(bank_row_id) AS last_id FROM bank_, (SELECT unnest({list(ASKED)}) AS w) WHERE contains(lower(narration), lower(w)) GROUP BY 1")
+def narration_search(spark, sf_dir):
+    """Bank rows by parts of their narrations, through postings."""
+    b = star_ledgers(spark, sf_dir).bank.select("bank_row_id", "narration")
+    wanted = spark.createDataFrame([(w,) for w in ASKED], "wanted string")
+    found = search.search(b, search.postings(b, "bank_row_id", "narration"), "bank_row_id", "narration", wanted)
+    return found.groupBy("wanted").agg(F.count("*").alias("found"), F.min("bank_row_id").alias("first_id"), F.max("bank_row_id").alias("last_id"))
+
+
+@query(f"""{LEVELS_SQL}, c_ AS (SELECT gap_id, CASE level WHEN 'L1' THEN 'CIRCUMSTANTIAL' ELSE 'STRONG' END AS band, item_id, (SELECT min(f.item_id) FROM fit_ f WHERE f.gap_id = first_.gap_id AND f.level <> 'L2') AS item FROM first_)
+  SELECT band, count(*)::BIGINT AS claims, count(*) FILTER (item_id = item)::BIGINT AS "right", count(*) FILTER (item_id IS DISTINCT FROM item)::BIGINT AS wrong, count(*) FILTER (item_id = item) / count(*) AS accuracy,
+    CASE WHEN band = 'STRONG' THEN count(*) FILTER (item_id = item) / count(*) >= 0.98 END AS honest FROM c_ GROUP BY band""")
+def band_calibration(spark, sf_dir):
+    """Claimed causes, by supplier as runs, against a truth that has no refunds; the exact intervals are tested against tails of the binomial."""
+    gaps, items = star_gaps(spark, sf_dir)
+    first = star_levels(spark, sf_dir)[1].join(gaps.select("gap_id", F.col("supp").alias("run")), "gap_id")
+    said = first.select("run", F.col("gap_id").alias("settlement_id"), "item_id", F.when(F.col("level") == "L1", "CIRCUMSTANTIAL").otherwise("STRONG").alias("band"))
+    fits = attribution.single_candidates(gaps, items, WIDE, ["supp"]).where("level <> 'L2'").groupBy("gap_id").agg(F.array(F.min("item_id")).alias("items"))
+    truth = fits.join(gaps.select("gap_id", F.col("supp").alias("run")), "gap_id").withColumnRenamed("gap_id", "settlement_id")
+    return scoring.calibration(said, truth).drop("low", "high")

@@ -238,9 +238,20 @@ def first_singles(gaps: DataFrame, items: DataFrame, tolerance: int) -> DataFram
 def lone_pairs(gaps: DataFrame, counts: DataFrame, items: DataFrame, tolerance: int) -> DataFrame:
     """(gap_id, item_id, chance): gaps that one pair alone fits, with its items and the exact chance of a pair."""
     alone = cut(gaps.join(counts.where("n_candidates = 1"), "gap_id", "left_semi"))
+    if alone.isEmpty():
+        return alone.select("gap_id", F.lit(None).cast("string").alias("item_id"), F.lit(None).cast("double").alias("chance"))
     return only_pair(alone, counts, items).join(pair_chance(alone, items, tolerance), "gap_id")
 
 
+def by_pairs(rest: DataFrame, items: DataFrame, tolerance: int) -> DataFrame:
+    """(gap_id, n_candidates, item_id, expected) of gaps that pairs of items fit: the only pair with its chance, several with a floor."""
+    counts = cut(pair_counts(rest, items, tolerance))
+    floors = F.broadcast(chance_floors(items, tolerance).table(rest.sparkSession))
+    several = counts.where("n_candidates > 1").join(rest, "gap_id").withColumn("cell", cell_of(F.abs("delta"))).join(floors, "cell", "left")
+    several = several.select("gap_id", "n_candidates", F.lit(None).cast("string").alias("item_id"), F.coalesce("at_least", F.lit(0.0)).alias("expected"))
+    return lone_pairs(rest, counts, items, tolerance).select("gap_id", F.lit(1).cast("long").alias("n_candidates"), "item_id", F.col("chance").alias("expected")).unionByName(several)
+
+
 def attribute(gaps: DataFrame, items: DataFrame, tolerance: int = C.NET_TOLERANCE) -> DataFrame:
     """(gap_id, level, outcome, item_id, n_candidates, expected, band, confidence) for each gap (gap_id, settlement_id, delta).
 
@@ -254,11 +265,7 @@ def attribute(gaps: DataFrame, items: DataFrame, tolerance: int = C.NET_TOLERANC
     fits = single_fits(open_.join(first.select("gap_id"), "gap_id", "left_semi"), items, tolerance)
     one = first.join(fits.select("gap_id", "kind", "expected"), ["gap_id", "kind"], "left").withColumn("base", F.lit(C.CONFIDENCE["single"]))
     rest = cut(open_.join(first.select("gap_id"), "gap_id", "left_anti").select("gap_id", "settlement_id", "delta"))
-    counts = cut(pair_counts(rest, items, tolerance))
-    floors = F.broadcast(chance_floors(items, tolerance).table(gaps.sparkSession))
-    several = counts.where("n_candidates > 1").join(rest, "gap_id").withColumn("cell", cell_of(F.abs("delta"))).join(floors, "cell", "left")
-    several = several.select("gap_id", "n_candidates", F.lit(None).cast("string").alias("item_id"), F.coalesce("at_least", F.lit(0.0)).alias("expected"))
-    two = lone_pairs(rest, counts, items, tolerance).select("gap_id", F.lit(1).cast("long").alias("n_candidates"), "item_id", F.col("chance").alias("expected")).unionByName(several)
+    two = by_pairs(rest, items, tolerance) if not rest.isEmpty() else rest.select("gap_id", *[F.lit(None).cast(t).alias(c) for c, t in (("n_candidates", "long"), ("item_id", "string"), ("expected", "double"))])
     two = two.withColumns({"level": F.lit("L4"), "kind": F.lit("pair"), "base": F.lit(C.CONFIDENCE["pair"])})
     found = one.unionByName(two.select(*one.columns))
     rows = gaps.select("gap_id", "settlement_id", "delta").join(found, "gap_id", "left").withColumn("band", band(F.col("expected")))

@@ -192,15 +192,22 @@ def memberships(credits: DataFrame, payments: DataFrame, calendar: DataFrame, ra
     ``likeness``: a column of ``credits``, how much the narration looks like a payout's; below ``SHAPE_THRESHOLD`` the credit is
     someone's transfer, and no combination of payments is looked for.
     """
-    from ledgerloom.operators.attribution import band
-
     shaped = credits.where(likeness >= C.SHAPE_THRESHOLD) if likeness is not None else credits
     asked = cut(shaped.select("bank_row_id", "event_date", "credit_paise"))
+    if asked.isEmpty():
+        told = asked.select("bank_row_id", *[F.lit(None).cast(t).alias(c) for c, t in (("outcome", "string"), ("pool_size", "long"), ("n_solutions", "long"), ("solutions", "array<array<string>>"), ("expected", "double"), ("confidence", "double"))])
+        return _told(asked, told, credits, likeness)
     due = cut(due_payments(payments, calendar, rates.lag_days, rates.cutoff_hour, rates.withholding_bps))
     days = cut(due_days(asked, due, calendar, C.NET_WINDOW, tolerance))
     sizes = cut(pool_sizes(days, due).join(asked.select("bank_row_id", "credit_paise"), "bank_row_id"))
     pools = small_pools(days, sizes, due, largest_pool(cap)).join(asked.select("bank_row_id", "credit_paise"), "bank_row_id")
-    told = _answered(sizes, searched(pools, rates.withholding_bps, tolerance, keep), tolerance, cap, True)
+    return _told(asked, _answered(sizes, searched(pools, rates.withholding_bps, tolerance, keep), tolerance, cap, True), credits, likeness)
+
+
+def _told(asked: DataFrame, told: DataFrame, credits: DataFrame, likeness: Column | None) -> DataFrame:
+    """Every credit with its answer: one without a pool has no subset, and one that isn't a payout's is skipped."""
+    from ledgerloom.operators.attribution import band
+
     rows = asked.select("bank_row_id", "credit_paise").join(told, "bank_row_id", "left")
     rows = rows.fillna({"outcome": "NO_SUBSET_FOUND", "pool_size": 0, "n_solutions": 0, "confidence": 0.0})
     if likeness is not None:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -156,3 +159,66 @@ def curve_grid(curves: DataFrame) -> DataFrame:
 def exact_through(grid: DataFrame) -> DataFrame:
     """One row: the largest tolerance that is exact in every run (null: none), and the smallest at which one loses."""
     return grid.agg(F.max(F.when(F.col("exact"), F.col("tolerance"))).alias("exact_through"), F.min(F.when(F.col("least_precision") < 1, F.col("tolerance"))).alias("earliest_loss"))
+
+
+#: Accuracy below which the strongest band isn't honest (fixed value).
+STRONG_FLOOR = 0.98
+
+
+def beta_below(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function, by Lentz's continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_below(1 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    c, d, f = 1.0, 0.0, 1.0
+    for k in range(400):
+        m = k // 2
+        t = 1.0 if k == 0 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if k % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d = 1 / (1 + t * d or 1e-300)
+        c = 1 + t / c or 1e-300
+        f *= c * d
+        if abs(1 - c * d) < 1e-13:
+            break
+    return front * (f - 1)
+
+
+def exact_interval(right: int, n: int, miss: float = 0.05) -> tuple[float, float]:
+    """The exact binomial interval (Clopper and Pearson) of a rate of which ``right`` of ``n`` were seen."""
+
+    def where(level: float, a: float, b: float) -> float:
+        lo, hi = 0.0, 1.0
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if beta_below(mid, a, b) < level else (lo, mid)
+        return (lo + hi) / 2
+
+    return 0.0 if right == 0 else where(miss / 2, right, n - right + 1), 1.0 if right == n else where(1 - miss / 2, right + 1, n - right)
+
+
+def calibration(attributions: DataFrame, truth: DataFrame, miss: float = 0.05, floor: float = STRONG_FLOOR) -> DataFrame:
+    """(band, claims, right, wrong, accuracy, low, high, honest) over all runs: how often each band's named causes are the true ones.
+
+    attributions: run, settlement_id, item_id (a pair's joined by "+", null: no cause named), band; truth: run, settlement_id,
+    items. A cause without a truth is wrong. The interval is exact; ``honest``, for the strongest band, says whether the
+    accuracy reaches ``floor``, and is null for the others and where nothing was claimed.
+    """
+
+    @F.pandas_udf("low double, high double")
+    def interval(right: pd.Series, n: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([exact_interval(int(r), int(k), miss) for r, k in zip(right, n, strict=True)], columns=["low", "high"])
+
+    rows = attributions.where("item_id is not null and band is not null").join(truth, ["run", "settlement_id"], "left")
+    right = F.coalesce((F.size("items") > 0) & same_items(F.split("item_id", r"\+"), F.col("items")), F.lit(False))
+    own = rows.groupBy("band").agg(F.count("*").alias("claims"), F.count_if(right).alias("right"))  # a row for each band
+    own = own.withColumn("i", interval("right", "claims")).withColumn("accuracy", F.col("right") / F.col("claims"))
+    honest = F.when(F.col("band") == "STRONG", F.col("accuracy") >= floor)
+    return own.select("band", "claims", "right", (F.col("claims") - F.col("right")).alias("wrong"), "accuracy", "i.low", "i.high", honest.alias("honest"))
+
+
+def calibration_runs(attributions: DataFrame, truth: DataFrame) -> DataFrame:
+    """(run, gaps, claims, refused) of each run: how many gaps its truth has, causes it names, and bands it refuses on."""
+    named = F.count_if(F.col("item_id").isNotNull() & F.col("band").isNotNull())
+    own = attributions.groupBy("run").agg(named.alias("claims"), F.count_if(F.col("band") == "REFUSE").alias("refused"))
+    return truth.groupBy("run").agg(F.count("*").alias("gaps")).join(own, "run", "full").fillna(0, ["gaps", "claims", "refused"])

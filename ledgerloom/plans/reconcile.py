@@ -58,8 +58,11 @@ def with_likeness(credits: DataFrame) -> DataFrame:
     return credits.join(told, F.col("narration").eqNullSafe(F.col("__n")) & F.col("utr").eqNullSafe(F.col("__u"))).drop("__n", "__u")
 
 
-def reconcile(ledgers: Ledgers, rates: C.Rates | None = None, as_of: Column | None = None, tiers: tuple[int, ...] = (1, 2, 3, 5), strict: bool = True, part_b: bool = True) -> Reconciliation:
-    """Every tier's narrow result is cut to files: several later ones read it, and none repeats what made it."""
+def reconcile(ledgers: Ledgers, rates: C.Rates | None = None, as_of: Column | None = None, tiers: tuple[int, ...] = (1, 2, 3, 5), strict: bool = True, part_b: bool = True, windows: tuple[int, int, int] = (C.EXACT_WINDOW, C.TOLERANT_WINDOW, C.NET_WINDOW)) -> Reconciliation:
+    """Every tier's narrow result is cut to files: several later ones read it, and none repeats what made it.
+
+    ``windows``: business days in which a payout is posted, for the exact, the tolerant and the net tier.
+    """
     rates = rates or C.Rates()
     spark = ledgers.orders.sparkSession
     ledgers = Ledgers(*[cut(getattr(ledgers, f.name).select(*[c for c in READ[f.name] if c in getattr(ledgers, f.name).columns])) for f in fields(Ledgers)])
@@ -86,7 +89,7 @@ def reconcile(ledgers: Ledgers, rates: C.Rates | None = None, as_of: Column | No
         return [o, s]
 
     # tier 1
-    exact = cut(M.exact_settlements(due(ledgers.settlements, C.EXACT_WINDOW), credits).withColumn("confidence", F.lit(1.0)))
+    exact = cut(M.exact_settlements(due(ledgers.settlements, windows[0]), credits).withColumn("confidence", F.lit(1.0)))
     t1 = order_side(1, gates, exact, "SETTLEMENT_ID_NOT_FOUND")
     t1 = cut(t1.withColumn("reason", F.when(F.col("gate").isNull() & F.col("settlement_id").isNull(), "PAYMENT_HAS_NO_SETTLEMENT_ID").otherwise(F.col("reason"))))
     caused = F.when(F.col("gate").isNull() & F.col("upstream").isNotNull(), F.col("settlement_id")).cast("string")
@@ -99,7 +102,7 @@ def reconcile(ledgers: Ledgers, rates: C.Rates | None = None, as_of: Column | No
     left_s = ledgers.settlements.join(tied, "settlement_id", "left_anti")
     left_c = credits.join(tied, "bank_row_id", "left_anti")
     if 2 in tiers:
-        s2 = due(left_s.join(counts, "settlement_id", "left").fillna(0, ["n_payments"]), C.TOLERANT_WINDOW)
+        s2 = due(left_s.join(counts, "settlement_id", "left").fillna(0, ["n_payments"]), windows[1])
         tol = cut(M.tolerant_settlements(left_s, cut(M.tolerant_pairs(s2, left_c))))
         t2 = cut(order_side(2, open_orders, tol, "NO_TOLERANT_CANDIDATE"))
         parts.append(decisions(t2))
@@ -115,7 +118,7 @@ def reconcile(ledgers: Ledgers, rates: C.Rates | None = None, as_of: Column | No
         built = cut(B.build_batches(ledgers.settlements, ledgers.payments, ledgers.refunds, ledgers.chargebacks, rates))
         if strict:
             B.assert_self_check(built)
-        open_b = due(built.join(tied, "settlement_id", "left_anti"), C.NET_WINDOW)
+        open_b = due(built.join(tied, "settlement_id", "left_anti"), windows[2])
         free = ledgers.bank.join(tied, "bank_row_id", "left_anti")
         free_c = cut(free.where("entry_type = 'bank_credit'"))
         items = cut(A.item_pool(ledgers.payments, ledgers.refunds, ledgers.chargebacks, rates.withholding_bps))
