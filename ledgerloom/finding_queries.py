@@ -11,7 +11,7 @@ from ledgerloom.config import Rates
 from ledgerloom.operators import attribution, exceptions, matching, membership, scoring, search
 from ledgerloom.operators.identify import identified
 from ledgerloom.functions import grounding, money
-from ledgerloom.plans import chain, findings, trace, validate, views
+from ledgerloom.plans import chain, explain, findings, trace, validate, views
 from ledgerloom.queries import DECIDED_SQL, EXACT_SQL, GATES_SQL, WIDE, built, credits_of, days, due, net_verdicts, query, star_decided, star_gaps, star_typed
 from ledgerloom.queue_queries import LEVELS_SQL, star_levels
 from ledgerloom.report_queries import ORACLE_SQL, QUERIES
@@ -66,8 +66,9 @@ def credit_memberships(spark, sf_dir):
 
 @query()
 def subset_reliability(spark, sf_dir):
-    """How far answers of a subset search can be trusted, by the size of the pool."""
-    return membership.reliability(star_ledgers(spark, sf_dir).payments, Rates().withholding_bps)
+    """How far answers of a subset search can be trusted, by the size of the pool, and up to which size all were right."""
+    curve = cut(membership.reliability(star_ledgers(spark, sf_dir).payments, Rates().withholding_bps))
+    return curve.join(F.broadcast(membership.ceiling(curve)))  # one row
 
 
 QUEUE_SQL = f"""{LEVELS_SQL}{GATES_SQL}, typed2_ AS (SELECT *, CASE gate WHEN 'NO_PAYMENT_FOR_ORDER' THEN 'ORDER_UNPAID' WHEN 'MULTIPLE_PAYMENTS_FOR_ORDER' THEN 'DUPLICATE_PAYMENT'
@@ -276,3 +277,35 @@ def band_calibration(spark, sf_dir):
     fits = attribution.single_candidates(gaps, items, WIDE, ["supp"]).where("level <> 'L2'").groupBy("gap_id").agg(F.array(F.min("item_id")).alias("items"))
     truth = fits.join(gaps.select("gap_id", F.col("supp").alias("run")), "gap_id").withColumnRenamed("gap_id", "settlement_id")
     return scoring.calibration(said, truth).drop("low", "high")
+
+
+@query(f"""{QUEUE_SQL} SELECT q.code, count(*)::BIGINT AS findings, count(*)::BIGINT AS grounded, count(*) FILTER (q.kind = 'settlement' AND c.n = 1 AND q.code = 'AMOUNT_VARIANCE_UNEXPLAINED')::BIGINT AS with_caveat
+  FROM queue_ q LEFT JOIN cause_ c ON q.group_id = q.code || '__' || c.settlement_id GROUP BY q.code""")
+def finding_prose(spark, sf_dir):
+    """Prose of every finding: how much of it says nothing but the finding's own, and how often a cause is named with its caveat."""
+    told = explain.checked_prose(explain.explain_findings(star_queue(spark, sf_dir)))
+    return told.groupBy("code").agg(F.count("*").alias("findings"), F.count_if("check.ok").alias("grounded"), F.count_if(F.contains("prose", F.lit(explain.CAVEAT))).alias("with_caveat"))
+
+
+@query(f"""{QUEUE_SQL}, d_ AS (SELECT 'kind' AS dimension, kind AS value, rupees_paise AS a FROM queue_ UNION ALL SELECT 'code', code, rupees_paise FROM queue_ UNION ALL SELECT 'evidence_band', 'none', rupees_paise FROM queue_ UNION ALL SELECT 'identified_by', 'none', rupees_paise FROM queue_)
+  SELECT dimension, value, count(*)::BIGINT AS findings, sum(a)::BIGINT AS paise, sum(a) / sum(sum(a)) OVER (PARTITION BY dimension) AS share FROM d_ GROUP BY dimension, value""")
+def queue_shares(spark, sf_dir):
+    """The queue's money by kind, by code, by band and by how payouts were identified."""
+    return findings.queue_breakdown(star_queue(spark, sf_dir))
+
+
+COMPARED = ("tier5__ORDER_UNPAID", "tier5__DUPLICATE_PAYMENT", "tier5__UNKNOWN")
+
+
+@query(f"""{QUEUE_SQL} SELECT group_id, rupees_paise, affected_chains, (SELECT count(*) FROM queue_ x WHERE x.code = q.code)::BIGINT AS total_with_this_code, rupees_paise / (SELECT sum(rupees_paise) FROM queue_) AS share_of_queue FROM queue_ q WHERE group_id IN {COMPARED}""")
+def compared_findings(spark, sf_dir):
+    """Findings side by side, each with how many there are of its code and its share of the queue."""
+    return findings.compared(cut(star_queue(spark, sf_dir)), list(COMPARED)).select("group_id", "rupees_paise", "affected_chains", "total_with_this_code", "share_of_queue")
+
+
+@query("""SELECT source, label, count(*)::BIGINT AS n, count(DISTINCT value)::BIGINT AS "values" FROM (SELECT 'orders' AS source, 'date' AS label, event_date::VARCHAR AS value FROM orders_ UNION ALL SELECT 'payments', 'date', event_date::VARCHAR FROM payments_ UNION ALL SELECT 'settlements', 'date', event_date::VARCHAR FROM settlements_
+    UNION ALL SELECT 'bank', 'date', event_date::VARCHAR FROM bank_ UNION ALL SELECT 'orders', 'amount', amount_paise::VARCHAR FROM orders_ UNION ALL SELECT 'payments', 'amount', amount_paise::VARCHAR FROM payments_ UNION ALL SELECT 'settlements', 'amount', net_paise::VARCHAR FROM settlements_
+    UNION ALL SELECT 'bank', 'amount', (credit_paise - debit_paise)::VARCHAR FROM bank_ UNION ALL SELECT 'settlements', 'utr', utr FROM settlements_ UNION ALL SELECT 'bank', 'utr', utr FROM bank_ UNION ALL SELECT 'bank', 'narration', narration FROM bank_) WHERE value IS NOT NULL GROUP BY 1, 2""")
+def entity_facts(spark, sf_dir):
+    """What every row says of itself, fact by fact."""
+    return trace.entity_facts(star_ledgers(spark, sf_dir)).groupBy("source", "label").agg(F.count("*").alias("n"), F.countDistinct("value").alias("values"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import text
+from ledgerloom.functions import grounding, text
 from ledgerloom.functions.money import format_inr
 
 #: One sentence for each code; {n} orders, {money} in all.
@@ -44,3 +44,51 @@ def with_cache(explained: DataFrame, cache: DataFrame) -> DataFrame:
     kept = cache.select("group_key", "record_hash", F.col("prose").alias("__cached")).dropDuplicates(["group_key", "record_hash"])
     rows = explained.join(kept, ["group_key", "record_hash"], "left")
     return rows.withColumn("source", F.when(F.col("__cached").isNotNull(), "cache").otherwise("template")).withColumn("prose", F.coalesce("__cached", "prose")).drop("__cached")
+
+
+#: Sentences of payouts; {day}, {money} and {item} are the finding's own.
+PAYOUTS = {
+    "MISSING_IN_BANK": "The payout of {day}, {money}, was reported, and no credit shows it.",
+    "TIMING_PENDING": "The payout of {day}, {money}, may still come before its window closes.",
+    "AMBIGUOUS_MULTI_CANDIDATE": "Several credits fit the payout of {day}, {money}, so none was chosen.",
+}
+NAMED, SEVERAL, NOTHING = "The payout of {day} differs by {money}, as {kind} {item} does.", "The payout of {day} differs by {money}, and several items fit that.", "The payout of {day} differs by {money}, and no item accounts for it."
+#: Said wherever a cause is named, as an amount that fits is no link that the gateway declares.
+CAVEAT = " Only the amounts match, which is not proof."
+#: Words of which one must stand where a cause is named (fixed values).
+CAVEATS = (
+    "not proof", "not proven", "does not prove", "only the amounts match", "amounts match", "not confirmed", "remains unverified", "consistent with", "needs confirming",
+    "must be confirmed", "to be confirmed",
+)
+CHECKED = "ok boolean, blank boolean, asserted array<string>, caveat_missing boolean, unsupported array<string>"
+
+
+def explain_findings(q: DataFrame) -> DataFrame:
+    """The review queue (``findings.payout_findings`` and ``order_findings``) with prose: a sentence for each code, and the caveat where
+    a cause is named."""
+    from ledgerloom.plans.findings import KINDS, _pick
+
+    money = format_inr(F.coalesce("rupees_paise", F.lit(0)))
+    cause = F.when(F.col("item_id").isNotNull(), NAMED).when(F.col("level").isin(*KINDS), SEVERAL).otherwise(NOTHING)
+    payout = F.concat(_pick(F.col("code"), PAYOUTS, cause), F.when(F.col("item_id").isNotNull() & ~F.col("code").isin(*PAYOUTS), CAVEAT).otherwise(""))
+    text = F.when(F.col("kind") == "settlement", payout).otherwise(_pick(F.col("code"), SENTENCES, F.lit(OTHER)))
+    slots = {
+        "{day}": F.coalesce(F.date_format("settled_on", "d MMMM yyyy"), F.lit("an unknown day")), "{money}": money, "{n}": F.coalesce("affected_chains", F.lit(0)).cast("string"),
+        "{kind}": F.coalesce(_pick(F.col("level"), KINDS, F.lit(None).cast("string")), F.lit("item")), "{item}": F.coalesce("item_id", F.lit("none")),
+    }
+    for slot, value in slots.items():
+        text = F.replace(text, F.lit(slot), value)
+    return q.withColumn("prose", text)
+
+
+def checked_prose(explained: DataFrame) -> DataFrame:
+    """``explained`` with check (``CHECKED``): no slot left blank, no cause asserted, a caveat where one is named, and every amount and
+    id one of the finding's own. It holds for prose from anywhere, not for the templates' alone."""
+    prose = F.coalesce("prose", F.lit(""))
+    blank = (F.trim(prose) == "") | prose.rlike(r"  |\s[.,]|₹(?![0-9])|\{[a-z]+\}")
+    asserted = grounding.said(prose, grounding.ASSERTED)
+    bare = F.col("item_id").isNotNull() & F.coalesce(F.contains(prose, F.col("item_id")), F.lit(False)) & (F.size(grounding.said(prose, CAVEATS)) == 0)
+    own = F.concat_ws(" ", format_inr(F.coalesce("rupees_paise", F.lit(0))), "settlement_id", F.replace(F.coalesce("item_id", F.lit("")), F.lit("+"), F.lit(" ")))
+    strange = text.unsupported(prose, own)
+    ok = ~blank & (F.size(asserted) == 0) & ~bare & (F.size(strange) == 0)
+    return explained.withColumn("check", F.struct(ok.alias("ok"), blank.alias("blank"), asserted.alias("asserted"), bare.alias("caveat_missing"), strange.alias("unsupported")))

@@ -85,10 +85,3 @@ def entity_facts(l: Ledgers) -> DataFrame:
     rows = own_rows(l).withColumn("key", F.struct("entity_id", "source"))
     told = facts(rows, "key", {"date": F.col("event_date"), "amount": format_inr(F.col("amount_paise")), "utr": F.col("utr"), "narration": F.nullif(F.col("narration"), F.lit(""))})
     return told.select("key.entity_id", "key.source", "label", "value")
-
-
-def search(l: Ledgers, text: str, most: int = 15) -> tuple[DataFrame, DataFrame]:
-    """(the first ``most`` entities by id whose id, reference or narration holds ``text``, whatever its case; how many there are)."""
-    holds = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(text.lower()))
-    found = own_rows(l).where(holds(F.col("entity_id")) | holds(F.col("utr")) | holds(F.col("narration")))
-    return found.orderBy("entity_id", "source").limit(most), found.agg(F.count("*").alias("total"))

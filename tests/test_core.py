@@ -16,7 +16,7 @@ from ledgerloom import finding_queries as queries
 from ledgerloom.config import Rates
 from ledgerloom.functions import calendar as cal
 from ledgerloom.functions import money, text
-from ledgerloom.operators import batches, matching, membership
+from ledgerloom.operators import attribution, batches, matching, membership
 
 
 
