@@ -43,9 +43,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles of similarity 0.8 or more: the one with the smallest id.
+    """One document of each group: the one with the smallest id.
 
-    Pairs come from the SimHash index first, and from prefix filtering where three bits miss them.
+    Documents are linked where op10 links them, their SimHash fingerprints being three bits apart or less, and where
+    five-word shingles have a similarity of 0.8 or more, most of which three bits miss.
     """
     return jaccard.keep_one(docs)
 

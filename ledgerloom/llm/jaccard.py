@@ -1,15 +1,19 @@
-"""Near-duplicate groups by the exact Jaccard similarity of word shingles.
+"""Near-duplicate groups by SimHash fingerprints and by the exact Jaccard similarity of word shingles.
 
-Two texts are linked if their sets of shingles have a similarity of ``least`` or more; groups are the connected
-components of the links. No pair is left out: in any common order of the shingles, two such sets share one of the first
-n - ceil(least * n) + 1 of each, so texts meet at these only, and each meeting is checked on the whole sets. The order
-puts shingles that a sample holds often last and is by hash otherwise; it decides what is compared, not what is linked.
+Two texts are linked if op10 links them, their fingerprints of three-word shingles being ``limit`` bits apart or less
+(``simhash.links``), or if their sets of shingles have a similarity of ``least`` or more; groups are the connected
+components of the links of both kinds. No pair is left out of either: the Gray-order index is exact, and in any common
+order of the shingles, two similar sets share one of the first n - ceil(least * n) + 1 of each, so texts meet at these
+only, and each meeting is checked on the whole sets. The order puts shingles that a sample holds often last and is by
+hash otherwise; it decides what is compared, not what is linked.
 
-Texts with equal sets are one class and are compared once. Pairs are proposed in three rounds: by the Gray-order index
-over the sets' SimHash fingerprints (``simhash.links``, 3 bits) and by each set's smallest hashes, by the class that
-leads others at a shingle, and, for classes that are still in different groups, by every meeting: near copies are
-in one group by then, so that a large group of them isn't compared pair by pair. The index alone can't reach 0.8: two sets that
-similar differ in 9 to 10 of 64 bits on average, and no mask of a Gray-ordered group shares enough bits to prune at that.
+Neither kind holds the other: two sets of similarity 0.8 differ in 9 to 10 of 64 bits on average, and no mask of a
+Gray-ordered group shares enough bits to prune at that; long texts with edits all over can be 3 bits apart at less than 0.8.
+
+Texts with equal sets are one class and are compared once; a class has the fingerprints of all its texts. The
+fingerprints' links are taken first. Pairs for the sets are then proposed in two rounds: by each set's smallest hashes
+and by the class that leads others at a shingle, and, for classes that are still in different groups, by every meeting:
+near copies are in one group by then, so that a large group of them isn't compared pair by pair.
 
 Before texts are fetched, a proposed pair's sketches (each set's SKETCH smallest hashes) are compared: a pair of the
 wanted similarity falls below the bound with a chance of MISS at most. What is left is checked on the whole sets.
@@ -31,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import cut, stored
-from ledgerloom.llm.simhash import LOWER, WORD, components, links, majority, thin
+from ledgerloom.llm.simhash import LOWER, WORD, components, fingerprint, links, thin
 
 #: One text in so many is in the sample that orders the shingles, how often a shingle counts as common there, and the most that do.
 PART, COMMON, MOST = 8, 4, 1 << 20
@@ -72,20 +76,26 @@ def class_of(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes(), 7) - (1 << 63)
 
 
-def classes_of(own: DataFrame, shingle: int) -> DataFrame:
-    """(c, kept, fp, sketch): each class, its first row (none, doc_id, h), its SimHash fingerprint and its sketch."""
+def marked(own: DataFrame, shingle: int, mark: int) -> DataFrame:
+    """(c, fp, kept, sketch): each class with each SimHash fingerprint (of ``mark``-word shingles) of its texts, the first
+    row of these (none, doc_id, h), and the class's sketch."""
 
     @F.pandas_udf("c long, fp long, sketch binary")
     def described(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
             s = shingles(text, shingle)
-            rows.append((class_of(s), majority(s.view(np.uint64)), (s[:SKETCH] >> 32).astype("<i4").tobytes()))
+            rows.append((class_of(s), fingerprint(text, mark), (s[:SKETCH] >> 32).astype("<i4").tobytes()))
         return pd.DataFrame(rows, columns=["c", "fp", "sketch"])
 
     rows = own.select("doc_id", F.xxhash64("text").alias("h"), described("text").alias("d"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("kept")
-    return stored(rows.groupBy(F.col("d.c").alias("c")).agg(first, F.max("d.fp").alias("fp"), F.max("d.sketch").alias("sketch")))
+    return stored(rows.groupBy(F.col("d.c").alias("c"), F.col("d.fp").alias("fp")).agg(first, F.max("d.sketch").alias("sketch")))
+
+
+def classes_of(marks: DataFrame) -> DataFrame:
+    """(c, kept, sketch): each class, its first row and its sketch."""
+    return stored(marks.groupBy("c").agg(F.min("kept").alias("kept"), F.max("sketch").alias("sketch")))
 
 
 def common(own: DataFrame, shingle: int) -> np.ndarray:
@@ -187,25 +197,31 @@ def verified(pairs: DataFrame, own: DataFrame, classes: DataFrame, shingle: int,
     return cut(wide.where(alike("left", "right")).select("a", "b"))
 
 
-def proposed(classes: DataFrame, limit: int = 3) -> DataFrame:
-    """(a, b), a < b: classes that the Gray index over the fingerprints connects; those of one fingerprint through the
-    smallest, and each with the smallest class that has one of its FIRST smallest hashes there, too."""
-    first = classes.groupBy("fp").agg(F.min("c").alias("first"))
-    same = classes.join(first, "fp").where("c <> first").select(F.col("first").alias("a"), F.col("c").alias("b"))
+def close(marks: DataFrame, limit: int) -> DataFrame:
+    """(a, b), a < b: links of classes that connect what fingerprints within ``limit`` bits do; those of one fingerprint
+    through the smallest."""
+    first = marks.groupBy("fp").agg(F.min("c").alias("first"))
+    same = marks.join(first, "fp").where("c <> first").select(F.col("first").alias("a"), F.col("c").alias("b"))
     to = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}c"))
-    near = links(first.select("fp"), limit).join(to("a"), "a").join(to("b"), "b")
+    near = links(first.select("fp"), limit).join(to("a"), "a").join(to("b"), "b").where("ac <> bc")
+    return cut(same.unionByName(near.select(F.least("ac", "bc").alias("a"), F.greatest("ac", "bc").alias("b"))).distinct())
+
+
+def proposed(classes: DataFrame) -> DataFrame:
+    """(a, b), a < b: each class with the smallest class that has one of its FIRST smallest hashes there, too."""
     small = classes.select("c", F.explode(F.array(*[F.substring("sketch", 4 * k + 1, 4) for k in range(FIRST)])).alias("s")).where(F.length("s") == 4)
     leads = small.groupBy("s").agg(F.min("c").alias("a"), F.max("c").alias("last")).where("a <> last").drop("last")
-    shared = small.join(leads, "s").where("a <> c").select("a", F.col("c").alias("b"))
-    return same.unionByName(near.select(F.least("ac", "bc").alias("a"), F.greatest("ac", "bc").alias("b"))).unionByName(shared)
+    return small.join(leads, "s").where("a <> c").select("a", F.col("c").alias("b"))
 
 
-def groups(own: DataFrame, classes: DataFrame, shingle: int, least: float) -> DataFrame:
+def groups(own: DataFrame, marks: DataFrame, classes: DataFrame, shingle: int, least: float, limit: int) -> DataFrame:
     """(node, root): for each class that is linked to another, the smallest class of its group."""
+    near = close(marks, limit)
     met = meetings(own, common(own, shingle), shingle, least)
     stars = met.where(F.col("c") != F.col("lead.c")).where(can_be("n", "i", "lead.n", "lead.i", least))
-    stars = stored(stars.select(F.least("lead.c", "c").alias("a"), F.greatest("lead.c", "c").alias("b")).unionByName(proposed(classes)).distinct())
-    linked = cut(thin(verified(stars, own, classes, shingle, least)))
+    stars = stars.select(F.least("lead.c", "c").alias("a"), F.greatest("lead.c", "c").alias("b")).unionByName(proposed(classes)).distinct()
+    stars = stored(stars.join(near, ["a", "b"], "left_anti"))
+    linked = cut(thin(verified(stars, own, classes, shingle, least).unionByName(near)))
     labels = components(linked)
     told = met.drop("lead").join(labels, met["c"] == labels["node"], "left").select("t", "c", "n", "i", F.coalesce("root", "c").alias("r"))
     x, y = told.alias("x"), told.alias("y")
@@ -214,11 +230,12 @@ def groups(own: DataFrame, classes: DataFrame, shingle: int, least: float) -> Da
     return components(linked.unionByName(verified(rest, own, classes, shingle, least)))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, mark: int = 3, limit: int = 3) -> DataFrame:
     """``docs`` with one row of each group: the smallest id, null ids last; of rows equal in id and text, one stays."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    classes = classes_of(own, shingle)
-    labels = groups(own, classes, shingle, least)
+    marks = marked(own, shingle, mark)
+    classes = classes_of(marks)
+    labels = groups(own, marks, classes, shingle, least, limit)
     rooted = classes.join(labels, classes["c"] == labels["node"], "left").select("kept", F.coalesce("root", "c").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("kept").alias("kept"))
     kept = kept.select(F.coalesce("kept.doc_id", F.lit(NO_ID)).alias("__ll_id"), F.col("kept.h").alias("__ll_h"))
