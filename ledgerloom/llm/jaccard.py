@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut, stored
+from ledgerloom.llm.common import cut, small_batches, stored
 from ledgerloom.llm.simhash import LOWER, WORD, components, fingerprint, links, thin
 
 #: One text in so many is in the sample that orders the shingles, how often a shingle counts as common there, and the most that do.
@@ -233,9 +233,10 @@ def groups(own: DataFrame, marks: DataFrame, classes: DataFrame, shingle: int, l
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, mark: int = 3, limit: int = 3) -> DataFrame:
     """``docs`` with one row of each group: the smallest id, null ids last; of rows equal in id and text, one stays."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    marks = marked(own, shingle, mark)
-    classes = classes_of(marks)
-    labels = groups(own, marks, classes, shingle, least, limit)
+    with small_batches(docs.sparkSession):
+        marks = marked(own, shingle, mark)
+        classes = classes_of(marks)
+        labels = groups(own, marks, classes, shingle, least, limit)
     rooted = classes.join(labels, classes["c"] == labels["node"], "left").select("kept", F.coalesce("root", "c").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("kept").alias("kept"))
     kept = kept.select(F.coalesce("kept.doc_id", F.lit(NO_ID)).alias("__ll_id"), F.col("kept.h").alias("__ll_h"))

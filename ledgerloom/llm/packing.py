@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut, salted_rank, table
+from ledgerloom.llm.common import cut, salted_rank, small_batches, table
 
 #: The tokenizer's split into words, as its file states it, over the code points below (fixed value).
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\s]|_)+")
@@ -172,7 +172,9 @@ def pack(pieces: DataFrame, size: int) -> DataFrame:
 
 def pack_documents(docs: DataFrame, size: int = 2048, tokenizer: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: PIECES, sequence_id, offset. The pieces of a sequence lie from offset 0 without gaps."""
-    return pack(cut(cut_documents(docs, size, tokenizer or default_tokenizer(), end_id, id_col, text_col)), size)
+    with small_batches(docs.sparkSession):
+        pieces = cut(cut_documents(docs, size, tokenizer or default_tokenizer(), end_id, id_col, text_col))
+    return pack(pieces, size)
 
 
 def op5_packing(spark, sf_dir):
