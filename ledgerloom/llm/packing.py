@@ -41,7 +41,8 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian 32-bit bytes; words already met are looked up, in bounded memory."""
+    """Token ids of whole texts as little-endian 32-bit bytes; words and runs of them without white space that were already
+    met are looked up, in bounded memory."""
 
     def __init__(self, path: str, words: int = 600_000):
         from tokenizers import Tokenizer
@@ -65,14 +66,17 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if "<|" in text or not PLAIN.fullmatch(text):  # special tokens, other normalisation
             return self.whole(text).tobytes()
-        words = SPLIT.findall(text.lower())
+        runs = text.lower().split()  # no word holds white space
         try:
-            return b"".join(map(self.known.__getitem__, words))
+            return b"".join(map(self.known.__getitem__, runs))
         except KeyError:
             if len(self.known) > self.most:
                 self.known.clear()
-            self.learn(list({*words}.difference(self.known)))
-            return b"".join(map(self.known.__getitem__, words))
+            inside = {run: SPLIT.findall(run) for run in {*runs}.difference(self.known)}
+            if new := {word for words in inside.values() for word in words}.difference(self.known):
+                self.learn(list(new))
+            self.known.update((run, b"".join(map(self.known.__getitem__, words))) for run, words in inside.items() if len(words) > 1)
+            return b"".join(map(self.known.__getitem__, runs))
 
 
 def cut_documents(docs: DataFrame, size: int, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
