@@ -17,9 +17,14 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from collections.abc import Iterator
+from itertools import chain
+from string import punctuation
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +34,8 @@ from ledgerloom.llm.common import cut, salted_rank, small_batches, table
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\s]|_)+")
 #: Texts within these code points are split here and their words looked up; normalisation leaves such texts as they are but for case.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u024f]*")
+#: Characters of texts whose new words are encoded in one go.
+TOGETHER = 2 << 20
 #: Pieces of one length that a task ranks; every length is dealt to 64 tasks at least.
 RANKED = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -41,13 +48,16 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian 32-bit bytes; words and runs of them without white space that were already
-    met are looked up, in bounded memory."""
+    """Token ids of whole texts as little-endian 32-bit bytes; words already met are looked up, in bounded memory. Of texts that
+    are given together, each run without white space is looked up once, and the new words are encoded in one go."""
 
     def __init__(self, path: str, words: int = 600_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, words
+        self.tokenizer, self.most = Tokenizer.from_file(path), words
+        self.known, self.older = {}, {}  # words met of late, and before that
+        self.words = Tokenizer(self.tokenizer.model)  # for lower-case words that are split already
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[ends] = True
@@ -57,26 +67,65 @@ class Encoder:
 
     def learn(self, words: list[str]) -> None:
         """The ids of new words, encoded in one go: each word's last token, and no other, is marked as a word's end."""
-        ids = self.whole(" ".join(words))
+        ids = np.array(self.words.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
         data, start = ids.tobytes(), 0
         for word, end in zip(words, (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), strict=True):
             self.known[word] = data[start:end]
             start = end
 
+    def runs(self, runs: list[str]) -> list[bytes]:
+        """The ids of runs without white space, in lower case."""
+        if len(self.known) > self.most // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        found = list(map(known.get, runs))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        inside = []
+        for run in map(runs.__getitem__, missing):
+            if run.isalpha():
+                inside.append((run,))
+            elif (core := run.rstrip(punctuation)).isalpha():
+                inside.append((core, run[len(core) :]))
+            else:
+                inside.append(SPLIT.findall(run))
+        words = set(chain.from_iterable(inside)).difference(known)
+        known.update({word: older[word] for word in words if word in older})
+        if new := list(words.difference(known)):
+            self.learn(new)
+        for i, parts in zip(missing, inside, strict=True):
+            found[i] = b"".join([known[word] for word in parts])
+        return found
+
+    def all(self, texts: list[str]) -> list[bytes]:
+        plain = ["<|" not in text and PLAIN.fullmatch(text) is not None for text in texts]  # no special tokens or other normalisation
+        # no word holds white space, and such texts have none beyond ASCII
+        own = pc.ascii_split_whitespace(pa.array([text.lower() if p else "" for text, p in zip(texts, plain, strict=True)], pa.large_string()))
+        coded = own.flatten().dictionary_encode()
+        ids = self.runs(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        run = coded.indices.to_numpy()
+        counts = sizes[run]
+        ends = np.cumsum(counts)
+        at = np.repeat((np.cumsum(sizes) - sizes)[run] - (ends - counts), counts)
+        at += np.arange(len(at))
+        data = np.frombuffer(b"".join(ids), dtype="<u4")[at].tobytes()
+        cuts = (4 * np.append(0, ends)[own.offsets.to_numpy()]).tolist()
+        return [data[a:b] if p else self.whole(text).tobytes() for text, p, a, b in zip(texts, plain, cuts, cuts[1:], strict=False)]
+
     def __call__(self, text: str) -> bytes:
-        if "<|" in text or not PLAIN.fullmatch(text):  # special tokens, other normalisation
-            return self.whole(text).tobytes()
-        runs = text.lower().split()  # no word holds white space
-        try:
-            return b"".join(map(self.known.__getitem__, runs))
-        except KeyError:
-            if len(self.known) > self.most:
-                self.known.clear()
-            inside = {run: SPLIT.findall(run) for run in {*runs}.difference(self.known)}
-            if new := {word for words in inside.values() for word in words}.difference(self.known):
-                self.learn(list(new))
-            self.known.update((run, b"".join(map(self.known.__getitem__, words))) for run, words in inside.items() if len(words) > 1)
-            return b"".join(map(self.known.__getitem__, runs))
+        return self.all([text])[0]
+
+
+def together(texts: list[str], most: int) -> Iterator[list[str]]:
+    """``texts`` in lists of ``most`` characters or a text more."""
+    some, chars = [], 0
+    for text in texts:
+        some.append(text)
+        if (chars := chars + len(text)) >= most:
+            yield some
+            some, chars = [], 0
+    if some:
+        yield some
 
 
 def cut_documents(docs: DataFrame, size: int, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,8 +138,9 @@ def cut_documents(docs: DataFrame, size: int, tokenizer: str, end_id: int, id_co
         encode, end = Encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         for pdf in batches:
             out = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids = encode(text or "") + end
+            texts = (ids for some in together([text or "" for text in pdf["text"]], TOGETHER) for ids in encode.all(some))
+            for doc_id, ids in zip(pdf["doc_id"], texts, strict=True):
+                ids += end
                 n = len(ids) // 4
                 for start in range(0, n, size):
                     part = ids[4 * start : 4 * (start + size)]

@@ -23,6 +23,47 @@ def test_encoder_equals_the_tokenizer():
         assert encode(t) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes(), t
 
 
+def test_texts_together_equal_the_tokenizer():
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    encode = packing.Encoder(packing.default_tokenizer(), words=30)
+    rng = random.Random(5)
+    tails = ["", ".", ",***", "'s", "'.", "'ll,", "_", "!!", "12", "x", "²", "«", " ", "\t\n", "  "]
+    made = [" " * (i % 3) + " ".join("".join(rng.choice("abcéÜª'") for _ in range(rng.randint(0, 4))) + rng.choice(tails) for _ in range(rng.randint(0, 30))) for i in range(300)]
+    texts = [x or "" for x in TEXTS] + made
+    rng.shuffle(texts)
+    got = [ids for some in packing.together(texts, 500) for ids in encode.all(some)]
+    assert got == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert [t for some in packing.together(texts, 500) for t in some] == texts and list(packing.together([], 500)) == []
+
+
+def counted(encode, monkeypatch) -> list[list[str]]:
+    """The lists of words that ``encode`` gives to the tokenizer from here on."""
+    calls, learn = [], encode.learn
+    monkeypatch.setattr(encode, "learn", lambda words: (calls.append(list(words)), learn(words)))
+    return calls
+
+
+def test_new_words_of_many_texts_are_encoded_in_one_go(monkeypatch):
+    encode = packing.Encoder(packing.default_tokenizer())
+    calls = counted(encode, monkeypatch)
+    made = ["".join(chr(97 + int(d)) for d in str(i)) for i in range(1000, 1200)]
+    encode.all([f"{w}, common {w}. {w}***" for w in made])
+    assert [sorted(words) for words in calls] == [sorted([*made, "common", ",", ".", "***"])]
+    encode.all([f"{w}. {w}" for w in made])
+    assert len(calls) == 1
+
+
+def test_words_met_of_late_outlast_a_full_memory(monkeypatch):
+    encode = packing.Encoder(packing.default_tokenizer(), words=8)
+    calls = counted(encode, monkeypatch)
+    for i in range(97, 97 + 26):
+        encode("every " + chr(i))
+        encode("every " + chr(max(97, i - 1)))
+        assert len(encode.known) + len(getattr(encode, "older", {})) <= 12
+    words = [word for call in calls for word in call]
+    assert len(words) == len(set(words)) == 27
+
+
 @pytest.mark.parametrize("size", [1, 7, 64])
 def test_plan_places_each_length_as_often_as_it_is(size):
     rng = random.Random(size)
