@@ -130,3 +130,27 @@ def test_reliability_of_answers(spark):
     assert (got[60]["cap_hits"], got[60]["computable"], got[60]["reliability"]) == (20, 0, None)
     clean = [k for k in sorted(want) if got[k]["reliability"] == 1.0 and got[k]["solved"] >= 5]
     assert M.ceiling(curve).first()["ceiling"] in clean
+
+
+def test_pools_searched_at_once_equal_their_halves(spark):
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 3, 6, 10):
+        gross = rng.integers(-20 if n == 2 else 1, 60 if n > 3 else 4000, (40, n))
+        net = gross - (gross // 50)
+        pick = rng.random((40, n)) < 0.5
+        credit = (net * pick).sum(1) - np.round((gross * pick).sum(1) / 100).astype(int)
+        for refuse in (True, False):
+            expected, found, kept = M.small_pools_at_once(credit, gross, net, 100, 2, 3, refuse)
+            for k in range(40):
+                halves = M.Halves(gross[k], net[k])
+                assert expected[k] == halves.chance(int(credit[k]), 2)
+                want = halves.solutions(int(credit[k]), 100, 2, 3) if not refuse or expected[k] < 1 else (0, [])
+                assert (found[k], kept[k]) == want
+    sizes = [1, 2, 11, 12, 3] * 8  # of either kind, in one task
+    rows = [(f"b{k}", f"p{k}/{i:02}", int(x)) for k, n in enumerate(sizes) for i, x in enumerate(rng.integers(1000, 10**6, n))]
+    df = spark.createDataFrame(rows, "bank_row_id string, payment_id string, amount_paise long").withColumns({"fee_paise": F.lit(0), "tax_paise": F.lit(0)})
+    whole = df.groupBy("bank_row_id").agg((F.sum("amount_paise") - F.floor((F.sum("amount_paise") * 100 + 5000) / 10000)).alias("credit_paise"))
+    told = {r["bank_row_id"]: r for r in M.searched(df.join(whole, "bank_row_id").repartition(1), 100, refuse=False).collect()}
+    assert len(told) == len(sizes)
+    for k, n in enumerate(sizes):
+        assert told[f"b{k}"]["pool_size"] == n and [f"p{k}/{i:02}" for i in range(n)] in told[f"b{k}"]["solutions"]
