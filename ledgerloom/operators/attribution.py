@@ -76,6 +76,13 @@ def single_fits(gaps: DataFrame, items: DataFrame, tolerance: int, scope: list[s
     return rows.select("gap_id", "kind", "n", measured_fits(F.col("inside") - F.col("own"), F.col("lo"), F.col("hi")).alias("expected"))
 
 
+def level_of(kind: Column) -> Column:
+    level = F.lit(None).cast("string")
+    for name, of in LEVEL_OF.items():
+        level = F.when(kind == name, of).otherwise(level)
+    return level
+
+
 def single_candidates(gaps: DataFrame, items: DataFrame, tolerance: int, scope: list[str] | None = None) -> DataFrame:
     """(gap_id, level, item_id, kind, residual): single items of other settlements that fit a gap, by a bucketed band join."""
     scope = scope or []
@@ -85,10 +92,7 @@ def single_candidates(gaps: DataFrame, items: DataFrame, tolerance: int, scope:
     keyed = items.withColumn("__k", F.floor(F.col("magnitude") / width))
     hits = probe.join(keyed, [*scope, "__k"]).where(F.abs(F.col("target") - F.col("magnitude")) <= tolerance)
     hits = hits.where(~F.col("settlement_id").eqNullSafe(F.col("item_settlement")))
-    level = F.lit(None).cast("string")
-    for kind, name in LEVEL_OF.items():
-        level = F.when(F.col("kind") == kind, name).otherwise(level)
-    return hits.select("gap_id", level.alias("level"), "item_id", "kind", (F.col("target") - F.col("magnitude")).alias("residual"))
+    return hits.select("gap_id", level_of(F.col("kind")).alias("level"), "item_id", "kind", (F.col("target") - F.col("magnitude")).alias("residual"))
 
 
 def pair_candidates(gaps: DataFrame, items: DataFrame, tolerance: int, scope: list[str] | None = None) -> DataFrame:
@@ -159,6 +163,48 @@ def pair_counts(gaps: DataFrame, items: DataFrame, tolerance: int) -> DataFrame:
 SHOWN = 6
 
 
+def _small_enough(gaps: DataFrame, items: DataFrame, tolerance: int) -> DataFrame:
+    """Items that can be in a gap, alone or with another: none is larger than the largest gap, unless the other is below zero."""
+    top = gaps.agg(F.max(F.abs("delta"))).first()[0] or 0
+    small = cut(items.where(F.col("magnitude") <= top + tolerance))
+    least = small.agg(F.min("magnitude")).first()[0] or 0
+    return small if least >= 0 else cut(items.where(F.col("magnitude") <= top + tolerance - least))
+
+
+def nearest_singles(gaps: DataFrame, items: DataFrame, tolerance: int, keep: int) -> DataFrame:
+    """(gap_id, level, item_id, kind, magnitude, residual, declared): of ``single_candidates`` the first ``keep`` of each gap's first level.
+
+    Gaps of one size have the same candidates but for those of their own settlement. So each size is looked up once, for ``keep``
+    items of a level and as many more as any of its settlements has itself; no gap meets all items that fit it.
+    """
+    residual = F.col("target") - F.col("magnitude")
+    fits = F.abs(residual) <= tolerance
+    pool = items.select("item_id", "kind", level_of(F.col("kind")).alias("level"), "magnitude", F.col("item_settlement").alias("declared")).where("level is not null and magnitude is not null")
+    g = gaps.select("gap_id", "settlement_id", F.abs("delta").alias("target"))
+    asked = cut(g.select("settlement_id", "target").distinct())
+    own = asked.join(pool, F.col("settlement_id").eqNullSafe(F.col("declared"))).where(fits).groupBy("settlement_id", "target", "level").agg(F.count("*").alias("own"))
+    own = cut(own)
+    most = own.groupBy("target", "level").agg(F.max("own").alias("most"))
+    deepest = keep + (own.agg(F.max("own")).first()[0] or 0)
+    width = 2 * tolerance + 1
+    probe = asked.select("target").distinct().withColumn("__k", F.explode(F.array(*[F.floor(F.col("target") / width) + k for k in (-1, 0, 1)])))
+    amounts = pool.groupBy("level", "magnitude").agg(F.count("*").alias("n")).withColumn("__k", F.floor(F.col("magnitude") / width))
+    near = probe.join(amounts, "__k").where(fits).join(most, ["target", "level"], "left").withColumn("depth", keep + F.coalesce("most", F.lit(0)))
+    nearer = F.sum("n").over(W.partitionBy("target", "level").orderBy(F.abs(residual)).rangeBetween(W.unboundedPreceding, -1))
+    chosen = near.withColumn("nearer", F.coalesce(nearer, F.lit(0))).where("nearer < depth").select("target", "level", "magnitude", "depth")
+    first = pool.withColumn("nth", F.row_number().over(W.partitionBy("level", "magnitude").orderBy("item_id"))).where(F.col("nth") <= deepest)
+    row = F.struct(F.abs(residual).alias("away"), "item_id", "kind", "magnitude", residual.alias("residual"), "declared")
+    lists = chosen.join(first, ["level", "magnitude"]).where("nth <= depth").groupBy("target", "level").agg(F.array_sort(F.collect_list(row)).alias("list"))  # some depth * depth at most
+    a, o = asked.join(lists, "target").alias("a"), own.alias("o")
+    same = F.col("a.settlement_id").eqNullSafe(F.col("o.settlement_id")) & (F.col("a.target") == F.col("o.target")) & (F.col("a.level") == F.col("o.level"))
+    shown = F.explode(F.slice("a.list", F.lit(1), (keep + F.coalesce("o.own", F.lit(0))).cast("int"))).alias("c")
+    told = a.join(o, same, "left").select("a.settlement_id", "a.target", "a.level", shown).where(~F.col("settlement_id").eqNullSafe(F.col("c.declared")))
+    w = W.partitionBy("settlement_id", "target")
+    told = told.withColumn("lowest", F.min("level").over(w)).where("level = lowest").withColumn("nth", F.row_number().over(w.orderBy("c.away", "c.item_id"))).where(F.col("nth") <= keep).alias("t")
+    back = F.col("g.settlement_id").eqNullSafe(F.col("t.settlement_id")) & (F.col("g.target") == F.col("t.target"))
+    return g.alias("g").join(told, back).select("gap_id", "level", "c.item_id", "c.kind", "c.magnitude", "c.residual", "c.declared")
+
+
 def shown_candidates(gaps: DataFrame, items: DataFrame, tolerance: int = C.NET_TOLERANCE, keep: int = SHOWN) -> DataFrame:
     """(gap_id, level, candidates): the first ``keep`` candidates of each gap's level, smallest residual first, then by id.
 
@@ -166,13 +212,10 @@ def shown_candidates(gaps: DataFrame, items: DataFrame, tolerance: int = C.NET_T
     that the item's own record names, a pair's only if both name it. Pairs are taken by their amounts first, so
     of an amount that thousands of items share only the ``keep`` smallest ids are looked up, one more for pairs of equal amounts.
     """
-    open_ = gaps.where(F.abs("delta") > tolerance).select("gap_id", "settlement_id", "delta")
-    singles = single_candidates(open_, items, tolerance)
-    level = singles.groupBy("gap_id").agg(F.min("level").alias("level"))
-    told = items.select("item_id", "kind", "magnitude", F.col("item_settlement").alias("declared"))
-    one = singles.join(level, ["gap_id", "level"]).withColumn("nth", F.row_number().over(W.partitionBy("gap_id").orderBy(F.abs("residual"), "item_id"))).where(F.col("nth") <= keep)
-    one = one.join(told, ["item_id", "kind"]).select("gap_id", "level", "item_id", "kind", "magnitude", "residual", "declared")
-    rest = cut(open_.join(level, "gap_id", "left_anti"))
+    open_ = cut(gaps.where(F.abs("delta") > tolerance).select("gap_id", "settlement_id", "delta"))
+    items = _small_enough(open_, items, tolerance)
+    one = cut(nearest_singles(open_, items, tolerance, keep))
+    rest = cut(open_.join(one.select("gap_id"), "gap_id", "left_anti"))
     residual = F.col("target") - F.col("ma") - F.col("mb")
     few = pair_hits(rest, items, tolerance).withColumn("nth", F.row_number().over(W.partitionBy("gap_id").orderBy(F.abs(residual), "ma"))).where(F.col("nth") <= keep).drop("nth")
     few = cut(few)

@@ -60,3 +60,26 @@ def test_the_only_pair_is_looked_up(spark):
     assert {r["gap_id"]: r["item_id"] for r in attribution.only_pair(gaps, counts, df).collect()} == {"x": "a+b", "y": "d+e"}
     got = {r["gap_id"]: r for r in attribution.attribute(gaps, df).collect()}
     assert (got["x"]["level"], got["x"]["n_candidates"]) == ("L4", 1) and got["z"]["outcome"] == "AMBIGUOUS_MULTI_CANDIDATE" and got["n"]["level"] == "L5"
+
+
+def test_shown_candidates_equal_all_items_without_meeting_them(spark, monkeypatch):
+    rng = random.Random(6)
+    kinds, settlements = ["payment", "refund", "chargeback"], ["a", "b", "c", None]
+    items = [(f"i{k:03}", rng.choice(kinds), rng.choice([rng.randrange(-3, 60), rng.randrange(40, 44), rng.randrange(900, 2000)]), rng.choice(settlements)) for k in range(150)]
+    items += [(f"o{k:03}", "chargeback", 700, "a") for k in range(30)] + [("p0", "chargeback", 698, "b")]  # most that fit are a's own
+    gaps = [(f"g{k:02}", rng.choice(settlements), rng.choice([-1, 1]) * rng.choice([42, 700, rng.randrange(4, 1500)])) for k in range(60)] + [("g98", "a", 700), ("g99", None, 42)]
+    monkeypatch.setattr(attribution, "single_candidates", lambda *a: pytest.fail("each gap meets each item that fits it"))
+    g = spark.createDataFrame(gaps, "gap_id string, settlement_id string, delta long")
+    got = {r["gap_id"]: (r["level"], [tuple(c) for c in r["candidates"]]) for r in attribution.shown_candidates(g, spark.createDataFrame(items, SCHEMA), 3).collect()}
+    singles = 0
+    for gap, s, delta in gaps:
+        t = abs(delta)
+        fit = [(attribution.LEVEL_OF[k], abs(t - m), i, k, m, t - m, own) for i, k, m, own in items if own != s and abs(t - m) <= 3 and t > 3]
+        if fit:
+            level = min(x[0] for x in fit)
+            assert got[gap] == (level, [x[2:] for x in sorted(x for x in fit if x[0] == level)[:6]]), gap
+            singles += 1
+        elif t > 3:
+            pairs = [(abs(t - a[2] - b[2]), "+".join(sorted((a[0], b[0])))) for a, b in combinations([x for x in items if x[3] != s], 2) if abs(t - a[2] - b[2]) <= 3]
+            assert len(got.get(gap, (None, []))[1]) == min(6, len(pairs)) and all(abs(c[3]) == p[0] for c, p in zip(got.get(gap, (None, []))[1], sorted(pairs)))
+    assert singles > 20 and len(got["g98"][1]) > 0
