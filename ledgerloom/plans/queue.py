@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import config as C
 from ledgerloom.operators.ranking import numbered
+from ledgerloom.sources.checkpoints import cut
 
 #: What would have to hold for a declined entity to match, by its last reason; {amount} is its own.
 NEEDS = {
@@ -118,6 +119,30 @@ def membership_pools(credits: DataFrame, payments: DataFrame, window: int, toler
     return c.join(payments, "due").where(F.col("contribution") <= F.col("credit_paise") + tolerance).select("bank_row_id", "payment_id", "contribution")
 
 
+def pool_totals(credits: DataFrame, payments: DataFrame, window: int, tolerance: int, width: int = 1 << 16) -> DataFrame:
+    """(bank_row_id, pool, paise): how many payments ``membership_pools`` lists for each credit with any, and their contributions' sum.
+
+    Payments are put on each day with credits that they are due for and counted by amount; running counts and sums over a day's sorted
+    amounts, within buckets of ``width`` paise by a window and before them from the buckets' totals, give each credit's. No credit meets a payment.
+    """
+    c = credits.select("bank_row_id", "event_date", (F.col("credit_paise") + tolerance).cast("long").alias("v")).where("event_date is not null and v is not null")
+    open_ = c.select("event_date").distinct().select("event_date", F.explode(F.sequence(F.date_sub("event_date", window), "event_date")).alias("due"))  # window + 1 rows for each day at most
+    bucket = F.floor(F.col("v") / width).alias("b")
+    pool = payments.where("contribution is not null").groupBy("due", F.col("contribution").cast("long").alias("v")).agg(F.count("*").alias("n"))
+    pool = cut(pool.join(F.broadcast(open_), "due").groupBy("event_date", "v").agg(F.sum("n").alias("n")).select("event_date", bucket, "v", "n", (F.col("n") * F.col("v")).alias("s")))
+    none = F.lit(0).cast("long")
+    marks = c.join(F.broadcast(pool.select("event_date").distinct()), "event_date", "left_semi").select("event_date", bucket, "v", none.alias("n"), none.alias("s"), "bank_row_id")
+    both = pool.withColumn("bank_row_id", F.lit(None).cast(credits.schema["bank_row_id"].dataType)).withColumn("mark", F.lit(0)).unionByName(marks.withColumn("mark", F.lit(1)))
+    run = W.partitionBy("event_date", "b").orderBy("v", "mark").rowsBetween(W.unboundedPreceding, 0)
+    inside = both.select("event_date", "b", "bank_row_id", "mark", *[F.sum(x).over(run).alias(x) for x in "ns"]).where("mark = 1")
+    totals = pool.groupBy("event_date", "b").agg(*[F.sum(x).alias(x) for x in "ns"])
+    asked = marks.select("event_date", "b").distinct().join(totals, ["event_date", "b"], "full").fillna(0, list("ns"))
+    before = W.partitionBy("event_date").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    prior = asked.select("event_date", "b", *[F.coalesce(F.sum(x).over(before), none).alias(f"p{x}") for x in "ns"])
+    seen = inside.join(prior, ["event_date", "b"])
+    return seen.groupBy("bank_row_id").agg(F.sum(F.col("n") + F.col("pn")).alias("pool"), F.sum(F.col("s") + F.col("ps")).alias("paise")).where("pool > 0")
+
+
 def arithmetic(batches: DataFrame) -> DataFrame:
     """(settlement_id, place, label, paise): the terms of each payout's equation in order; reversals and what is carried in only where they aren't zero."""
     term = lambda label, paise: F.struct(F.lit(label).alias("label"), paise.cast("long").alias("paise"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,3 +108,16 @@ def test_rates_from_yaml(tmp_path):
     path.write_text(yaml.safe_dump({"mdr_bps": {"card": 150}, "tax_on_fee_bps": 1800, "withholding": {"enabled": True, "rate_bps": 10}, "settlement": {"lag_business_days": 3}, "holidays_2026": ["2026-01-26"]}))
     r = Rates.from_yaml(str(path))
     assert (r.mdr_bps["card"], r.withholding_bps, r.lag_days, r.cutoff_hour, len(r.holidays)) == (150, 10, 3, 23, 1)
+
+
+def test_pool_totals_equal_the_listed_pools(spark):
+    rng = random.Random(9)
+    day = lambda n: date(2026, 3, 1) + timedelta(n)
+    paid = [(f"p{k}", rng.choice([day(rng.randrange(12)), day(rng.randrange(12)), None]), rng.choice([rng.randrange(-9, 60), 30, rng.randrange(10**6), None])) for k in range(200)]
+    asked = [(f"b{k}", rng.choice([day(rng.randrange(-3, 30)), None]), rng.choice([rng.randrange(60), 28, rng.randrange(10**6), None])) for k in range(80)] + [("b0", day(4), 10**6), ("late", day(90), 10**6)]
+    p, c = spark.createDataFrame(paid, "payment_id string, due date, contribution long"), spark.createDataFrame(asked, "bank_row_id string, event_date date, credit_paise long")
+    listed = queue.membership_pools(c, p, 4, 2).groupBy("bank_row_id").agg(F.count("*").alias("pool"), F.sum("contribution").alias("paise"))
+    want = sorted(map(tuple, listed.collect()))
+    for width in (1 << 16, 16):
+        assert sorted(map(tuple, queue.pool_totals(c, p, 4, 2, width).collect())) == want
+    assert len(want) > 10
