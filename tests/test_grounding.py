@@ -69,3 +69,13 @@ def test_claims_are_made_by_sentences(spark):
 def test_figures(spark):
     df = spark.createDataFrame([(t,) for t in ("1,234.50", "90.00", "1200", "0.10", "5,28,662.38")], "t string")
     assert [r[0] for r in df.select(grounding.digits(F.col("t"))).collect()] == ["1234.5", "90", "1200", "0.1", "528662.38"]
+
+
+def test_an_answer_and_its_evidence_are_made_once(spark):
+    made = lambda mark: F.concat(F.lit(mark), F.col("id").cast("string"), F.lit(" will probably land. The trend is monthly."))
+    df = spark.range(3).select(grounding.grounded(made("ANSWER"), F.array(F.lit("get_entity")), F.array(made("RESULT"))).alias("v"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ANSWER") == 1 and plan.count("RESULT") <= 3  # the result is parsed, read for an error, or taken as it stands
+    assert {(tuple(r["v"]["speculative"]), tuple(r["v"]["claims"])) for r in df.collect()} == {(("probably",), ("future", "timing"))}
+    odd = spark.createDataFrame([(None,), ("",), ("ΣΊΓΜΑΣ PREDICT.",), ("İt WILL\tarrive",), ("No data. We will see.",)], "t string")
+    assert [list(r[0]) for r in odd.select(grounding.claim_kinds(F.col("t"))).collect()] == [[], [], ["future"], ["future"], []]
